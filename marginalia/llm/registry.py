@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import hilbert_shards, mixing, quality_rules, simhash
 
 
 def queries() -> dict:
-    return {"op6_quality_rules": quality_rules.op6_quality_rules}
+    return {
+        "op4_hilbert_shards": hilbert_shards.op4_hilbert_shards,
+        "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op7_simhash": simhash.op7_simhash,
+        "op8_mixing": mixing.op8_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
