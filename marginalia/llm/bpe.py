@@ -27,7 +27,7 @@ PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *
 #: White space as the tokenizer files' ``\s`` has it (Unicode's White_Space).
 BLANKS = "\t-\r \x85\xa0  -     　"
 #: Words kept with their tokens between batches, in each Python worker.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 400_000
 #: Pieces of up to so many symbols go through the automaton together; longer ones alone.
 TOGETHER = 48
 
@@ -193,10 +193,10 @@ class Automaton:
         return self._plain(word)
 
     def _plain(self, word: str) -> list[bytes]:
-        if word.isascii():
-            word = word.lower()
-        else:
-            word = "".join(c.lower() for c in unicodedata.normalize("NFC", word))
+        if not word.isascii():
+            word = unicodedata.normalize("NFC", word)
+        # Each character is lowered alone; str.lower() differs from that for one letter only.
+        word = "".join(c.lower() for c in word) if "Σ" in word else word.lower()
         return [m.encode() for m in self.pattern.findall(word)]
 
     def decode(self, ids) -> str:

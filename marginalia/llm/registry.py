@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import hilbert_shards, mixing, quality_rules, simhash
+from . import bpe, hilbert_shards, mixing, quality_rules, simhash, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op4_hilbert_shards": hilbert_shards.op4_hilbert_shards,
+        "op5_warc": warc.op5_warc,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_simhash": simhash.op7_simhash,
         "op8_mixing": mixing.op8_mixing,
+        "op9_bpe": bpe.op9_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": warc.ORACLE}
