@@ -67,7 +67,7 @@ def open_output(path: str):
     from pyarrow import fs
 
     system, at = fs.FileSystem.from_uri(path)
-    return system.open_output_stream(at)
+    return system.open_output_stream(at, compression=None)
 
 
 def write_archives(records: DataFrame, path: str) -> DataFrame:
@@ -132,12 +132,16 @@ def parse(data: bytes, at: int) -> tuple[dict, bytes, int] | None:
 
 def inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
     """(content, end) of the gzip member at a place, or None if it is damaged or cut off."""
-    z = zlib.decompressobj(31)
-    try:
-        out = z.decompress(memoryview(data)[at:])
-    except zlib.error:
-        return None
-    return (out, len(data) - len(z.unused_data)) if z.eof else None
+    z, out, step = zlib.decompressobj(31), [], 1 << 14
+    view = memoryview(data)
+    while at < len(data) and not z.eof:
+        try:
+            out.append(z.decompress(view[at : at + step]))
+        except zlib.error:
+            return None
+        at += min(step, len(data) - at)
+        step = min(2 * step, 1 << 20)
+    return (b"".join(out), at - len(z.unused_data)) if z.eof else None
 
 
 def salvage(data: bytes):
