@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, hilbert_shards, mixing, quality_rules, simhash, toxicity, warc
+from . import bpe, hilbert_shards, maxent_lm, mixing, pu_quality, quality_rules, simhash, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_pu_quality": pu_quality.op2_pu_quality,
         "op4_hilbert_shards": hilbert_shards.op4_hilbert_shards,
         "op5_warc": warc.op5_warc,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_simhash": simhash.op7_simhash,
         "op8_mixing": mixing.op8_mixing,
         "op9_bpe": bpe.op9_bpe,
+        "op10_maxent_lm": maxent_lm.op10_maxent_lm,
     }
 
 
