@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, hilbert_shards, maxent_lm, mixing, pu_quality, quality_rules, simhash, toxicity, warc
+from . import bpe, hilbert_shards, jaccard_join, maxent_lm, mixing, pu_quality, quality_rules, simhash, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_pu_quality": pu_quality.op2_pu_quality,
+        "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_hilbert_shards": hilbert_shards.op4_hilbert_shards,
         "op5_warc": warc.op5_warc,
         "op6_quality_rules": quality_rules.op6_quality_rules,
