@@ -98,7 +98,7 @@ def positions(t: Column, key: Column) -> Column:
         ends = F.aggregate(
             F.slice(parts, 1, F.size(parts) - 1),
             F.array().cast("array<int>"),
-            lambda acc, p: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1) + F.length(key), F.lit(0)) + F.length(p))),
+            lambda acc, p: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)) + F.length(key), F.lit(0)) + F.length(p))),
         )
         return ends
 
