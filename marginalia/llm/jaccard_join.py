@@ -3,7 +3,7 @@
 Every distinct shingle set gets a bitmap of its hashed shingles and a prefix: its rarest shingles, one more than a partner may lack. Two
 linked sets share a prefix shingle, so each such shingle is a tile, in which the sets stand by size and only sets within the size band meet. For two that meet, bits set in
 only one bitmap are shingles that the other lacks; that bounds the overlap from above. What passes is settled by intersecting the
-sorted hash arrays. The result is components, so a pair that is connected already needs no settling: sets first meet one leader of their band, and only what stays apart meets pair by pair.
+sorted hash arrays. The result is components, so a pair that links connect already needs no settling: sets first meet one leader of their tile, and only what stays apart meets pair by pair.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .words import Table, mix
 
 #: Shingles that are counted together to find common ones, and how many common ones are known to all tasks. They only order prefixes: any list gives the same links.
 CHUNK, COMMON = 1 << 21, 1 << 17
+#: Sets of a tile that a task holds at most, twice; ids that are broadcast at most.
+BLOCK, FEW = 8192, 1 << 20
 
 
 def common_shingles(docs: DataFrame, size: int, text: str = "text") -> np.ndarray:
@@ -48,24 +50,14 @@ def common_shingles(docs: DataFrame, size: int, text: str = "text") -> np.ndarra
     return top["h"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """The set's hashed bitmap, of the power of two of bits that is the next to its size (64 at least)."""
-    m = max(64, 1 << (len(s) - 1).bit_length())
+def bitmap(s: np.ndarray, least: int = 2) -> bytes:
+    """The set's hashed bitmap, of ``least`` bits a shingle or up to twice as many (a power of two, 64 at least)."""
+    m = max(64, least << (len(s) - 1).bit_length())
     bits = np.zeros(m, np.uint8)
     bits[(mix(s) & np.uint64(m - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def most_overlap(a: bytes, na: int, b: bytes, nb: int) -> int:
-    """An upper bound of the overlap of two sets from their bitmaps; the longer is folded to the shorter."""
-    while len(a) > len(b):
-        a = (int.from_bytes(a[: len(a) // 2], "little") | int.from_bytes(a[len(a) // 2 :], "little")).to_bytes(len(a) // 2, "little")
-    while len(b) > len(a):
-        b = (int.from_bytes(b[: len(b) // 2], "little") | int.from_bytes(b[len(b) // 2 :], "little")).to_bytes(len(b) // 2, "little")
-    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
-    return min(na - (x & ~y).bit_count(), nb - (y & ~x).bit_count())
-
-
 def signatures(docs: DataFrame, size: int, percent: int, common: np.ndarray, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, n (set size), s (a hash of the whole set; null if it is empty), bitmap, prefix."""
     sent = docs.sparkSession.sparkContext.broadcast(common)  # COMMON at most
@@ -93,130 +85,149 @@ def signatures(docs: DataFrame, size: int, percent: int, common: np.ndarray, id:
     return docs.select(F.col(id).alias("id"), text).mapInArrow(run, f"id {kind}, n bigint, s bigint, bitmap binary, prefix array<bigint>")
 
 
-def tile_rows(signed: DataFrame) -> DataFrame:
-    """(key, s, n): the rows of tiles with two sets or more, in tile order by size, as a written table."""
-    distinct = signed.filter("s is not null").select("s", "n", "prefix").dropDuplicates(["s"])
-    rows = distinct.select(F.explode("prefix").alias("key"), "s", "n").repartition("key").sortWithinPartitions("key", "n", "s")
-
-    def run(batches):
-        rest = None  # the last tile of a batch may go on in the next
-        for batch in batches:
-            t = [batch.column(k).to_numpy() for k in range(3)]
-            if rest is not None:
-                t = [np.concatenate([a, b]) for a, b in zip(rest, t, strict=True)]
-            last = int(np.searchsorted(t[0], t[0][-1])) if len(t[0]) else 0
-            rest, done = [x[last:] for x in t], [x[:last] for x in t]
-            yield _shared(done)
+def _whole_keys(batches):
+    """Runs of whole keys (the first column) out of sorted batches, as lists of arrays: the last key of a batch may go on in the next."""
+    rest = None
+    for batch in batches:
+        t = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
         if rest is not None:
-            yield _shared(rest)
+            t = [np.concatenate([x, y]) for x, y in zip(rest, t, strict=True)]
+        last = int(np.searchsorted(t[0], t[0][-1])) if len(t[0]) else 0
+        rest = [x[last:] for x in t]
+        if last:
+            yield [x[:last] for x in t]
+    if rest is not None and len(rest[0]):
+        yield rest
 
-    return written(rows.mapInArrow(run, "key bigint, s bigint, n bigint"), "tiles")
 
+def tile_rows(signed: DataFrame, percent: int) -> DataFrame:
+    """(tile, s, n): the sets of like sizes that share a prefix shingle, as a written table. Shingles that the very same sets share make one tile.
 
-def _shared(t: list[np.ndarray]) -> pa.RecordBatch:
-    key = t[0]
-    same = key[1:] == key[:-1]
-    keep = np.zeros(len(key), bool)
-    keep[1:] |= same
-    keep[:-1] |= same
-    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in t], ["key", "s", "n"])
-
-
-def _pairs_in(run_of, schema: str):
-    """Streams tiles (runs of a key) through ``run_of``; what it gives is free of repeats in a task."""
+    A tile of more than ``BLOCK`` sets is cut, by size, into blocks; each two blocks whose sizes are within the band are a tile of their own.
+    """
+    distinct = signed.filter("s is not null").select("s", "n", "prefix").dropDuplicates(["s"])
+    rows = distinct.select(F.explode("prefix").alias("key"), "s", "n").repartition("key").sortWithinPartitions("key", "n", "s")
 
     def run(batches):
-        seen, rest = set(), None
-        names = ["a", "b"]
-
-        def pairs(t):
-            out = []
-            edges = np.flatnonzero(np.concatenate([[True], t[0][1:] != t[0][:-1], [True]])) if len(t[0]) else []
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                for p in run_of([x[lo:hi] for x in t]):
-                    if p not in seen:
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        seen.add(p)
-                        out.append(p)
-                if len(out) > 50_000:
-                    yield out
-                    out = []
-            yield out
-
-        def emit(t):
-            for out in pairs(t):
-                a = np.array(out, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names)
-
-        for batch in batches:
-            t = [batch.column(k).to_numpy() for k in range(batch.num_columns)]
-            if rest is not None:
-                t = [np.concatenate([x, y]) for x, y in zip(rest, t, strict=True)]
-            last = int(np.searchsorted(t[0], t[0][-1])) if len(t[0]) else 0
-            rest = [x[last:] for x in t]
-            yield from emit([x[:last] for x in t])
-        if rest is not None:
-            yield from emit(rest)
-
-    return run
+        for key, s, n in _whole_keys(batches):
+            # A gap in the sizes that is wider than the band ends a tile as well.
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (100 * n[:-1] < percent * n[1:])]))
+            count = np.diff(np.append(first, len(key)))
+            tile = mix(np.add.reduceat(mix(s.view(np.uint64)), first) + count.astype(np.uint64)).view(np.int64)
+            some = np.repeat((count > 1) & (count <= BLOCK), count)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(tile, count)[some]), pa.array(s[some]), pa.array(n[some])], ["tile", "s", "n"])
+            for k in np.flatnonzero(count > BLOCK):
+                for i, j in _blocks(n[first[k] : first[k] + count[k]], percent):
+                    at = first[k] + np.unique(np.concatenate([i, j]))
+                    own = mix(np.array([int(tile[k]) ^ int(i[0]) * 0x9E37 ^ int(j[0]) << 20], np.int64).view(np.uint64)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, len(at))), pa.array(s[at]), pa.array(n[at])], ["tile", "s", "n"])
+
+    return written(rows.mapInArrow(run, "tile bigint, s bigint, n bigint").distinct(), "tiles")
+
+
+def _blocks(n: np.ndarray, percent: int):
+    """Pairs of blocks (their places) of rising sizes ``n`` that hold sets within the band of each other, or the block alone."""
+    blocks = [np.arange(k, min(k + BLOCK, len(n))) for k in range(0, len(n), BLOCK)]
+    for i, x in enumerate(blocks):
+        near = [y for y in blocks[i + 1 :] if 100 * n[x[-1]] >= percent * n[y[0]]]
+        for y in near or [x]:
+            yield x, y
+
+
+def _matrices(marks: np.ndarray):
+    """For each run of bitmaps of one width: (first, end, matrix of these and of those of double width, folded to this one)."""
+    width = np.array([len(m) for m in marks])
+    edges = np.flatnonzero(np.concatenate([[True], width[1:] != width[:-1], [True]]))
+    parts = [np.frombuffer(b"".join(marks[lo:hi]), np.uint64).reshape(hi - lo, -1) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+    for i, x in enumerate(parts):
+        if i + 1 < len(parts) and parts[i + 1].shape[1] == 2 * (w := x.shape[1]):
+            x = np.concatenate([x, parts[i + 1][:, :w] | parts[i + 1][:, w:]])
+        yield edges[i], edges[i + 1], x
+
+
+def may_link(n: np.ndarray, x: np.ndarray, k: int, c: np.ndarray, percent: int) -> np.ndarray:
+    """Those of the sets ``c`` whose bitmaps let them be linked with set ``k``: bits of one bitmap only are shingles that the other set lacks."""
+    only_k = np.bitwise_count(x[k] & ~x[c]).sum(1, dtype=np.int64)
+    only_c = np.bitwise_count(x[c] & ~x[k]).sum(1, dtype=np.int64)
+    most = np.minimum(n[k] - only_k, n[c] - only_c)
+    return c[100 * most >= percent * (n[k] + n[c] - most)]
 
 
 def _leaders(percent: int):
-    """Each set of a tile with the smallest set of its size band."""
+    """Each set with the first set of its tile that its bitmap lets it be linked with, if that has no such set itself."""
 
-    def run_of(t):
-        s, n = t[1].tolist(), t[2].tolist()
-        lead = 0
-        for k in range(1, len(s)):
-            if 100 * n[lead] >= percent * n[k]:
-                yield (s[lead], s[k]) if s[lead] < s[k] else (s[k], s[lead])
-            else:
-                lead = k
+    def run_of(s, n, group, marks):
+        free = np.ones(len(s), bool)
+        ends = np.searchsorted(n, (100 * n) // percent, "right")
+        for lo, hi, x in _matrices(marks):
+            for k in range(lo, hi):
+                if free[k] and ends[k] > k + 1:
+                    c = np.flatnonzero(free[k + 1 : ends[k]]) + k + 1
+                    hit = may_link(n[lo : lo + len(x)], x, k - lo, c - lo, percent) + lo
+                    free[hit] = False
+                    yield k, hit, False
 
     return run_of
 
 
 def _apart(percent: int, most: int | None):
-    """Sets of a tile within the size band whose groups differ (column 3) but whose scopes are equal (column 4); ``most`` partners a set and group, or all."""
+    """Sets of a tile whose groups differ but whose bitmaps let them be linked; ``most`` partners of different groups a set, and whether it has more, or all."""
 
-    def run_of(t):
-        s, n, group, scope = t[1], t[2], t[3], t[4]
-        if len(s) < 2 or (group == group[0]).all():
+    def run_of(s, n, group, marks):
+        if (group == group[0]).all():
             return
         ends = np.searchsorted(n, (100 * n) // percent, "right")
-        for k in range(len(s) - 1):
-            near = slice(k + 1, ends[k])
-            hit = np.flatnonzero((group[near] != group[k]) & (scope[near] == scope[k])) + k + 1
-            if most is not None and len(hit) > most:
-                hit = hit[np.sort(np.unique(group[hit], return_index=True)[1])] if len(np.unique(group[hit])) >= most else hit[:most]
-            for b in s[hit].tolist():
-                a = int(s[k])
-                yield (a, b) if a < b else (b, a)
+        for lo, hi, x in _matrices(marks):
+            for k in range(lo, hi):
+                c = np.flatnonzero(group[k + 1 : ends[k]] != group[k]) + k + 1
+                if len(c):
+                    hit = may_link(n[lo : lo + len(x)], x, k - lo, c - lo, percent) + lo
+                    some = hit if most is None else hit[np.sort(np.unique(group[hit], return_index=True)[1])][:most]
+                    yield k, some, len(some) < len(hit)
 
     return run_of
 
 
-def passing(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose bitmaps let them be linked, as a written table."""
-    marks = signed.filter("s is not null").select("s", "n", "bitmap")
-    wanted = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
-    marks = marks.join(wanted, "s", "left_semi").dropDuplicates(["s"])
-    rows = pairs.join(marks.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("x")), "a")
-    rows = rows.join(marks.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("y")), "b").select("a", "b", "na", "nb", "x", "y")
+def meet(rows: DataFrame, run_of) -> DataFrame:
+    """(a, b, tile): the pairs (a < b) that ``run_of`` finds in the tiles of ``rows`` (tile, s, n, g, bitmap), and, with null pairs, the tiles that have more."""
+
+    def run(batches):
+        for tile, s, n, g, marks in _whole_keys(batches):
+            edges = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]]))
+            found, more = [np.zeros((0, 2), np.int64)], []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                own, rest = s[lo:hi], False
+                for k, hit, cut in run_of(own, n[lo:hi], g[lo:hi], marks[lo:hi]):
+                    rest |= cut
+                    if len(hit):
+                        found.append(np.stack([np.minimum(own[k], own[hit]), np.maximum(own[k], own[hit])], 1))
+                if rest:
+                    more.append(int(tile[lo]))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            none, blank = pa.nulls(len(more), pa.int64()), pa.nulls(len(pairs), pa.int64())
+            columns = [(pa.array(pairs[:, 0]), none), (pa.array(pairs[:, 1]), none), (blank, pa.array(more, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["a", "b", "tile"])
+
+    by_tile = rows.select("tile", "s", "n", "g", "bitmap").repartition("tile").sortWithinPartitions("tile", "n", "s")
+    return by_tile.mapInArrow(run, "a bigint, b bigint, tile bigint").distinct()
+
+
+def fine_bitmaps(arrays: DataFrame) -> DataFrame:
+    """(s, bitmap) with 16 bits a shingle or more, for sets whose coarse bitmaps let them be linked with many."""
 
     def run(batches):
         for batch in batches:
-            a, b, na, nb, x, y = (batch.column(k).to_pylist() for k in range(6))
-            ok = [100 * o >= percent * (na[k] + nb[k] - o) for k in range(len(a)) for o in (most_overlap(x[k], na[k], y[k], nb[k]),)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], ["a", "b"])
+            marks = [bitmap(x.values.to_numpy().view(np.uint64), 16) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], ["s", "bitmap"])
 
-    return written(rows.mapInArrow(run, "a bigint, b bigint"), "passing")
+    return arrays.mapInArrow(run, "s bigint, bitmap binary")
 
 
 def arrays_of(docs: DataFrame, signed: DataFrame, wanted: DataFrame, size: int, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(s, hashes): the sorted shingle hashes of the sets in ``wanted`` (column s), from one document each, as a written table."""
     one = signed.join(wanted, "s", "left_semi").groupBy("s").agg(F.min("id").alias("id"))
+    # A short list of ids goes to the texts; a long one and the texts are both dealt by id.
+    one = F.broadcast(one) if wanted.count() <= FEW else one
     rows = docs.select(F.col(id).alias("id"), text).join(one, "id").select("s", text)
 
     def run(batches):
@@ -264,32 +275,25 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, id: st
     """
     docs = docs.select(id, text)
     signed = written(signatures(docs, size, percent, common_shingles(docs, size, text), id, text), "signed")
-    tiles = tile_rows(signed)
-
-    def meet(rows: DataFrame, run_of) -> DataFrame:
-        by_tile = rows.repartition("key").sortWithinPartitions("key", "n", "s")
-        return by_tile.mapInArrow(_pairs_in(run_of, ""), "a bigint, b bigint").distinct()
-
-    def in_groups(rows: DataFrame, groups: DataFrame, name: str) -> DataFrame:
-        """Tiles with the root of each set in ``groups``, or the set itself."""
-        return rows.join(groups.select(F.col("node").alias("s"), F.col("root").alias(name)), "s", "left").withColumn(name, F.coalesce(name, "s"))
-
-    # Sets meet leaders; then sets meet all that their bitmaps haven't connected them with.
-    first = passing(meet(tiles, _leaders(percent)), signed, percent)
-    apart = in_groups(tiles, components(first), "g").select("key", "s", "n", "g", F.lit(0).cast("bigint").alias("scope"))
-    second = passing(meet(apart, _apart(percent, None)), signed, percent)
-    maybe = first.union(second)
-    ends = maybe.select(F.col("a").alias("s")).union(maybe.select(F.col("b").alias("s"))).distinct()
-    arrays = arrays_of(docs, signed, ends, size, id, text)
-    links = settled(maybe, arrays, percent)
-    # What bitmaps connected but exact overlap doesn't meets again, first a few partners for each set, then all.
-    scopes, known = components(maybe), maybe
-    for most in (3, None):
-        rows = in_groups(tiles.join(scopes.select(F.col("node").alias("s"), F.col("root").alias("scope")), "s"), components(links), "g")
-        more = meet(rows.select("key", "s", "n", "g", "scope"), _apart(percent, most)).join(known, ["a", "b"], "left_anti")
-        more = passing(more, signed, percent)
-        known = known.union(more)
-        links = links.union(settled(more, arrays, percent))
+    tiles = tile_rows(signed, percent)
+    marks = signed.filter("s is not null").select("s", "bitmap").dropDuplicates(["s"])
+    # Sets meet leaders first, and what stays apart meets a few others. In tiles where that isn't all, the sets get fine bitmaps and meet all that these let them be linked with.
+    ends = lambda pairs: written(pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct(), "ends")
+    arrays = lambda sets_of: arrays_of(docs, signed, sets_of, size, id, text)
+
+    def grouped(rows: DataFrame, links: DataFrame, marks: DataFrame) -> DataFrame:
+        groups = components(links).select(F.col("node").alias("s"), F.col("root").alias("g"))
+        return rows.join(groups, "s", "left").withColumn("g", F.coalesce("g", "s")).join(marks, "s")
+
+    led = written(meet(tiles.withColumn("g", F.col("s")).join(marks, "s"), _leaders(percent)), "pairs").select("a", "b")
+    links = settled(led, arrays(ends(led)), percent)
+    met = written(meet(grouped(tiles, links, marks), _apart(percent, 1)), "pairs")
+    few = written(met.filter("tile is null").select("a", "b").join(led, ["a", "b"], "left_anti"), "pairs")
+    links = links.union(settled(few, arrays(ends(few)), percent))
+    tiles = written(tiles.join(met.filter("tile is not null").select("tile"), "tile", "left_semi"), "tiles")
+    dense = arrays(written(tiles.select("s").distinct(), "ends"))
+    every = meet(grouped(tiles, links, fine_bitmaps(dense)), _apart(percent, None)).select("a", "b")
+    links = links.union(settled(written(every.join(led.union(few), ["a", "b"], "left_anti"), "pairs"), dense, percent))
     roots = components(links)
     named = signed.select("id", "n", "s").join(roots.select(F.col("node").alias("s"), "root"), "s", "left").withColumn("__c", F.coalesce("root", "s"))
     least = named.filter("s is not null").groupBy("__c").agg(F.min("id").alias("__least"))
