@@ -46,8 +46,8 @@ def common_shingles(docs: DataFrame, size: int, text: str = "text") -> np.ndarra
             yield flush()
 
     counts = docs.select(text).mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
-    top = counts.filter("c >= 4").orderBy(F.desc("c"), "h").limit(COMMON).toPandas()
-    return top["h"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
+    top = counts.filter("c >= 4").orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
+    return top["h"].to_numpy().view(np.uint64)[::-1].copy()
 
 
 def bitmap(s: np.ndarray, least: int = 2) -> bytes:

@@ -60,8 +60,8 @@ class Vocabulary:
 
     def __init__(self, counts: DataFrame):
         self.total, self.distinct = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
-        top = counts.orderBy(F.desc("c"), "h").limit(TABLE_WORDS).toPandas()
-        self.keys, self.counts = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
+        top = counts.orderBy(F.desc("c"), "h").limit(TABLE_WORDS).toArrow()
+        self.keys, self.counts = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
         common = self.counts[:COMMON]
         self.rare_total, self.rare_distinct = self.total - int(common.sum()), self.distinct - len(common)
         self.base_room = self.total + self.distinct + 1

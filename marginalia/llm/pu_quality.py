@@ -132,9 +132,9 @@ def fit(positives: DataFrame, unlabelled: DataFrame, prior: float) -> np.ndarray
     w = np.zeros(SIZE)
     for turn in range(ROUNDS):
         # One task may hold two shards' rows; it then trains on both together. Every task that trains gives a bias, so those count the tasks.
-        found = rows.mapInArrow(_shard(w, prior, turn), "at bigint, w double").groupBy("at").agg(F.sum("w").alias("w"), F.count("*").alias("n")).toPandas()  # SIZE rows at most
+        found = rows.mapInArrow(_shard(w, prior, turn), "at bigint, w double").groupBy("at").agg(F.sum("w").alias("w"), F.count("*").alias("n")).toArrow()  # SIZE rows at most
         w = np.zeros(SIZE)
-        w[found["at"].to_numpy(np.int64)] = found["w"].to_numpy() / max(1, found["n"].max() if len(found) else 1)
+        w[found["at"].to_numpy()] = found["w"].to_numpy() / found["n"].to_numpy().max(initial=1)
     rows.unpersist()
     return w
 

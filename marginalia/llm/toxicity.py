@@ -88,7 +88,7 @@ def fit(rows: DataFrame, text: str = "text", label: str = "y") -> dict:
     for _ in range(ROUNDS):
         old = state
         found = rows.mapInArrow(_shard(state), "at bigint, z double, n double").groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n"), F.count("*").alias("c"))
-        p = found.toPandas().sort_values("at")  # BUCKETS rows at most
+        p = found.toArrow()  # BUCKETS rows at most
         at, c = p["at"].to_numpy(), p["c"].to_numpy()
         z, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
         z[old["at"]], n[old["at"]] = old["z"], old["n"]
