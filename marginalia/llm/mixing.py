@@ -1,26 +1,34 @@
 """Operator 8: mixing sources to target weights by Pfair scheduling.
 
 Each source is cut into blocks of rows. Block j of a source with weight w may start at floor(j/w) and must be placed before ceil((j+1)/w), in slots of
-one block; earliest deadline first then keeps every source within less than one block of its target at every slot. Weights are multiples of
-1/PERIOD, so the schedule repeats: only one period is computed, and a row finds its slot from its block number. When a source has
-run out, the others go on with their weights scaled up.
+one block; earliest deadline first then keeps every source within less than one block of its target at every slot. Weights are exact fractions, so
+nothing is rounded over any number of slots. The schedule is made in one run over the blocks, which the driver writes as a table in pieces
+and the rows join by source and block. When a source has run out, the others begin anew with their weights scaled up.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
+import uuid
+from collections.abc import Iterator
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import documents, ranked
+from .base import documents, ranked, shared_dir
+from .warc import open_output
 
 PERIOD = 128
 BLOCK_ROWS = 16
+#: Slots that are written at once.
+PIECE = 1 << 16
 
 
 def shares(weights: dict, period: int = PERIOD) -> dict:
-    """Whole slots a period for each source: at least one, by largest remainder, in all ``period`` (or four a source, if that is more)."""
+    """Whole slots a period for each source: at least one, by largest remainder, in all ``period`` (or four a source, if that is more). The mix doesn't use it: it rounds."""
     period = max(period, 4 * len(weights))
     total = sum(weights.values())
     exact = {s: w / total * period for s, w in weights.items()}
@@ -35,47 +43,64 @@ def shares(weights: dict, period: int = PERIOD) -> dict:
 
 
 def one_period(slots: dict) -> dict:
-    """Each source's slots within one period, by earliest deadline first among released blocks."""
-    period = sum(slots.values())
-    coming = sorted((j * period // a, -((j + 1) * -period // a), s) for s, a in slots.items() for j in range(a))
-    ready, out, i = [], {s: [] for s in slots}, 0
-    for slot in range(period):
-        while i < len(coming) and coming[i][0] <= slot:
-            heapq.heappush(ready, coming[i][1:])
-            i += 1
-        deadline, s = heapq.heappop(ready)
-        assert slot < deadline
+    """Each source's slots within one period of whole slots."""
+    out = {s: [] for s in slots}
+    for s, _, slot, _, _ in schedule(slots, slots):
         out[s].append(slot)
     return out
 
 
-def rules(blocks: dict, weights: dict, period: int = PERIOD) -> list[tuple]:
-    """(source, first block, end block, first slot, slots a period, places of its blocks in a period, whole periods): where the blocks of a source go.
+def parts(weights: dict) -> dict:
+    """Whole numbers in exactly the proportion of the weights (floats are the fractions that they stand for). Where all weights are 0, equal ones."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if any(w < 0 for w in exact.values()):
+        raise ValueError("weights must not be negative")
+    if not any(exact.values()):
+        return dict.fromkeys(exact, 1)
+    unit = math.lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * unit) for s, w in exact.items()}
 
-    Whole periods run until a source hasn't enough blocks for another; then one period runs with what is left, and sources without blocks leave.
+
+def schedule(blocks: dict, weights: dict) -> Iterator[tuple]:
+    """(source, block, slot, release, deadline) of all blocks, slot by slot, by earliest deadline first among released blocks.
+
+    When a source has placed its last block, the others' blocks are released from the next slot on by the weights of those that are left. Sources of weight 0 follow all others.
     """
-    left, done, base, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
+    left, done, base = {s: n for s, n in sorted(blocks.items()) if n}, dict.fromkeys(blocks, 0), 0
     while left:
-        slots = shares({s: weights[s] for s in left}, period)
-        places, length = one_period(slots), sum(slots.values())
-        if turns := min(n // slots[s] for s, n in left.items()):
-            for s in left:
-                out.append((s, done[s], done[s] + turns * slots[s], base, length, places[s], True))
-                done[s] += turns * slots[s]
-                left[s] -= turns * slots[s]
-            base += turns * length
-        last = sorted((p, s) for s, n in left.items() for p in places[s][:n])
-        at = {s: [] for s in left}
-        for i, (_, s) in enumerate(last):
-            at[s].append(i)
-        for s, p in at.items():
-            if p:
-                out.append((s, done[s], done[s] + len(p), base, len(last), p, False))
-                done[s] += len(p)
-                left[s] -= len(p)
-        base += len(last)
-        left = {s: n for s, n in left.items() if n}
-    return out
+        share = {s: a for s, a in parts({s: weights[s] for s in left}).items() if a}
+        total, first = sum(share.values()), {s: done[s] for s in share}
+        coming, ready, slot, more = [(0, s) for s in share], [], base, True
+        while more:
+            while coming and coming[0][0] <= slot - base:
+                _, s = heapq.heappop(coming)
+                heapq.heappush(ready, (-((done[s] - first[s] + 1) * -total // share[s]), s))
+            deadline, s = heapq.heappop(ready)
+            j = done[s] - first[s]
+            assert slot - base < deadline
+            yield s, done[s], slot, base + j * total // share[s], base + deadline
+            done[s], left[s], slot, more = done[s] + 1, left[s] - 1, slot + 1, left[s] > 1
+            if more:
+                heapq.heappush(coming, ((j + 1) * total // share[s], s))
+        base, left = slot, {s: n for s, n in left.items() if n}
+
+
+def written_schedule(spark: SparkSession, blocks: dict, weights: dict) -> DataFrame:
+    """``schedule`` as a Parquet table in the shared folder; the driver holds one piece of it at a time."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    folder = f"{shared_dir(spark)}/mix-{uuid.uuid4().hex}"
+    system, at = fs.FileSystem.from_uri(folder)
+    system.create_dir(at)
+    kinds = pa.schema([("__s", pa.string()), ("block", pa.int64()), ("slot", pa.int64()), ("release", pa.int64()), ("deadline", pa.int64())])
+    placed, piece = schedule(blocks, weights), 0
+    while rows := list(itertools.islice(placed, PIECE)):
+        with open_output(f"{folder}/part-{piece:06d}.parquet") as out:
+            pq.write_table(pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds), out)
+        piece += 1
+    return spark.read.schema("__s string, block long, slot long, release long, deadline long").parquet(folder)
 
 
 def source_rows(docs: DataFrame, source: str = "source") -> dict:
@@ -83,32 +108,23 @@ def source_rows(docs: DataFrame, source: str = "source") -> dict:
     return {r[0]: r[1] for r in docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("\0null")).alias("s")).count().collect()}
 
 
-def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", id: str = "doc_id", block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
-    """``docs`` with ``block`` (of its source), ``slot`` (of the block, gapless over all), ``place`` (in the block), ``release`` and ``deadline`` (null in the shortened
-    period after which a source is empty). Order by slot, place. No row is dropped or repeated.
+def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", id: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``docs`` with ``block`` (of its source), ``slot`` (of the block, gapless over all), ``place`` (in the block), ``release`` and ``deadline``.
+    Order by slot, place. No row is dropped or repeated.
 
     ``weights`` by source; a source without one gets the square root of its rows' share, as do all if there are none.
     Null sources form one source; ties and repeated rows get consecutive places; an empty table stays empty.
     """
-    spark = docs.sparkSession
     counts = source_rows(docs, source)
     total = sum(counts.values())
-    weights = {s: float((weights or {}).get(s, (n / total) ** 0.5)) for s, n in counts.items()}
-    schema = "__s string, __from long, __end long, __base long, __length long, __places array<int>, __whole boolean"
-    table = spark.createDataFrame(rules({s: -(-n // block_rows) for s, n in counts.items()}, weights, period), schema)
-    rows = ranked(docs, [source], [F.col(id)], "__rank")
+    weights = {s: (weights or {}).get(s, (n / total) ** 0.5) for s, n in counts.items()}
+    table = written_schedule(docs.sparkSession, {s: -(-n // block_rows) for s, n in counts.items()}, weights)
+    table = table.select("__s", F.col("block").alias("__block"), "slot", "release", "deadline")
+    rows = ranked(docs.drop("slot", "release", "deadline"), [source], [F.col(id)], "__rank")
     rows = rows.withColumns({"block": F.expr(f"__rank div {block_rows}"), "place": F.expr(f"__rank % {block_rows}").cast("int"), "__key": F.coalesce(F.col(source).cast("string"), F.lit("\0null"))})
-    rows = rows.join(F.broadcast(table), (F.col("__key") == F.col("__s")) & (F.col("block") >= F.col("__from")) & (F.col("block") < F.col("__end")))
-    rows = rows.withColumn("__j", F.col("block") - F.col("__from")).withColumn("__a", F.size("__places"))
-    start = "__base + (__j div __a) * __length"
-    rows = rows.withColumns(
-        {
-            "slot": F.expr(f"{start} + __places[int(__j % __a)]").cast("long"),
-            "release": F.expr(f"if(__whole, {start} + ((__j % __a) * __length) div __a, null)").cast("long"),
-            "deadline": F.expr(f"if(__whole, {start} + (((__j % __a) + 1) * __length + __a - 1) div __a, null)").cast("long"),
-        }
-    )
-    return rows.drop("__rank", "__key", "__s", "__from", "__end", "__base", "__length", "__places", "__whole", "__j", "__a")
+    # The schedule grows with the rows, so it is not sent whole to every executor.
+    rows = rows.join(table.hint("merge"), (F.col("__key") == F.col("__s")) & (F.col("block") == F.col("__block")))
+    return rows.drop("__rank", "__key", "__s", "__block")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -160,6 +161,32 @@ def test_one_period_deviates_by_less_than_a_block():
             assert abs(sum(p < t for p in own) - t * weights[s] / period) < 1
 
 
+def within_a_block(order, weights):
+    """Whether, at every slot until a source runs out, each source's blocks are less than one from its target."""
+    last = {s: max(k for k, x in enumerate(order) if x == s) for s in weights}
+    done, total = dict.fromkeys(weights, 0), sum(map(Fraction, weights.values()))
+    for t, s in enumerate(order[: min(last.values()) + 1], 1):
+        done[s] += 1
+        if any(abs(done[x] - t * Fraction(w) / total) >= 1 for x, w in weights.items()):
+            return False
+    return True
+
+
+@pytest.mark.parametrize("weights", [dict.fromkeys("abcdefghijklmnopqrst", 1), {"a": 0.7, "b": 0.299, "c": 0.001}, {"a": 5.0, "b": 3**0.5, "c": 2**0.5, "d": 0.01}])
+def test_mixing_meets_the_given_weights_over_many_periods(weights):
+    least = min(weights.values())
+    placed = list(mixing.schedule({s: int(4000 * w / sum(weights.values())) + (w > least) for s, w in weights.items()}, weights))
+    assert [p[2] for p in placed] == list(range(len(placed)))
+    assert all(release <= slot < deadline for _, _, slot, release, deadline in placed)
+    assert within_a_block([p[0] for p in placed], weights)
+
+
+def test_mixed_rows_meet_the_given_weights(spark):
+    docs = spark.range(2400).selectExpr("id as doc_id", "concat('s', id % 20) as source")
+    rows = mixing.mix(docs, block_rows=1).collect()
+    assert within_a_block([r.source for r in sorted(rows, key=lambda r: r.slot)], {f"s{k}": 1 for k in range(20)})
+
+
 def test_bpe_matches_the_tokenizers_library(spark, small):
     import public_tokenizers
     from tokenizers import Tokenizer
