@@ -130,57 +130,111 @@ def parse(data: bytes, at: int) -> tuple[dict, bytes, int] | None:
     return head, body, end + 4
 
 
-def inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """(content, end) of the gzip member at a place, or None if it is damaged or cut off."""
-    z, out, step = zlib.decompressobj(31), [], 1 << 14
+def inflate(data: bytes, at: int) -> tuple[bytes, int, bool]:
+    """(content, end, whole) of the gzip member at a place; of one that is damaged or cut off, what it inflates to before that, and where that is."""
+    z, out, step, begin = zlib.decompressobj(31), [], 1 << 14, at
     view = memoryview(data)
     while at < len(data) and not z.eof:
         try:
             out.append(z.decompress(view[at : at + step]))
         except zlib.error:
-            return None
+            return *_inflate_to(view, begin, at), False
         at += min(step, len(data) - at)
         step = min(2 * step, 1 << 20)
-    return (b"".join(out), at - len(z.unused_data)) if z.eof else None
+    return b"".join(out), at - len(z.unused_data), z.eof
+
+
+def _inflate_to(view: memoryview, begin: int, good: int) -> tuple[bytes, int]:
+    """What a damaged member gives up to the byte that fails, which is behind ``good``."""
+    z = zlib.decompressobj(31)
+    out = [z.decompress(view[k : min(k + (1 << 20), good)]) for k in range(begin, good, 1 << 20)]
+    for at in range(good, len(view)):
+        try:
+            out.append(z.decompress(view[at : at + 1]))
+        except zlib.error:
+            return b"".join(out), at
+    return b"".join(out), len(view)
+
+
+def plain_parts(data: bytes) -> list[tuple]:
+    """(place, length, headers, body) of the records in plain bytes, and of the gaps between them (headers and body None), that together cover all bytes."""
+    at, gap, out = 0, 0, []
+    while at < len(data):
+        if one := parse(data, at):
+            if gap < at:
+                out.append((gap, at - gap, None, None))
+            out.append((at, one[2] - at, *one[:2]))
+            at = gap = one[2]
+        else:
+            at = data.find(VERSION, at + 1)
+            if at < 0:
+                break
+    if gap < len(data):
+        out.append((gap, len(data) - gap, None, None))
+    return out
 
 
 def salvage(data: bytes):
-    """Yields ("record", place, length, headers, body) and ("gap", place, length, None, None) that together cover all bytes.
+    """Yields ("record", place, length, headers, body, inner) and ("gap", place, length, None, None, inner) that together cover all bytes.
 
     Members may hold several records, plain records may follow members, and what follows a damaged part is found by searching for the next start that passes.
+    The parts of a member have its place and length, and as ``inner`` their own (place, length) in what it inflates to, which they cover; ``inner`` is None for
+    plain records and for gaps in the file. A damaged or cut-off member with good records reaches to the next start that passes, and ends with a gap:
+    the part that the damage reaches, even if it is a record whose bytes are all there.
     """
     at, gap, n = 0, 0, len(data)
+    broken, failed = [], 0  # parts of a damaged member that begins at ``gap``, and the place where it fails
+
+    def left(end):
+        if broken:
+            for place, length, head, body in broken:
+                yield "gap" if head is None else "record", gap, end - gap, head, body, (place, length)
+        elif gap < end:
+            yield "gap", gap, end - gap, None, None, None
+
     while at < n:
-        found, end = [], at
+        found, end, member_end, plain = [], at, 0, False
         if data.startswith(MEMBER, at):
-            if got := inflate(data, at):
-                inner, whole, k = got[0], True, 0
-                while k < len(inner) and (one := parse(inner, k)):
-                    found.append(one[:2])
-                    k = one[2]
-                whole = k == len(inner) and bool(found)
-                if whole or found:
-                    end = got[1]
+            content, stop, whole = inflate(data, at)
+            parts = plain_parts(content)
+            if not whole and parts:
+                # The part that the damage reaches has no end or check behind it.
+                parts[-1] = (*parts[-1][:2], None, None)
+            good = any(p[2] is not None for p in parts)
+            if whole and good:
+                found, end = parts, stop
+            elif whole:
+                member_end = stop
+            elif good:
+                yield from left(at)
+                gap, failed = at, stop
+                broken = parts
         elif one := parse(data, at):
-            found, end = [one[:2]], one[2]
-        if end > at:
-            if gap < at:
-                yield "gap", gap, at - gap, None, None
-            for head, body in found:
-                yield "record", at, end - at, head, body
+            # Stored blocks show the records of a damaged member a second time.
+            if at < failed and any(p[2:] == one[:2] for p in broken):
+                member_end = one[2]
+            else:
+                found, end, plain = [(0, one[2] - at, *one[:2])], one[2], True
+        if found:
+            yield from left(at)
+            broken, failed = [], 0
+            for place, length, head, body in found:
+                yield "gap" if head is None else "record", at, end - at, head, body, None if plain else (place, length)
             at = gap = end
+        elif member_end:
+            at = member_end
         else:
             nexts = [p for p in (data.find(MEMBER, at + 1), data.find(VERSION, at + 1)) if p >= 0]
             at = min(nexts) if nexts else n
-    if gap < n:
-        yield "gap", gap, n - gap, None, None
+    yield from left(n)
 
 
-_READ = "file string, place bigint, length bigint, gap boolean, page_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, payload string"
+_READ = "file string, place bigint, length bigint, gap boolean, page_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, payload string, inner_place bigint, inner_length bigint"
 
 
 def read_archives(files: DataFrame, payloads: bool = False) -> DataFrame:
-    """All records and quarantined gaps of archive contents (columns path, content, as the binaryFile source gives): one row each, with place and length in bytes.
+    """All records and quarantined gaps of archive contents (columns path, content, as the binaryFile source gives): one row each, with place and length in bytes,
+    and with inner_place and inner_length where it is a part of what a member inflates to.
 
     A damaged file gives its other records; an empty one gives none. ``payloads`` adds the payload of responses.
     """
@@ -193,11 +247,11 @@ def read_archives(files: DataFrame, payloads: bool = False) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 rows = []
-                for kind, place, length, head, body in salvage(content.as_py() or b""):
+                for kind, place, length, head, body, inner in salvage(content.as_py() or b""):
                     h = head or {}
                     digest = h.get("warc-payload-digest", "").removeprefix("sha256:") or None
                     size = h.get("x-payload-length", "")
-                    rows.append((path, place, length, kind == "gap", number(h.get("warc-record-id")), h.get("warc-target-uri"), h.get("warc-type"), digest if head is None or h.get("warc-type") == "revisit" else hashlib.sha256(body).hexdigest(), (int(size) if size.isdigit() else None) if h.get("warc-type") == "revisit" else (None if head is None else len(body)), number(h.get("warc-refers-to")), body.decode("utf-8", "replace") if payloads and body is not None else None))
+                    rows.append((path, place, length, kind == "gap", number(h.get("warc-record-id")), h.get("warc-target-uri"), h.get("warc-type"), digest if head is None or h.get("warc-type") == "revisit" else hashlib.sha256(body).hexdigest(), (int(size) if size.isdigit() else None) if h.get("warc-type") == "revisit" else (None if head is None else len(body)), number(h.get("warc-refers-to")), body.decode("utf-8", "replace") if payloads and body is not None else None, *(inner or (None, None))))
                     if len(rows) == 2000:
                         yield _batch(rows)
                         rows = []
@@ -208,7 +262,7 @@ def read_archives(files: DataFrame, payloads: bool = False) -> DataFrame:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
     names = [f.strip().split()[0] for f in _READ.split(",")]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 

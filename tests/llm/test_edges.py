@@ -1,5 +1,8 @@
 """Nulls, empty and long texts, repeated rows, clashing column names and empty tables."""
 
+import gzip
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +135,49 @@ def test_salvage_quarantines_what_is_damaged():
     assert sum(f[0] == "gap" for f in found) == 3
 
 
+def archive_of(*bad):
+    body = [(b"%d " % i) + bytes((i * 7919 + k * k * 31) % 251 for k in range(3000)) for i in range(5)]
+    rows = [warc.record(i, "u", b, hashlib.sha256(b).hexdigest(), len(b), None) for i, b in enumerate(body)]
+    return [r.replace(b"\r\n\r\n%d " % i, b"\r\n\r\n! ") if i in bad else r for i, r in enumerate(rows)]
+
+
+def found_in(data):
+    found = list(warc.salvage(data))
+    return [int(f[3]["warc-record-id"][10:-1]) for f in found if f[0] == "record"], found
+
+
+@pytest.mark.parametrize("bad", [(0,), (2,), (4,), (0, 1, 4), ()])
+def test_salvage_reads_on_behind_a_bad_record_of_a_member(bad):
+    rows = archive_of(*bad)
+    ids, found = found_in(warc.member(b"".join(rows)))
+    assert ids == [i for i in range(5) if i not in bad]
+    at = 0
+    for f in found:
+        assert f[5][0] == at
+        at += f[5][1]
+    assert at == sum(map(len, rows))
+    assert {f[5] for f in found if f[0] == "gap"} >= {(sum(map(len, rows[:i])), len(rows[i])) for i in bad if i - 1 not in bad and i + 1 not in bad}
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_salvage_reads_a_damaged_member_up_to_the_damage(level):
+    rows = archive_of()
+    data = gzip.compress(b"".join(rows), level)
+    first = warc.member(rows[4])
+    ids, found = found_in(first + data[: len(data) * 7 // 10] + first)
+    assert ids == [4, 0, 1, 2, 4]
+    spans = sorted({f[1:3] for f in found})
+    assert [a + n for a, n in spans] == [*(a for a, _ in spans[1:]), 2 * len(first) + len(data) * 7 // 10]
+    assert sum(f[0] == "gap" for f in found) == 1
+
+
+def test_archives_of_one_member_are_read_as_rows(spark):
+    rows = archive_of(1)
+    files = spark.createDataFrame([("f", bytearray(warc.member(b"".join(rows))))], "path string, content binary")
+    got = warc.read_archives(files).collect()
+    assert [(r.page_id, r.gap, r.inner_length) for r in got] == [(None if i == 1 else i, i == 1, len(x)) for i, x in enumerate(rows)]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (200, 201)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
