@@ -43,10 +43,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests instead of texts."""
+    """Token counts and digests instead of texts, with the slot and place of each document in the mix: rows read back from files have no order of their own."""
     import public_tokenizers
 
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    coded = written(bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json")), "coded")
+    return mixing.mix(coded).drop("block", "release", "deadline")
 
 
 STAGES = [("quality rules", quality), ("toxicity", toxic), ("n-gram Jaccard join", near_duplicates), ("mixing", mixed), ("BPE", tokens)]

@@ -252,3 +252,12 @@ def test_pipeline_is_its_stages_by_hand(spark, small):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, small).collect()
     assert sorted(map(tuple, last)) == sorted(map(tuple, corpus_pipeline.run(spark, small).collect()))
     assert names == ["quality rules", "toxicity", "n-gram Jaccard join", "mixing"]
+
+
+def test_pipeline_rows_keep_the_order_of_the_mix(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = sorted(corpus_pipeline.STAGES[-1][1](spark, docs, small).collect(), key=lambda r: (r.slot, r.place))
+    assert [(r.doc_id, r.slot, r.place) for r in rows] == [(r.doc_id, r.slot, r.place) for r in mixing.mix(docs).orderBy("slot", "place").collect()]
+    counts, sources = Counter(r.source for r in rows), {r.slot: r.source for r in rows}
+    assert sorted(sources) == list(range(len(sources)))
+    assert within_a_block([sources[k] for k in range(len(sources))], {s: (n / len(rows)) ** 0.5 for s, n in counts.items()})
