@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +15,11 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one where it is unset, as in tests."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Where it is unset a local session, as in tests, gets a temporary one; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="marginalia-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -29,6 +32,52 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key that has more than one in so many of all rows is hot: there are fewer such keys than this.
+HOT_SHARE = 1000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``table`` (one row a ``key``; ``n`` says how many of the ``total`` rows have it, and is dropped); rows without a match go.
+
+    Hot keys, fewer than ``HOT_SHARE``, are sent to every task, so that their rows stay where they are; the others are dealt by key.
+    """
+    hot = F.col(n) * HOT_SHARE > total
+    flags = F.broadcast(table.filter(hot).select(key).withColumn("__hot", F.lit(True)))
+    marked = rows.join(flags, key, "left")
+    here = marked.filter("__hot").drop("__hot").join(F.broadcast(table.filter(hot).drop(n)), key)
+    return here.unionByName(marked.filter("__hot is null").drop("__hot").join(table.filter(~hot).drop(n), key))
+
+
+def by_key(batches, column: str):
+    """(key, its batches) for each run of equal keys in sorted batches; one batch is held at a time."""
+    batches, batch = iter(batches), None
+
+    def more() -> bool:
+        nonlocal batch
+        while batch is None or not batch.num_rows:
+            batch = next(batches, None)
+            if batch is None:
+                return False
+        return True
+
+    def own(key):
+        nonlocal batch
+        while more():
+            other = np.flatnonzero(batch.column(column).to_numpy() != key)
+            n = int(other[0]) if len(other) else batch.num_rows
+            if not n:
+                return
+            part, batch = batch.slice(0, n), batch.slice(n)
+            yield part
+
+    while more():
+        key = batch.column(column)[0].as_py()
+        group = own(key)
+        yield key, group
+        for _ in group:  # what the caller left unread
+            pass
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

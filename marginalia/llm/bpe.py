@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import documents
-from .words import SPACES, Table, find_words, hash_words, slices
+from .words import SPACES, Table, block_at, blocks, find_words, hash_words, slices
 
 #: Fixed values of the byte-level alphabet: bytes that stand for themselves; the others get code points from 256 on, in order.
 PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -212,9 +212,11 @@ class WordCoder:
 
     def _clear(self) -> None:
         self.place: dict[int, int] = {}
+        self.other: dict[bytes, int] = {}  # words whose hash is another word's
+        self.raw, self.at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
         self.starts, self.sizes, self.ids, self.texts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), []
 
-    def _learn(self, words: list[bytes], keys: list[int]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         a = self.automaton
         parts = [a.pieces(w.decode()) for w in words]
         fresh = list(dict.fromkeys(p for x in parts for p in x if isinstance(p, bytes)))
@@ -225,13 +227,27 @@ class WordCoder:
         rows = [one(x[0]) if len(x) == 1 else np.concatenate([one(p) for p in x]) if x else np.zeros(0, np.int64) for x in parts]
         sizes = np.array([len(r) for r in rows], np.int64)
         begin = len(self.ids) + np.cumsum(sizes) - sizes
-        self.place.update(zip(keys, range(len(self.texts), len(self.texts) + len(keys)), strict=True))
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(words), np.uint8)])
+        self.at = np.append(self.at, self.at[-1] + np.cumsum([len(w) for w in words]))
         self.starts, self.sizes = np.append(self.starts, begin), np.append(self.sizes, sizes)
         self.ids = np.append(self.ids, np.concatenate(rows).astype(np.uint32) if rows else np.zeros(0, np.uint32))
         self.texts += [a.decode(r.tolist()).encode() for r in rows]
 
+    def _differ(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """The words of a slice whose bytes aren't those of the entry that their hash led to."""
+        wide, known, n = blocks(data), blocks(self.raw), ends - starts
+        own = self.at[entry]
+        bad, live, k = n != self.at[entry + 1] - own, np.arange(len(n)), 0
+        live = live[~bad]
+        while len(live):
+            rest = n[live] - k
+            bad[live] |= block_at(wide, starts[live] + k, rest) != block_at(known, own[live] + k, rest)
+            k += 8
+            live = live[n[live] > k]
+        return np.flatnonzero(bad)
+
     def encode(self, column):
-        """(number of ids, their bytes, the decoded text's bytes) of each text."""
+        """(number of ids, their bytes, the decoded text's bytes) of each text. Every word is compared with the one that its hash found."""
         import pandas as pd
 
         for _, _, data, offsets in slices(column):
@@ -243,12 +259,20 @@ class WordCoder:
                     self._clear()
             keys = keys.tolist()
             new = [i for i, k in enumerate(keys) if k not in self.place]
+            word = lambda i: data[starts[i] : ends[i]].tobytes()
             if new:
                 at = np.zeros(len(keys), np.int64)
                 at[codes[::-1]] = np.arange(len(codes))[::-1]
-                raw = data.tobytes()
-                self._learn([raw[s:e] for s, e in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)], [keys[i] for i in new])
+                self.place.update((keys[i], len(self.texts) + n) for n, i in enumerate(new))
+                self._learn([word(i) for i in at[new].tolist()])
             entry = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[codes] if len(codes) else np.zeros(0, np.int64)
+            if len(bad := self._differ(data, starts, ends, entry)):
+                words = [word(i) for i in bad.tolist()]
+                fresh = list(dict.fromkeys(w for w in words if w not in self.other))
+                self.other.update((w, len(self.texts) + n) for n, w in enumerate(fresh))
+                if fresh:
+                    self._learn(fresh)
+                entry[bad] = [self.other[w] for w in words]
             sizes = self.sizes[entry]
             total = np.concatenate([[0], np.cumsum(sizes)])
             flat = np.repeat(self.starts[entry] - total[:-1], sizes) + np.arange(total[-1])
@@ -275,7 +299,8 @@ def coder(path: str) -> WordCoder:
 def encode(docs: DataFrame, path: str, text: str = "text", digests: bool = True) -> DataFrame:
     """``docs`` without ``text`` but with n_tokens, and ids_sha256 and decoded_sha256; or, without ``digests``, ids (array<long>) and decoded.
 
-    Nulls are empty texts (no tokens); other columns pass through; repeated rows are coded alike. ``path`` is a tokenizer file that every executor can read.
+    Nulls are empty texts (no tokens); other columns pass through, but for those named like the result's, which it replaces; repeated rows are coded alike, order and ties
+    don't matter, long texts are coded whole, and an empty table gives an empty result. ``path`` is a tokenizer file that every executor can read.
     """
     kept = docs.drop(text)
     result = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<bigint>, decoded string"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,9 +10,6 @@ import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is taken alone.
 SLICE = 1 << 20
-_R = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 #: ASCII characters other than letters and digits; bytes of other scripts count as letters.
@@ -19,22 +17,8 @@ MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    """R**i and R**-i modulo 2**64 for i up to n."""
-    if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, SLICE + 1)
-        tables = []
-        for base in (_R, pow(_R, -1, 1 << 64)):
-            t = np.full(size, base & _MASK, np.uint64)
-            t[0] = 1
-            tables.append(np.cumprod(t, dtype=np.uint64))
-        if size > 4 * SLICE:
-            return tables
-        _powers[:] = tables
-    return _powers
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 512
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -77,12 +61,32 @@ def find_words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def blocks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; zeros follow the end."""
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", wide, strides=(1,))
+
+
+def block_at(wide: np.ndarray, starts: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place, or the first ``rest`` of them where that is fewer."""
+    x = wide[starts].astype(np.uint64)
+    short = np.flatnonzero(rest < 8)
+    x[short] &= (np.uint64(1) << (np.uint64(8) * rest[short].astype(np.uint64))) - np.uint64(1)
+    return x
+
+
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial in its bytes, from running sums over the whole slice."""
-    up, down = _power_tables(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """A 64-bit hash of each word, mixed after each block of eight bytes; words of one length up to eight bytes never share one."""
+    wide, n = blocks(data), ends - starts
+    h = mix(n.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    live, k = np.flatnonzero(n <= LONG_WORD), 0
+    while len(live):
+        h[live] = mix(h[live] ^ block_at(wide, starts[live] + k, n[live] - k))
+        k += 8
+        live = live[n[live] > k]
+    for i in np.flatnonzero(n > LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def hashed(column, breaks: np.ndarray = SPACES, lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
