@@ -2,7 +2,7 @@
 
 A linear model is trained on trusted positives and unlabelled texts only: it minimises the non-negative unbiased risk
 ``p * E_pos[loss(+)] + max(0, E_unl[loss(-)] - p * E_pos[loss(-)])`` with the logistic loss, where ``p`` is the class prior, estimated as the share of
-positives among the labelled training rows. Features are frequencies of character-shape trigrams and hashed words, and bins of length and variety.
+positives among the labelled training rows; that is right as far as labels are a random sample of the documents. Features are frequencies of character-shape trigrams and hashed words, and bins of length and variety.
 """
 
 from __future__ import annotations
@@ -12,14 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import documents
+from .base import by_key, documents
+from .shards import SENT, dealt, sent, summed
 from .toxicity import fold
 from .words import LOWER, SPACES, find_words, hash_words, row_of, slices
 
-#: Bounds of the training sample: trusted positives, and unlabelled texts; those with the smallest hashes of their id.
-POSITIVE_ROWS, UNLABELLED_ROWS = 6_000, 12_000
-#: Shards that train side by side; their weights are averaged after each round.
-SHARDS, ROUNDS, EPOCHS, BATCH = 4, 4, 6, 64
+#: Bound of the trusted positives: labelled rows with the smallest hashes of their id. All unlabelled texts are used.
+POSITIVE_ROWS = 6_000
+#: Unlabelled rows and positives of a shard, about; rounds, after each of which the shards' weights are averaged; every text is in one round.
+SHARD_ROWS, SHARD_POSITIVES, ROUNDS = 4096, 512, 2
+EPOCHS, STEPS, BATCH = 3, 96, 64
 RATE, DECAY, SCALE = 0.3, 1e-5, 12.0
 THRESHOLD = 0.5
 
@@ -79,76 +81,91 @@ def _rows(column):
             yield at, np.concatenate([SCALE * ct / max(1, len(t)), SCALE * cu / max(1, len(u)), np.ones(3)])
 
 
-def _shard(w0: np.ndarray, prior: float, turn: int):
-    """Epochs of the non-negative risk over a shard's rows, from the given weights; gives the new weights."""
+def gradient(at: np.ndarray, x: np.ndarray, of: np.ndarray, w: np.ndarray, n_pos: int, prior: float) -> tuple[np.ndarray, float]:
+    """(derivative of the risk by each row's margin, the negative class's risk) of a batch: features ``at`` with values ``x`` of rows ``of``, the first ``n_pos`` of them positive.
+
+    Where the negative class's risk is below zero, which it can't be, the step goes back from what made it so.
+    """
+    n = int(of[-1]) + 1
+    f = np.clip(np.bincount(of, x * w[at], n), -30, 30)
+    s = 1 / (1 + np.exp(-f))
+    negative = np.logaddexp(0, f[n_pos:]).mean() - prior * np.logaddexp(0, f[:n_pos]).mean()
+    if negative >= 0:
+        return np.concatenate([np.full(n_pos, -prior / n_pos), s[n_pos:] / (n - n_pos)]), negative
+    return np.concatenate([prior * s[:n_pos] / n_pos, -s[n_pos:] / (n - n_pos)]), negative
+
+
+def _train(pos: list, unl: list, w0: np.ndarray, number: int, prior: float) -> np.ndarray:
+    """The weights after a shard's steps: its unlabelled rows ``EPOCHS`` times, or ``STEPS`` steps if that is more."""
+    rng = np.random.default_rng(7919 + number)
+    w, seen = w0.copy(), np.full(SIZE, 1e-3)
+    steps = max(STEPS, EPOCHS * -(-len(unl) // (2 * BATCH)))
+    order = lambda n, size: np.concatenate([rng.permutation(n) for _ in range(-(-steps * size // n))])
+    order_p, order_u = order(len(pos), BATCH), order(len(unl), 2 * BATCH)
+    for k in range(steps):
+        some = [pos[i] for i in order_p[k * BATCH : (k + 1) * BATCH]] + [unl[i] for i in order_u[2 * k * BATCH : 2 * (k + 1) * BATCH]]
+        at, x = np.concatenate([r[0] for r in some]), np.concatenate([r[1] for r in some])
+        of = np.repeat(np.arange(len(some)), [len(r[0]) for r in some])
+        g, _ = gradient(at, x, of, w, BATCH, prior)
+        names, place = np.unique(at, return_inverse=True)
+        d = np.bincount(place, x * g[of], len(names)) + DECAY * w[names]
+        seen[names] += d * d
+        w[names] -= RATE * d / np.sqrt(seen[names])
+    return w
+
+
+def _shards(start, prior: float):
+    """Each shard's weights after its steps, times its unlabelled rows, and the number of these behind them."""
 
     def run(batches):
-        sets: dict[bool, list] = {True: [], False: []}
-        number = None
-        for batch in batches:
-            number = batch.column("shard")[0].as_py() if number is None and batch.num_rows else number
-            for positive, row in zip(batch.column("positive").to_pylist(), _rows(batch.column("text")), strict=True):
-                sets[positive].append(row)
-        pos, unl = sets[True], sets[False]
-        if not pos or not unl:
-            return
-        rng = np.random.default_rng(7919 * turn + number)
-        w, seen = w0.copy(), np.full(SIZE, 1e-3)
-        for _ in range(EPOCHS):
-            order_u, order_p = rng.permutation(len(unl)), rng.permutation(len(pos))
-            for k in range(0, len(unl), 2 * BATCH):
-                some_u = [unl[x] for x in order_u[k : k + 2 * BATCH]]
-                some_p = [pos[order_p[(k // 2 + x) % len(pos)]] for x in range(min(BATCH, len(pos)))]
-                rows = some_p + some_u
-                at = np.concatenate([r[0] for r in rows])
-                x = np.concatenate([r[1] for r in rows])
-                of = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-                f = np.clip(np.bincount(of, x * w[at], len(rows)), -30, 30)
-                s = 1 / (1 + np.exp(-f))
-                p, u = slice(0, len(some_p)), slice(len(some_p), None)
-                negative = np.logaddexp(0, f[u]).mean() - prior * np.logaddexp(0, f[p]).mean()
-                g = np.empty(len(rows))
-                if negative >= 0:
-                    g[p] = prior * (s[p] - 1 - s[p]) / len(some_p)
-                    g[u] = s[u] / len(some_u)
-                else:  # the risk of the negative class can't be below zero: step back from what made it so
-                    g[p] = prior * s[p] / len(some_p)
-                    g[u] = -s[u] / len(some_u)
-                names, place = np.unique(at, return_inverse=True)
-                d = np.bincount(place, x * g[of], len(names)) + DECAY * w[names]
-                seen[names] += d * d
-                w[names] -= RATE * d / np.sqrt(seen[names])
-        at = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["at", "w"])
+        for number, own in by_key(batches, "shard"):
+            sets: dict[bool, list] = {True: [], False: []}
+            for batch in own:
+                for positive, row in zip(batch.column("positive").to_pylist(), _rows(batch.column("text")), strict=True):
+                    sets[positive].append(row)
+            if sets[True] and sets[False]:
+                n = len(sets[False])
+                yield sent(number, np.append(_train(sets[True], sets[False], start.value, number, prior) * n, n))
 
     return run
 
 
 def fit(positives: DataFrame, unlabelled: DataFrame, prior: float) -> np.ndarray:
-    """Weights from a bounded number of texts (column text) of both kinds. Without either kind all weights are 0, and so all scores 0.5."""
-    rows = positives.select("text", F.lit(True).alias("positive")).unionByName(unlabelled.select("text", F.lit(False).alias("positive")))
-    rows = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("h", F.xxhash64("text", "positive"))
-    rows = rows.withColumn("shard", F.pmod("h", F.lit(SHARDS)).cast("int")).repartition(SHARDS, "shard").sortWithinPartitions("shard", "h", "text").select("text", "positive", "shard").persist()
-    w = np.zeros(SIZE)
+    """Weights from texts (column text) of both kinds: a bounded number of positives, and any number of unlabelled ones, all of which are used.
+
+    Unlabelled rows are dealt by a hash of their text to shards of about ``SHARD_ROWS``, and each shard gets about ``SHARD_POSITIVES`` of the positives; the shards of a
+    round train side by side and are averaged by rows. So the model doesn't depend on the cluster. Nulls are empty texts; without either kind all weights are 0, and so all scores 0.5.
+    """
+    spark = positives.sparkSession
+    shards = ROUNDS * max(1, -(-unlabelled.count() // (ROUNDS * SHARD_ROWS)))
+    groups = min(shards, max(1, positives.count() // SHARD_POSITIVES))
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    text = F.coalesce("text", F.lit("")).alias("text")
+    good = positives.select(text, F.lit(True).alias("positive"), h.alias("h"), F.explode(F.sequence(F.pmod(h, F.lit(groups)), F.lit(shards - 1).cast("long"), F.lit(groups).cast("long"))).alias("to"))
+    rest = unlabelled.select(text, F.lit(False).alias("positive"), h.alias("h"), F.pmod(F.shiftright(h, 20), F.lit(shards)).alias("to"))
+    rows, w = good.unionByName(rest), np.zeros(SIZE)
     for turn in range(ROUNDS):
-        # One task may hold two shards' rows; it then trains on both together. Every task that trains gives a bias, so those count the tasks.
-        found = rows.mapInArrow(_shard(w, prior, turn), "at bigint, w double").groupBy("at").agg(F.sum("w").alias("w"), F.count("*").alias("n")).toArrow()  # SIZE rows at most
-        w = np.zeros(SIZE)
-        w[found["at"].to_numpy()] = found["w"].to_numpy() / found["n"].to_numpy().max(initial=1)
-    rows.unpersist()
+        start = spark.sparkContext.broadcast(w)  # SIZE numbers
+        mine = dealt(rows.filter(F.col("to") % ROUNDS == turn), shards // ROUNDS, F.expr(f"to div {ROUNDS}"), ["h", "positive", "text"])
+        total = summed(mine.select("shard", "text", "positive").mapInArrow(_shards(start, prior), SENT), shards // ROUNDS)
+        start.destroy()
+        w = w if total is None else total[:-1] / total[-1]
     return w
 
 
 def score(docs: DataFrame, w: np.ndarray, text: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` with ``into``: the probability of good quality (double). Nulls score as empty texts, by their bins alone; whole texts count."""
-    sent = docs.sparkSession.sparkContext.broadcast(w)  # SIZE numbers
+    """``docs`` with ``into``: the probability of good quality (double), which replaces a column of that name. Other columns pass through.
+
+    Nulls score as empty texts, by their bins alone; whole texts count; repeated rows score alike and stay; an empty table gives an empty result.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(w)  # SIZE numbers
     kept = [f for f in docs.schema if f.name != into]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{into}` double"])
 
     def run(batches):
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for i, j, m in margins(batch.column(batch.schema.get_field_index(text)), sent.value):
+            for i, j, m in margins(batch.column(batch.schema.get_field_index(text)), known.value):
                 out[i:j] = 1 / (1 + np.exp(-np.clip(m, -35, 35)))
             keep = [k for k, name in enumerate(batch.schema.names) if name != into]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(out)], [*(batch.schema.names[k] for k in keep), into])
@@ -157,15 +174,13 @@ def score(docs: DataFrame, w: np.ndarray, text: str = "text", into: str = "score
 
 
 def train_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> np.ndarray:
-    """Positives and prior from the labels of the training fold; unlabelled texts from the same fold of all documents, whatever their label."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(F.col("quality").isNotNull() & (fold("doc_id", 3) != 1))
+    """Positives and prior from the labels of the training fold; unlabelled texts are all documents of that fold, whatever their label."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 3) != 1))
     labels = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     prior = labels.agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    small = lambda ids, n: F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n))
-    good = small(labels.filter("quality = 1").select("doc_id"), POSITIVE_ROWS)
-    some = small(docs.filter(fold("doc_id", 3) != 1).select("doc_id"), UNLABELLED_ROWS)
-    texts = docs.select("doc_id", "text")
-    return fit(texts.join(good, "doc_id"), texts.join(some.distinct(), "doc_id"), 0.5 if prior is None else float(np.clip(prior, 0.01, 0.99)))
+    good = F.broadcast(labels.filter("quality = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVE_ROWS))
+    learn = docs.filter(fold("doc_id", 3) != 1).select("doc_id", "text")
+    return fit(learn.join(good, "doc_id").select("text"), learn.select("text"), 0.5 if prior is None else float(np.clip(prior, 0.01, 0.99)))
 
 
 def op2_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
