@@ -1,8 +1,7 @@
 """Operator 6: quality rules by a hashed n-gram log-likelihood ratio, with DataFrame functions only.
 
 Two multinomials over hashed n-grams are counted: one over a trusted target, one over the whole raw corpus. A document's score is the
-mean log ratio of its n-grams; a fixed threshold decides each document. The n-grams are words, and the last two characters of each
-word, so that marks glued to rare words still count.
+mean log ratio of its n-grams; a fixed threshold decides each document. The n-grams are words, and each two words that follow each other.
 """
 
 from __future__ import annotations
@@ -17,9 +16,11 @@ BUCKETS = 1 << 16
 #: Bound of the trusted sample (labelled rows with quality 1, by the hash of their id).
 TRUSTED_ROWS = 20_000
 #: Kept: mean log ratio of at least this.
-THRESHOLD = -0.35
+THRESHOLD = -0.1
 #: Pseudo-count of each bucket.
 SMOOTHING = 0.5
+#: Columns that the rules add, in place of columns of these names.
+RESULT = ("n_words", "word_chars", "n_repeat_words", "llr", "n_symbols", "n_dup_lines", "base_failed", "kept")
 
 
 def _repeat_words(h: Column) -> Column:
@@ -43,21 +44,22 @@ def _repeat_words(h: Column) -> Column:
     return F.when(F.size(h) < 6, F.lit(0)).otherwise(let(F.transform(F.sequence(F.lit(0), F.size(h) - 5), window), of_keys))
 
 
-def _grams(words: Column, hashes: Column) -> Column:
-    """The hashed n-grams of a text: its words, and the last two characters of each word."""
-    ends = F.transform(words, lambda w: F.pmod(F.xxhash64(F.substring(w, -2, 2), F.lit(0)), F.lit(BUCKETS)).cast("int"))
-    return F.concat(F.transform(hashes, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")), ends)
+def _grams(hashes: Column) -> Column:
+    """The hashed n-grams of a text from its words' hashes: the words, and each two that follow each other."""
+    bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
+    pairs = F.transform(hashes, lambda h, i: bucket(F.xxhash64(h, F.get(hashes, i + 1))))
+    return F.concat(F.transform(hashes, bucket), F.slice(pairs, F.lit(1), F.greatest(F.size(hashes) - 1, F.lit(0))))
 
 
 def ngram_buckets(text: Column) -> Column:
-    return let(words_of(text), lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: _grams(w, h)))
+    return let(words_of(text), lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), _grams))
 
 
 def _counts(text: Column, ratios: Column) -> Column:
     """n_words, word_chars, n_repeat_words and llr of a text, as a struct; its words are split and hashed once."""
 
     def of_words(t: Column, w: Column, h: Column) -> Column:
-        llr = let(_grams(w, h), lambda g: F.aggregate(g, F.lit(0.0), lambda s, b: s + F.get(ratios, b)) / F.size(g))
+        llr = let(_grams(h), lambda g: F.aggregate(g, F.lit(0.0), lambda s, b: s + F.get(ratios, b)) / F.size(g))
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             (F.length(t) - F.size(F.split(t, " ")) + 1).cast("long").alias("word_chars"),
@@ -94,17 +96,17 @@ def fit_ratios(docs: DataFrame, trusted_ids: DataFrame, id: str = "doc_id", text
 def quality_rules(docs: DataFrame, ratios: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the base counts, ``llr`` (mean log ratio an n-gram; 0 for a text without words) and ``kept``.
 
-    Nulls count as empty texts (base_failed); repeated rows are each decided alike; an empty table gives an empty result; other columns pass through.
+    Nulls count as empty texts (base_failed); repeated rows are each decided alike; an empty table gives an empty result; other columns pass
+    through, but for those in ``RESULT``, which are replaced. A ratio equal to the threshold is kept.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("__ratios", ratios.scalar()).withColumn("__s", _counts(F.col(text), F.col("__ratios")))
-    out = out.withColumns(
-        {
-            **{c: F.col("__s")[c] for c in ("n_words", "word_chars", "n_repeat_words", "llr")},
-            "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
-            "n_dup_lines": _dup_lines(t).cast("long"),
-        }
-    ).drop("__s", "__ratios")
+    counts = let(_counts(F.col(text), F.col("__ratios")), lambda s: F.struct(
+        *[s[c].alias(c) for c in ("n_words", "word_chars", "n_repeat_words", "llr")],
+        F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), _dup_lines(t).cast("long").alias("n_dup_lines"),
+    ))
+    # A generator stands between the counts and whatever filters on them, so they are made once a row.
+    kept = docs.drop(*RESULT).withColumn("__ratios", ratios.scalar())
+    out = kept.select("*", F.inline(F.array(counts))).drop("__ratios")
     out = out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
