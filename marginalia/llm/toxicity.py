@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import documents
+from .base import by_key, documents
+from .shards import SENT, dealt, sent, summed
 from .words import MARKS, hashed, mix, row_of
 
 #: Hashed feature space; model and sums have this size at most.
@@ -46,70 +47,72 @@ def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def _shard(start: dict):
-    """One pass of FTRL over a shard's rows from the given sums; gives the sums of the coordinates that it touched."""
+def _shard(start):
+    """One pass of FTRL over each shard's rows from the given sums; gives which coordinates it touched, and their new sums."""
 
     def run(batches):
-        z, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
-        z[start["at"]], n[start["at"]] = start["z"], start["n"]
-        touched = np.zeros(BUCKETS, bool)
-        for batch in batches:
-            y = batch.column("y").to_numpy()
-            for i, j, row, b in features(batch.column("text")):
-                pairs = np.unique(row * BUCKETS + b)
-                row, b = pairs // BUCKETS, pairs % BUCKETS
-                touched[b] = True
-                edges = np.searchsorted(row, np.arange(j - i + 1))
-                for k in range(j - i):
-                    f = b[edges[k] : edges[k + 1]]
-                    w = weights(z[f], n[f])
-                    g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y[i + k]
-                    rate = (np.sqrt(n[f] + g * g) - np.sqrt(n[f])) / ALPHA
-                    z[f] += g - rate * w
-                    n[f] += g * g
-        at = np.flatnonzero(touched)
-        for k in range(0, len(at), 1 << 16):
-            part = at[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(z[part]), pa.array(n[part])], ["at", "z", "n"])
+        for shard, own in by_key(batches, "shard"):
+            z, n = (x.astype(np.float64) for x in start.value)
+            touched = np.zeros(BUCKETS, bool)
+            for batch in own:
+                y = batch.column("y").to_numpy()
+                for i, j, row, b in features(batch.column("text")):
+                    pairs = np.unique(row * BUCKETS + b)
+                    row, b = pairs // BUCKETS, pairs % BUCKETS
+                    touched[b] = True
+                    edges = np.searchsorted(row, np.arange(j - i + 1))
+                    for k in range(j - i):
+                        step(z, n, b[edges[k] : edges[k + 1]], y[i + k])
+            yield sent(shard, np.stack([touched, z * touched, n * touched], 1).ravel())
 
     return run
 
 
+def step(z: np.ndarray, n: np.ndarray, f: np.ndarray, y: float) -> None:
+    """One text, with features ``f`` of value 1 and label ``y``, adds its gradient to the sums."""
+    w = weights(z[f], n[f])
+    g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+    rate = (np.sqrt(n[f] + g * g) - np.sqrt(n[f])) / ALPHA
+    z[f] += g - rate * w
+    n[f] += g * g
+
+
 def fit(rows: DataFrame, text: str = "text", label: str = "y") -> dict:
-    """The trained weights that aren't zero, as arrays ``at`` and ``w``. ``rows``: a bounded number of texts with labels 0 or 1; null labels don't count.
+    """The trained weights that aren't zero, as arrays ``at`` and ``w``. ``rows``: a bounded number of texts with labels 0 or 1; null labels don't count, null texts are empty.
 
-    Without rows, or with one label only, the weights are few or none, and scores are near the label's rate.
+    Rows are dealt to shards, and put in order there, by a hash of text and label, so ties and repeated rows train alike on any cluster. Without rows, or with
+    one label only, the weights are few or none, and scores are near the label's rate.
     """
     spark = rows.sparkSession
     rows = rows.filter(F.col(label).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("double").alias("y"))
-    # A shard's rows are dealt and put in order by their text's hash, so that training gives the same on any cluster.
-    rows = rows.withColumn("h", F.xxhash64("text", "y")).repartition(SHARDS, F.pmod("h", F.lit(SHARDS))).sortWithinPartitions("h", "text").drop("h").persist()
-    state = {"at": np.zeros(0, np.int64), "z": np.zeros(0), "n": np.zeros(0)}
+    rows = dealt(rows.withColumn("h", F.xxhash64("text", "y")), SHARDS, F.pmod("h", F.lit(SHARDS)), ["h", "text"]).select("shard", "text", "y").persist()
+    z, n = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
     for _ in range(ROUNDS):
-        old = state
-        found = rows.mapInArrow(_shard(state), "at bigint, z double, n double").groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n"), F.count("*").alias("c"))
-        p = found.toArrow()  # BUCKETS rows at most
-        at, c = p["at"].to_numpy(), p["c"].to_numpy()
-        z, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
-        z[old["at"]], n[old["at"]] = old["z"], old["n"]
-        # Mean over the shards that saw the coordinate.
-        z[at], n[at] = p["z"].to_numpy() / c, p["n"].to_numpy() / c
-        keep = np.flatnonzero(n)
-        state = {"at": keep, "z": z[keep], "n": n[keep]}
+        start = spark.sparkContext.broadcast((z, n))  # BUCKETS numbers each
+        total = summed(rows.mapInArrow(_shard(start), SENT), SHARDS)
+        start.destroy()
+        if total is not None:
+            seen, *new = total.reshape(-1, 3).T
+            # Mean over the shards that saw the coordinate.
+            z, n = (np.where(seen > 0, x / np.maximum(seen, 1), old).astype(np.float32) for x, old in zip(new, (z, n), strict=True))
     rows.unpersist()
-    w = weights(state["z"], state["n"])
-    return {"at": state["at"][w != 0], "w": w[w != 0].astype(np.float64)}
+    w = weights(z.astype(np.float64), n.astype(np.float64))
+    at = np.flatnonzero(w)
+    return {"at": at, "w": w[at]}
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` with ``into``: the probability of label 1 (double). Nulls score as empty texts, by the bias alone; all words of long texts count."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # nonzero weights, BUCKETS at most
+    """``docs`` with ``into``: the probability of label 1 (double), which replaces a column of that name. Other columns pass through.
+
+    Nulls score as empty texts, by the bias alone; all words of long texts count; repeated rows score alike and stay; an empty table gives an empty result.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(model)  # nonzero weights, BUCKETS at most
     kept = [f for f in docs.schema if f.name != into]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{into}` double"])
 
     def run(batches):
         w = np.zeros(BUCKETS)
-        w[sent.value["at"]] = sent.value["w"]
+        w[known.value["at"]] = known.value["w"]
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for i, j, row, b in features(batch.column(batch.schema.get_field_index(text))):
@@ -124,8 +127,8 @@ def score(docs: DataFrame, model: dict, text: str = "text", into: str = "score")
 
 
 def fold(id: str, parts: int):
-    """crc32 of the id as text, modulo ``parts``."""
-    return F.crc32(F.col(id).cast("string").cast("binary")) % parts
+    """crc32 of the id as text, modulo ``parts``; -1 for a null id, which so is in no fold that a query holds out."""
+    return F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % parts, F.lit(-1))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, use, rows: int) -> DataFrame:
