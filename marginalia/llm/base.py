@@ -32,22 +32,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: A key that has more than one in so many of all rows is hot: there are fewer such keys than this.
-HOT_SHARE = 1000
-
-
-def looked_up(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """``rows`` with the columns of ``table`` (one row a ``key``; ``n`` says how many of the ``total`` rows have it, and is dropped); rows without a match go.
-
-    Hot keys, fewer than ``HOT_SHARE``, are sent to every task, so that their rows stay where they are; the others are dealt by key.
-    """
-    hot = F.col(n) * HOT_SHARE > total
-    flags = F.broadcast(table.filter(hot).select(key).withColumn("__hot", F.lit(True)))
-    marked = rows.join(flags, key, "left")
-    here = marked.filter("__hot").drop("__hot").join(F.broadcast(table.filter(hot).drop(n)), key)
-    return here.unionByName(marked.filter("__hot is null").drop("__hot").join(table.filter(~hot).drop(n), key))
-
-
 def by_key(batches, column: str):
     """(key, its batches) for each run of equal keys in sorted batches; one batch is held at a time."""
     batches, batch = iter(batches), None

@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by alternating large and small stars; only counts reach the driver."""
+"""Connected components of an edge table, by contraction; only whether edges are left reaches the driver."""
 
 from __future__ import annotations
 
@@ -8,26 +8,36 @@ from pyspark.sql import functions as F
 from .base import written
 
 
+def lowest(edges: DataFrame) -> DataFrame:
+    """(node, to): for each node of ``edges`` (columns a, b) that of it and its neighbours with the smallest hash, as a written table. Minima have map-side halves, so a hub's edges needn't meet."""
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    found = both.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("v"))).alias("m"))
+    own = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("v"))
+    return written(found.select("node", F.least("m", own)["v"].alias("to")), "lowest")
+
+
+def moved(rows: DataFrame, low: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``column`` taken to where ``low`` sends it. ``low`` is a written table, so Spark may split the rows of a hub at the join."""
+    to = low.select(F.col("node").alias(column), F.col("to").alias("__to"))
+    return rows.join(to, column, "left").withColumn(column, F.coalesce("__to", column)).drop("__to")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): for each node of ``edges`` (columns a, b: long) the smallest node that it reaches. Self-loops and repeats do no harm; no edges give an empty table.
 
-    Neighbourhood minima are plain sums over rows with map-side halves, so a hub's edges needn't meet in one task.
+    Each round sends every node to its lowest neighbour in the order of a hash, so chains of any numbering shrink by a share of their nodes, and the edges between what is left go on.
     """
-    def stars(e: DataFrame, large: bool) -> DataFrame:
-        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        near = both.join(low, "a")
-        moved = near.filter("b > a").select("b", "m") if large else near.select("b", "m").union(low.select(F.col("a").alias("b"), "m"))
-        return moved.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-
-    edges = written(edges.filter("a <> b").select("a", "b").distinct(), "edges")
-    print_of = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    old = None
-    while True:
-        new = print_of(edges)
-        if new == old:
-            break
-        old = new
-        edges = written(stars(stars(edges, True), False), "edges")
-    leaves = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return leaves.union(leaves.select("root", "root").distinct())
+    e = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    rounds: list[DataFrame] = []
+    while not e.isEmpty():
+        rounds.append(lowest(e))
+        to = moved(moved(e, rounds[-1], "a"), rounds[-1], "b").filter("a <> b")
+        e = written(to.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    if not rounds:
+        return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = rounds[0].withColumnRenamed("to", "root")
+    for low in rounds[1:]:
+        out = moved(out, low, "root")
+    out = written(out, "labels")
+    least = written(out.groupBy("root").agg(F.min("node").alias("least")), "least")
+    return out.join(least, "root").select("node", F.col("least").alias("root"))

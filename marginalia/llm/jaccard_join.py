@@ -3,7 +3,8 @@
 Every distinct shingle set gets a bitmap of its hashed shingles and a prefix: its rarest shingles, one more than a partner may lack. Two
 linked sets share a prefix shingle, so each such shingle is a tile, in which the sets stand by size and only sets within the size band meet. For two that meet, bits set in
 only one bitmap are shingles that the other lacks; that bounds the overlap from above. What passes is settled by intersecting the
-sorted hash arrays. The result is components, so a pair that links connect already needs no settling: sets first meet one leader of their tile, and only what stays apart meets pair by pair.
+sorted hash arrays. The result is components, so a pair that links connect already needs no settling: sets first meet one leader of their tile, then one partner of another
+group. In tiles where more stays apart, the arrays themselves come to the tile, which settles its pairs and gives only links that join two groups: one less than it has sets at most.
 """
 
 from __future__ import annotations
@@ -13,19 +14,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import documents, written
-from .components import components
+from .base import by_key, documents, written
+from .components import components, lowest, moved
 from .shingles import sets
 from .words import Table, mix
 
 #: Shingles that are counted together to find common ones, and how many common ones are known to all tasks. They only order prefixes: any list gives the same links.
 CHUNK, COMMON = 1 << 21, 1 << 17
-#: Sets of a tile that a task holds at most, twice; ids that are broadcast at most.
-BLOCK, FEW = 8192, 1 << 20
+#: Sets of a tile that a task holds at most, twice, and their shingles, but for single sets that have more; ids that are broadcast at most.
+BLOCK, BLOCK_SHINGLES, FEW = 8192, 1 << 21, 1 << 20
 
 
-def common_shingles(docs: DataFrame, size: int, text: str = "text") -> np.ndarray:
-    """Shingles that repeat among neighbouring rows, by rising count: the most common ``COMMON`` of all rows."""
+def common_shingles(docs: DataFrame, size: int, text: str = "text") -> tuple[np.ndarray, int]:
+    """Shingles that repeat among neighbouring rows, by rising count: the most common ``COMMON`` of all rows; and how many of them more than ``BLOCK`` times."""
 
     def run(batches):
         held, n = [], 0
@@ -47,7 +48,7 @@ def common_shingles(docs: DataFrame, size: int, text: str = "text") -> np.ndarra
 
     counts = docs.select(text).mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
     top = counts.filter("c >= 4").orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
-    return top["h"].to_numpy().view(np.uint64)[::-1].copy()
+    return top["h"].to_numpy().view(np.uint64)[::-1].copy(), int((top["c"].to_numpy() > BLOCK).sum())
 
 
 def bitmap(s: np.ndarray, least: int = 2) -> bytes:
@@ -58,12 +59,17 @@ def bitmap(s: np.ndarray, least: int = 2) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def signatures(docs: DataFrame, size: int, percent: int, common: np.ndarray, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, n (set size), s (a hash of the whole set; null if it is empty), bitmap, prefix."""
+def signatures(docs: DataFrame, size: int, percent: int, common: tuple[np.ndarray, int], id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: id, n (set size), s (a hash of the whole set; null if it is empty), bitmap, prefix.
+
+    A prefix shingle that many sets may have is keyed by bands of set sizes as well, its set's own and the next, so that sets of like sizes share a key and no key has all of them.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(common)  # COMMON at most
 
     def run(batches):
-        rank_of = Table(sent.value, np.arange(1, len(sent.value) + 1), 0)
+        shared, many = sent.value
+        rank_of = Table(shared, np.arange(1, len(shared) + 1), 0)
+        least_hot = len(shared) - many
         for batch in batches:
             for i, j, s, first in sets(batch.column(1), size):
                 rank = rank_of(s)
@@ -78,7 +84,13 @@ def signatures(docs: DataFrame, size: int, percent: int, common: np.ndarray, id:
                 for k in range(j - i):
                     lo = first[k]
                     marks.append(bitmap(s[lo : first[k + 1]]) if n[k] else None)
-                    prefixes.append(s[order[lo : lo + keep[k]]].view(np.int64) if n[k] else None)
+                    at = order[lo : lo + keep[k]]
+                    hot = rank[at] > least_hot
+                    own = s[at]
+                    if hot.any():
+                        band = int(np.log(n[k]) / np.log(100 / percent) + 1e-9) if percent < 100 else int(n[k])
+                        own = np.concatenate([own[~hot], *(mix(own[hot] + np.uint64(b)) for b in (band, band + 1))])
+                    prefixes.append(own.view(np.int64) if n[k] else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(whole, mask=n == 0), pa.array(marks, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "n", "s", "bitmap", "prefix"])
 
     kind = dict(docs.dtypes)[id]
@@ -103,7 +115,7 @@ def _whole_keys(batches):
 def tile_rows(signed: DataFrame, percent: int) -> DataFrame:
     """(tile, s, n): the sets of like sizes that share a prefix shingle, as a written table. Shingles that the very same sets share make one tile.
 
-    A tile of more than ``BLOCK`` sets is cut, by size, into blocks; each two blocks whose sizes are within the band are a tile of their own.
+    A tile of more than ``BLOCK`` sets or ``BLOCK_SHINGLES`` shingles is cut, by size, into blocks; each two blocks whose sizes are within the band are a tile of their own.
     """
     distinct = signed.filter("s is not null").select("s", "n", "prefix").dropDuplicates(["s"])
     rows = distinct.select(F.explode("prefix").alias("key"), "s", "n").repartition("key").sortWithinPartitions("key", "n", "s")
@@ -114,9 +126,10 @@ def tile_rows(signed: DataFrame, percent: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (100 * n[:-1] < percent * n[1:])]))
             count = np.diff(np.append(first, len(key)))
             tile = mix(np.add.reduceat(mix(s.view(np.uint64)), first) + count.astype(np.uint64)).view(np.int64)
-            some = np.repeat((count > 1) & (count <= BLOCK), count)
+            large = (count > BLOCK) | (np.add.reduceat(n, first) > BLOCK_SHINGLES)
+            some = np.repeat((count > 1) & ~large, count)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(tile, count)[some]), pa.array(s[some]), pa.array(n[some])], ["tile", "s", "n"])
-            for k in np.flatnonzero(count > BLOCK):
+            for k in np.flatnonzero(large & (count > 1)):
                 for i, j in _blocks(n[first[k] : first[k] + count[k]], percent):
                     at = first[k] + np.unique(np.concatenate([i, j]))
                     own = mix(np.array([int(tile[k]) ^ int(i[0]) * 0x9E37 ^ int(j[0]) << 20], np.int64).view(np.uint64)).view(np.int64)
@@ -127,7 +140,12 @@ def tile_rows(signed: DataFrame, percent: int) -> DataFrame:
 
 def _blocks(n: np.ndarray, percent: int):
     """Pairs of blocks (their places) of rising sizes ``n`` that hold sets within the band of each other, or the block alone."""
-    blocks = [np.arange(k, min(k + BLOCK, len(n))) for k in range(0, len(n), BLOCK)]
+    cuts, total = [0], np.cumsum(n)
+    while cuts[-1] < len(n):
+        k = cuts[-1]
+        full = int(np.searchsorted(total, (total[k - 1] if k else 0) + BLOCK_SHINGLES, "right"))
+        cuts.append(min(max(full, k + 1), k + BLOCK, len(n)))
+    blocks = [np.arange(i, j) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
     for i, x in enumerate(blocks):
         near = [y for y in blocks[i + 1 :] if 100 * n[x[-1]] >= percent * n[y[0]]]
         for y in near or [x]:
@@ -170,8 +188,8 @@ def _leaders(percent: int):
     return run_of
 
 
-def _apart(percent: int, most: int | None):
-    """Sets of a tile whose groups differ but whose bitmaps let them be linked; ``most`` partners of different groups a set, and whether it has more, or all."""
+def _apart(percent: int):
+    """Each set of a tile with one partner of another group that their bitmaps let it be linked with, and whether it has more such partners."""
 
     def run_of(s, n, group, marks):
         if (group == group[0]).all():
@@ -182,14 +200,16 @@ def _apart(percent: int, most: int | None):
                 c = np.flatnonzero(group[k + 1 : ends[k]] != group[k]) + k + 1
                 if len(c):
                     hit = may_link(n[lo : lo + len(x)], x, k - lo, c - lo, percent) + lo
-                    some = hit if most is None else hit[np.sort(np.unique(group[hit], return_index=True)[1])][:most]
-                    yield k, some, len(some) < len(hit)
+                    yield k, hit[:1], len(hit) > 1
 
     return run_of
 
 
-def meet(rows: DataFrame, run_of) -> DataFrame:
-    """(a, b, tile): the pairs (a < b) that ``run_of`` finds in the tiles of ``rows`` (tile, s, n, g, bitmap), and, with null pairs, the tiles that have more."""
+def meet(rows: DataFrame, run_of, leads: bool) -> DataFrame:
+    """(a, b, tile): the pairs that ``run_of`` finds in the tiles of ``rows`` (tile, s, n, g, bitmap), and, with null pairs, the tiles that have more.
+
+    A set is ``b`` once a tile at most: ``a`` is the set that led the others, or the one that was found.
+    """
 
     def run(batches):
         for tile, s, n, g, marks in _whole_keys(batches):
@@ -200,7 +220,7 @@ def meet(rows: DataFrame, run_of) -> DataFrame:
                 for k, hit, cut in run_of(own, n[lo:hi], g[lo:hi], marks[lo:hi]):
                     rest |= cut
                     if len(hit):
-                        found.append(np.stack([np.minimum(own[k], own[hit]), np.maximum(own[k], own[hit])], 1))
+                        found.append(np.stack(np.broadcast_arrays(*((own[k], own[hit]) if leads else (own[hit], own[k]))), 1))
                 if rest:
                     more.append(int(tile[lo]))
             pairs = np.unique(np.concatenate(found), axis=0)
@@ -212,17 +232,6 @@ def meet(rows: DataFrame, run_of) -> DataFrame:
     return by_tile.mapInArrow(run, "a bigint, b bigint, tile bigint").distinct()
 
 
-def fine_bitmaps(arrays: DataFrame) -> DataFrame:
-    """(s, bitmap) with 16 bits a shingle or more, for sets whose coarse bitmaps let them be linked with many."""
-
-    def run(batches):
-        for batch in batches:
-            marks = [bitmap(x.values.to_numpy().view(np.uint64), 16) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], ["s", "bitmap"])
-
-    return arrays.mapInArrow(run, "s bigint, bitmap binary")
-
-
 def arrays_of(docs: DataFrame, signed: DataFrame, wanted: DataFrame, size: int, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(s, hashes): the sorted shingle hashes of the sets in ``wanted`` (column s), from one document each, as a written table."""
     one = signed.join(wanted, "s", "left_semi").groupBy("s").agg(F.min("id").alias("id"))
@@ -267,38 +276,102 @@ def settled(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return written(rows.mapInArrow(run, "a bigint, b bigint"), "links")
 
 
+def _overlaps(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the sorted arrays shares with ``x``."""
+    flat = np.concatenate(others)
+    at = np.searchsorted(x, flat)
+    same = x[np.minimum(at, len(x) - 1)] == flat
+    return np.add.reduceat(same, np.cumsum([0, *(len(o) for o in others[:-1])]), dtype=np.int64)
+
+
+def joining_links(s: np.ndarray, n: np.ndarray, group: np.ndarray, met: np.ndarray, hashes: list[np.ndarray], percent: int):
+    """Pairs of places in one tile (sets by rising size) whose sets are linked, as far as they join two groups. Sets that share ``met`` have been settled together before."""
+    lab = np.unique(group, return_inverse=True)[1]
+    ends = np.searchsorted(n, (100 * n) // percent, "right")
+    marks = np.array([bitmap(h, 16) for h in hashes], object)
+    for lo, hi, x in _matrices(marks):
+        for k in range(lo, hi):
+            c = np.arange(k + 1, ends[k])
+            c = c[(lab[c] != lab[k]) & ((met[c] != met[k]) | (met[k] == 0))]
+            if len(c):
+                c = may_link(n[lo : lo + len(x)], x, k - lo, c - lo, percent) + lo
+            while len(c):
+                some, c = c[:64], c[64:]
+                o = _overlaps(hashes[k], [hashes[j] for j in some])
+                for j in some[100 * o >= percent * (n[k] + n[some] - o)]:
+                    if lab[j] != lab[k]:
+                        yield k, j
+                        lab[lab == lab[j]] = lab[k]
+                c = c[lab[c] != lab[k]]
+
+
+def settled_in_tiles(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join the groups of each tile of ``rows`` (tile, s, n, g, met, hashes), as a written table: fewer than its sets. A tile's arrays are held together; ``tile_rows`` bounds them."""
+
+    def links_of(tile):
+        s, n, g, met = (np.concatenate([b.column(c).to_numpy() for b in tile]) for c in ("s", "n", "g", "met"))
+        if len(s) < 2 or (g == g[0]).all():
+            return
+        hashes = [x.values.to_numpy().view(np.uint64) for b in tile for x in b.column("hashes")]
+        pairs = [(s[k], s[j]) for k, j in joining_links(s, n, g, met, hashes, percent)]
+        yield pa.RecordBatch.from_arrays([pa.array([int(p[i]) for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    def run(batches):
+        for _, own in by_key(batches, "tile"):
+            yield from links_of(list(own))
+
+    dealt = rows.select("tile", "s", "n", "g", "met", "hashes").repartition("tile").sortWithinPartitions("tile", "n", "s")
+    return written(dealt.mapInArrow(run, "a bigint, b bigint"), "links")
+
+
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, n_shingles and component_id, the smallest id reachable by links (100 * intersection >= percent * union of shingle sets).
 
     Texts without words (and nulls) have empty sets, link with nothing and are their own component. Rows with equal sets are one component, repeated ids
-    included; a null id never names a component unless all its rows have it. Sets are known by 64-bit hashes of shingles and of sets.
+    included; a null id never names a component unless all its rows have it; an empty table gives an empty result; other columns, whatever their names, aren't read.
+    Sets are known by 64-bit hashes of shingles and of sets.
     """
     docs = docs.select(id, text)
     signed = written(signatures(docs, size, percent, common_shingles(docs, size, text), id, text), "signed")
     tiles = tile_rows(signed, percent)
     marks = signed.filter("s is not null").select("s", "bitmap").dropDuplicates(["s"])
-    # Sets meet leaders first, and what stays apart meets a few others. In tiles where that isn't all, the sets get fine bitmaps and meet all that these let them be linked with.
     ends = lambda pairs: written(pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct(), "ends")
     arrays = lambda sets_of: arrays_of(docs, signed, sets_of, size, id, text)
 
-    def grouped(rows: DataFrame, links: DataFrame, marks: DataFrame) -> DataFrame:
-        groups = components(links).select(F.col("node").alias("s"), F.col("root").alias("g"))
-        return rows.join(groups, "s", "left").withColumn("g", F.coalesce("g", "s")).join(marks, "s")
+    def grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """With ``g``, a set that links lead to in two steps at most: sets that share it are in one component."""
+        low = lowest(links)
+        return moved(moved(rows.withColumn("g", F.col("s")), low, "g"), low, "g")
 
-    led = written(meet(tiles.withColumn("g", F.col("s")).join(marks, "s"), _leaders(percent)), "pairs").select("a", "b")
+    # Sets meet leaders first, then one partner of another group each.
+    led = written(meet(tiles.withColumn("g", F.col("s")).join(marks, "s"), _leaders(percent), True), "pairs").select("a", "b")
     links = settled(led, arrays(ends(led)), percent)
-    met = written(meet(grouped(tiles, links, marks), _apart(percent, 1)), "pairs")
-    few = written(met.filter("tile is null").select("a", "b").join(led, ["a", "b"], "left_anti"), "pairs")
+    met = written(meet(grouped(tiles, links).join(marks, "s"), _apart(percent), False), "pairs")
+    both_ways = led.union(led.select("b", "a"))
+    few = written(met.filter("tile is null").select("a", "b").join(both_ways, ["a", "b"], "left_anti"), "pairs")
     links = links.union(settled(few, arrays(ends(few)), percent))
+    # What is left settles in its tiles: each set in the largest of its tiles first, so that most of it joins there, and then the groups that are left, in all of them.
     tiles = written(tiles.join(met.filter("tile is not null").select("tile"), "tile", "left_semi"), "tiles")
-    dense = arrays(written(tiles.select("s").distinct(), "ends"))
-    every = meet(grouped(tiles, links, fine_bitmaps(dense)), _apart(percent, None)).select("a", "b")
-    links = links.union(settled(written(every.join(led.union(few), ["a", "b"], "left_anti"), "pairs"), dense, percent))
-    roots = components(links)
-    named = signed.select("id", "n", "s").join(roots.select(F.col("node").alias("s"), "root"), "s", "left").withColumn("__c", F.coalesce("root", "s"))
-    least = named.filter("s is not null").groupBy("__c").agg(F.min("id").alias("__least"))
-    out = named.join(least, "__c", "left")
-    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("s").isNull(), F.col("id")).otherwise(F.col("__least")).alias("component_id"))
+    if not tiles.isEmpty():
+        sizes = tiles.groupBy("tile").agg(F.count("*").alias("k"))
+        best = tiles.join(sizes, "tile").groupBy("s").agg(F.max_by("tile", F.struct("k", "tile")).alias("met"))
+        dense = arrays(written(tiles.select("s").distinct(), "ends"))
+        homes = written(grouped(tiles.join(written(best, "best"), "s"), links), "homes")
+        links = links.union(settled_in_tiles(homes.filter("tile = met").withColumn("met", F.lit(0).cast("bigint")).join(dense, "s"), percent))
+        rest = written(grouped(homes, links), "homes")
+        open_tiles = rest.groupBy("tile").agg((F.min("g") < F.max("g")).alias("groups"), (F.min("met") < F.max("met")).alias("homes")).filter("groups and homes").select("tile")
+        links = links.union(settled_in_tiles(rest.join(written(open_tiles, "open"), "tile", "left_semi").join(dense, "s"), percent))
+    return _named(signed.select("id", "n", "s"), components(links), id)
+
+
+def _named(signed: DataFrame, roots: DataFrame, id: str) -> DataFrame:
+    """Rows with the smallest id of their component. Minima are written before rows meet them, so that Spark may split the rows of a set with many copies, or of a large component."""
+    copies = signed.filter("s is not null").groupBy("s").agg(F.min("id").alias("own"))
+    sets_ = written(copies.join(roots.select(F.col("node").alias("s"), "root"), "s", "left").withColumn("root", F.coalesce("root", "s")), "sets")
+    least = written(sets_.groupBy("root").agg(F.min("own").alias("least")), "least")
+    of_set = written(sets_.join(least, "root").select("s", "least"), "least")
+    out = signed.join(of_set, "s", "left").select("id", "n", F.when(F.col("s").isNull(), F.col("id")).otherwise(F.col("least")).alias("least"))
+    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
