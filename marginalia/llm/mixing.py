@@ -22,7 +22,8 @@ from .base import documents, ranked, shared_dir
 from .warc import open_output
 
 PERIOD = 128
-BLOCK_ROWS = 16
+#: Rows of a block at least, and blocks of all sources at most, about: the schedule is made block by block, so blocks grow with the rows beyond that.
+BLOCK_ROWS, MOST_BLOCKS = 16, 1 << 20
 #: Slots that are written at once.
 PIECE = 1 << 16
 
@@ -108,19 +109,21 @@ def source_rows(docs: DataFrame, source: str = "source") -> dict:
     return {r[0]: r[1] for r in docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("\0null")).alias("s")).count().collect()}
 
 
-def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", id: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", id: str = "doc_id", block_rows: int | None = None) -> DataFrame:
     """``docs`` with ``block`` (of its source), ``slot`` (of the block, gapless over all), ``place`` (in the block), ``release`` and ``deadline``.
     Order by slot, place. No row is dropped or repeated.
 
     ``weights`` by source; a source without one gets the square root of its rows' share, as do all if there are none.
-    Null sources form one source; ties and repeated rows get consecutive places; an empty table stays empty.
+    ``block_rows``: rows of a block; by default ``BLOCK_ROWS``, or as many as keep the number of blocks near ``MOST_BLOCKS``.
+    Null sources form one source; ties and repeated rows get consecutive places; an empty table stays empty; columns named like the added ones are replaced.
     """
     counts = source_rows(docs, source)
     total = sum(counts.values())
+    block_rows = block_rows or max(BLOCK_ROWS, -(-total // MOST_BLOCKS))
     weights = {s: (weights or {}).get(s, (n / total) ** 0.5) for s, n in counts.items()}
     table = written_schedule(docs.sparkSession, {s: -(-n // block_rows) for s, n in counts.items()}, weights)
     table = table.select("__s", F.col("block").alias("__block"), "slot", "release", "deadline")
-    rows = ranked(docs.drop("slot", "release", "deadline"), [source], [F.col(id)], "__rank")
+    rows = ranked(docs.drop("block", "place", "slot", "release", "deadline"), [source], [F.col(id)], "__rank")
     rows = rows.withColumns({"block": F.expr(f"__rank div {block_rows}"), "place": F.expr(f"__rank % {block_rows}").cast("int"), "__key": F.coalesce(F.col(source).cast("string"), F.lit("\0null"))})
     # The schedule grows with the rows, so it is not sent whole to every executor.
     rows = rows.join(table.hint("merge"), (F.col("__key") == F.col("__s")) & (F.col("block") == F.col("__block")))
