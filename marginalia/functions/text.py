@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -72,11 +73,24 @@ def clean_volume(line: Column) -> Column:
 
 
 def tokens(t: Column) -> Column:
-    """Distinct lower-case words, single CJK characters, and CJK bigrams (formed after all else is removed)."""
-    low = F.lower(F.coalesce(t, F.lit("")))
-    chars = F.regexp_extract_all(low, F.lit(CJK), F.lit(0))
-    pairs = let(chars, lambda c: F.filter(F.transform(c, lambda x, i: F.concat(x, F.get(c, i + 1))), lambda x: x.isNotNull()))
-    return F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit("[A-Za-z0-9_]+"), F.lit(0)), chars, pairs))
+    """Distinct lower-case words, single CJK characters, and CJK bigrams (formed after all else is removed). Texts without CJK skip what only CJK has."""
+
+    def of(low: Column) -> Column:
+        words = F.regexp_extract_all(low, F.lit("[A-Za-z0-9_]+"), F.lit(0))
+        chars = F.regexp_extract_all(low, F.lit(CJK), F.lit(0))
+        pairs = let(chars, lambda c: F.filter(F.transform(c, lambda x, i: F.concat(x, F.get(c, i + 1))), lambda x: x.isNotNull()))
+        return F.array_distinct(F.when(low.rlike(CJK), F.concat(words, chars, pairs)).otherwise(words))
+
+    return let(F.lower(F.coalesce(t, F.lit(""))), of)
+
+
+def token_pattern(tokens: Sequence[str]) -> str:
+    """A regular expression that a lower-case text matches where ``tokens`` of it has one of these."""
+    cjk = lambda x: len(x) <= 2 and all("一" <= c <= "鿿" for c in x)
+    apart = "[^一-鿿]*"
+    words = "|".join(re.escape(x) for x in tokens if not cjk(x))
+    parts = [apart.join(x) for x in tokens if cjk(x)] + ([rf"(?<![A-Za-z0-9_])(?:{words})(?![A-Za-z0-9_])"] if words else [])
+    return "|".join(parts) or "(?!)"
 
 
 def candidate_tokens(tokens: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,22 +53,26 @@ def parse_chapters(books: DataFrame) -> DataFrame:
     return found.unionByName(whole)
 
 
+def windows_of(size: int, stops: list[int], target: int, overlap: int):
+    """(begin, end) of each window over ``size`` characters; ``stops`` are the places behind sentence ends, in order. A window goes to the last stop in reach if that leaves it long enough."""
+    begin, shortest = 0, int(target * LEAST_SHARE) + 1
+    while size - begin > target:
+        reach = bisect_right(stops, min(size, begin + target + LOOK_AHEAD))
+        stop = stops[reach - 1] if reach else 0
+        end = stop if stop > begin + shortest else begin + target
+        yield begin, end
+        if end == size:
+            return
+        begin = max(begin + 1, end - overlap)
+    if begin < size:
+        yield begin, size
+
+
 def spans(text: str, target: int, overlap: int, ends: str = "。\n") -> list[str]:
-    """Overlapping windows that end at the last sentence end in reach, if that is beyond 60 % of the target."""
-    t = text.strip()
-    out, start, n = [], 0, len(t)
-    while start < n:
-        end = min(n, start + target)
-        if end < n:
-            last = max(t.rfind(c, start, min(n, end + LOOK_AHEAD)) for c in ends)
-            if last > start + int(target * LEAST_SHARE):
-                end = last + 1
-        if piece := t[start:end].strip():
-            out.append(piece)
-        if end >= n:
-            break
-        start = max(end - overlap, start + 1)
-    return out
+    """Overlapping windows that end at the last sentence end in reach, if that is beyond 60 % of the target; without those that are blank."""
+    body = text.strip()
+    stops = [m.end() for m in re.finditer(f"[{re.escape(ends)}]", body)]
+    return [piece for i, j in windows_of(len(body), stops, target, overlap) if (piece := body[i:j].strip())]
 
 
 def _cut(target: int, overlap: int, ends: str):
@@ -100,6 +107,7 @@ def source_text(chapters: DataFrame) -> DataFrame:
 
 def fingerprint(chapters: DataFrame, version: str, settings: dict) -> DataFrame:
     """24 hex digits of a SHA-256 over version, settings and chapters, a book."""
+    # The settings that count, in this order.
     keys = ("enabled", "max_chapters", "batch_chapters", "model_path", "endpoint")
     head = version + "".join(str(settings.get(k, "")) + "\0" for k in keys)
     parts = F.transform(F.array_sort(F.collect_list(F.struct("chapter_number", "title", "content"))), lambda x: F.concat(x["chapter_number"].cast("string"), x["title"], x["content"], F.lit("\0")))

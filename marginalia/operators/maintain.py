@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -36,26 +36,57 @@ def without_orphans(parents: DataFrame, references: DataFrame, key: str) -> Data
     return parents.filter("mention_count > 0").unionByName(parents.filter("mention_count = 0").join(references.select(key).distinct(), key, "left_semi"))
 
 
-def merge_events(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Events (event_id, book_id, chapter_number, event_type, summary, excerpt, names) after a batch: a near duplicate of an event of its chapter and type joins the first of them.
+EVENT_KEYS = ("book_id", "chapter_number", "event_type")
 
-    Its names are united with the event's; its excerpt replaces the event's if it is longer and alike. New events that match nothing come in as they are; a batch is matched
-    against the old table only, so it should hold no near duplicates of its own.
+
+def near_duplicate_events(events: DataFrame, id: str, threshold: float = 0.78) -> DataFrame:
+    """(book_id, chapter_number, event_type, a, b): events (a < b, by ``id``) of one chapter and type with near duplicate excerpts.
+
+    Each excerpt is reduced to its letters and character pairs once. Only events of one chapter meet.
+    """
+    bare = T.bare(F.col("excerpt"))
+    made = F.inline(F.array(T.let(bare, lambda x: F.struct(x.alias("x"), F.array_sort(T.bigrams(x)).alias("g")))))
+    rows = events.select(*EVENT_KEYS, F.col(id).alias("id"), made).filter("x <> ''")
+    l, r = rows.alias("l"), rows.alias("r")
+    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in EVENT_KEYS]
+    nl, nr, common = F.size("l.g"), F.size("r.g"), F.size(F.array_intersect("l.g", "r.g"))
+    holds = (F.least(F.length("l.x"), F.length("r.x")) >= 16) & (F.contains(F.col("l.x"), F.col("r.x")) | F.contains(F.col("r.x"), F.col("l.x")))
+    alike = holds | (common >= threshold * (nl + nr - common)) | (common >= threshold * F.least(nl, nr))
+    met = l.join(r, [*same, F.col("l.id") < F.col("r.id"), alike])
+    return met.select(*[F.col(f"l.{k}").alias(k) for k in EVENT_KEYS], F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+
+
+def merge_events(old: DataFrame, new: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """Events (event_id, book_id, chapter_number, event_type, summary, excerpt, names) after a batch, whose events come in one after another, by event_id.
+
+    One that is a near duplicate of an event of its chapter and type joins the first of them: names are united, and a longer excerpt that is alike, or whose summary is, replaces the event's. Others
+    are added, so the batch may repeat itself. What is, or joins, an event in ``rejected`` (event_id) changes nothing. A chapter's events of one type are folded together in its row.
     """
-    keys = ["book_id", "chapter_number", "event_type"]
-    o = old.select(*keys, "event_id", F.col("summary").alias("os"), F.col("excerpt").alias("oe"))
-    alike = T.near_duplicate(F.col("oe"), F.col("excerpt")) | T.near_duplicate(F.col("os"), F.col("summary"), 0.75)
-    first = F.row_number().over(Window.partitionBy("n.event_id").orderBy("o.event_id"))
-    n = new.alias("n").join(o.alias("o"), keys).filter(alike).withColumn("r", first).filter("r = 1")
-    match = n.select(F.col("o.event_id").alias("event_id"), F.col("n.event_id").alias("new_id"), F.col("n.excerpt").alias("ne"), F.col("n.names").alias("nn"))
-    longest = match.groupBy("event_id").agg(F.max_by("ne", F.length("ne")).alias("ne"), F.array_distinct(F.flatten(F.collect_list("nn"))).alias("nn"))
-    longer = (F.length("ne") > F.length("excerpt")) & T.near_duplicate(F.col("excerpt"), F.col("ne"), 0.68)
-    merged = old.join(longest, "event_id", "left").select(
-        "event_id", *keys, "summary", F.when(longer, F.col("ne")).otherwise(F.col("excerpt")).alias("excerpt"),
-        F.array_sort(F.array_union("names", F.coalesce("nn", F.array().cast("array<string>")))).alias("names"),
-    )
-    fresh = new.join(match.select(F.col("new_id").alias("event_id")).distinct(), "event_id", "left_anti")
-    return merged.unionByName(fresh.select(merged.columns))
+    fields = ("event_id", "summary", "excerpt", "names", "barred")
+    bars = F.lit(False) if rejected is None else None
+    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    if rejected is None:
+        both = both.withColumn("barred", bars)
+    else:
+        flags = rejected.select("event_id").distinct().withColumn("barred", F.lit(True))
+        both = both.join(flags, "event_id", "left").withColumn("barred", F.coalesce("barred", F.lit(False)))
+    grouped = both.groupBy(*EVENT_KEYS).agg(F.array_sort(F.collect_list(F.struct("__new", *fields))).alias("rows"))
+    pick = lambda x, **new: F.struct(*[new.get(c, x[c]).alias(c) for c in fields])
+    alike = lambda e, x: T.near_duplicate(e["excerpt"], x["excerpt"]) | T.near_duplicate(e["summary"], x["summary"], 0.75)
+
+    def joined(e: Column, x: Column) -> Column:
+        better = (F.length(x["excerpt"]) > F.length(e["excerpt"])) & (T.near_duplicate(e["excerpt"], x["excerpt"], 0.68) | T.near_duplicate(e["summary"], x["summary"], 0.75))
+        merged = pick(e, excerpt=F.when(better, x["excerpt"]).otherwise(e["excerpt"]), names=F.array_sort(F.array_union(e["names"], x["names"])))
+        return F.when(e["barred"], pick(e)).otherwise(merged)
+
+    def add(acc: Column, x: Column) -> Column:
+        first = F.array_position(F.transform(acc, lambda e: alike(e, x)), F.lit(True))
+        into = lambda at: F.when(at == 0, F.when(x["barred"], acc).otherwise(F.concat(acc, F.array(pick(x))))).otherwise(F.transform(acc, lambda e, i: F.when(i + 1 == at, joined(e, x)).otherwise(e)))
+        return F.when(x["__new"] == 0, F.concat(acc, F.array(pick(x)))).otherwise(T.let(first, into))
+
+    kind = "array<struct<" + ",".join(f"{c}:{dict(both.dtypes)[c]}" for c in fields) + ">>"
+    folded = grouped.select(*EVENT_KEYS, F.inline(F.aggregate("rows", F.array().cast(kind), add)))
+    return folded.select("event_id", *EVENT_KEYS, "summary", "excerpt", "names")
 
 
 def merge_audit(old: DataFrame, new: DataFrame) -> DataFrame:

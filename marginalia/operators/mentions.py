@@ -89,15 +89,12 @@ def ngram_counts(texts: DataFrame, sizes=(2, 3, 4), run: str = "[一-鿿]{4,}",
     return each.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
-def longest_first(counts: DataFrame, top: int = 60) -> list[str]:
-    """The first ``top`` grams, longest first, without those inside one already taken. It stops as soon as enough are taken, so the driver holds ``top`` grams."""
-    taken: list[str] = []
-    for r in counts.orderBy(F.length("gram").desc(), F.desc("n"), "gram").toLocalIterator():
-        if len(taken) >= top:
-            break
-        if not any(r.gram in x and len(x) > len(r.gram) for x in taken):
-            taken.append(r.gram)
-    return sorted(taken, key=lambda x: (-len(x), x))
+def longest_first(counts: DataFrame, top: int = 60) -> DataFrame:
+    """(gram, n): the first ``top`` grams that are inside no other gram, longest first, then the commonest. A gram's own parts are exploded and taken away, so nothing is compared pair by pair."""
+    size = F.length("gram")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), size - 1), lambda k: F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.substring(F.col("gram"), i, k))))
+    inside = counts.filter(size > 1).select(F.explode(parts).alias("gram")).distinct()
+    return counts.join(inside, "gram", "left_anti").orderBy(F.length("gram").desc(), F.desc("n"), "gram").limit(top)
 
 
 def bracketed(texts: DataFrame, patterns=("【([^】]{1,20})】", "《([^》]{1,20})》", "「([^」]{1,20})」")) -> DataFrame:

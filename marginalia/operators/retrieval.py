@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -26,19 +29,59 @@ def candidates(index: DataFrame, query: str) -> DataFrame:
     return index.join(F.broadcast(wanted), "token", "left_semi").select("book_id", "chunk_id").distinct()
 
 
+def query_tokens(spark: SparkSession, query: str) -> tuple[list[str], list[str]]:
+    """(all tokens, precise tokens) of a query."""
+    every = T.tokens(F.lit(query))
+    return tuple(spark.range(1).select(every.alias("a"), T.candidate_tokens(every).alias("c")).first())
+
+
 def lexical_hits(chunks: DataFrame, query: str, max_chapter: int | None = None) -> DataFrame:
     """``chunks`` with ``score`` over 0.
 
     A book's candidates are the chunks that hold a precise token of the query; only if the whole book has none, all its chunks are. The bound on chapters comes after.
+    Whether a chunk has a token is one regular expression; only candidates are cut into tokens, and once, behind a generator.
     """
-    q = F.lit(query)
-    rows = chunks.withColumn("__q", T.tokens(q)).withColumn("__d", T.tokens(F.col("text")))
-    rows = rows.withColumn("__hit", F.arrays_overlap("__d", T.candidate_tokens(F.col("__q"))))
-    found = rows.groupBy("book_id").agg(F.max("__hit").alias("__any"))
-    rows = rows.join(F.broadcast(found), "book_id").filter(F.col("__hit") | ~F.col("__any"))  # a row a book
-    rows = rows.withColumn("score", T.lexical_score(F.col("__q"), F.col("__d"), q, F.col("text"))).filter("score > 0")
+    every, precise = query_tokens(chunks.sparkSession, query)
+    hit = F.lower(F.coalesce("text", F.lit(""))).rlike(T.token_pattern(precise))
+    found = chunks.groupBy("book_id").agg(F.max(hit).alias("__any"))
+    rows = chunks.join(F.broadcast(found), "book_id").filter(hit | ~F.col("__any")).drop("__any")  # a row a book
+    rows = rows if max_chapter is None else rows.filter(F.col("chapter_number") <= max_chapter)
+    score = T.let(T.tokens(F.col("text")), lambda d: T.lexical_score(_texts(every), d, F.lit(query), F.col("text")))
+    return rows.select("*", F.inline(F.array(F.struct(score.alias("score"))))).filter("score > 0")
+
+
+def _texts(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
+
+
+def search_index(chunks: DataFrame) -> DataFrame:
+    """(token, book_id, parent_id, chunk_id, chapter_number, n_tokens): postings that a search can score from."""
+    d = chunks.select("book_id", "parent_id", "chunk_id", "chapter_number", F.inline(F.array(F.struct(T.tokens(F.col("text")).alias("__d")))))
+    return d.select(F.explode("__d").alias("token"), "book_id", "parent_id", "chunk_id", "chapter_number", F.size("__d").alias("n_tokens"))
+
+
+def write_search_index(chunks: DataFrame, path: str, files: int = 64) -> None:
+    """The postings by ranges of tokens, so that a search reads the few row groups that its tokens are in. Writing anew replaces what earlier searches read."""
+    search_index(chunks).repartitionByRange(files, "token").sortWithinPartitions("token").write.mode("overwrite").parquet(path)
+
+
+def indexed_hits(index: DataFrame, chunks: DataFrame, query: str, max_chapter: int | None = None) -> DataFrame:
+    """What ``lexical_hits`` finds (without texts), from the postings; texts are only asked whether they have the whole query."""
+    every, precise = query_tokens(index.sparkSession, query)
+    keys = ["book_id", "parent_id", "chunk_id", "chapter_number"]
+    found = index.filter(F.col("token").isin(every)).groupBy(*keys).agg(F.count("*").alias("hits"), F.max("n_tokens").alias("n"), F.max(F.col("token").isin(precise)).alias("hit"))
+    bare = query.replace(" ", "")
+    whole = chunks.filter(F.contains(F.replace("text", F.lit(" "), F.lit("")), F.lit(bare))).select(*keys, F.lit(0.25).alias("bonus"))
+    rows = found.join(whole, keys, "full_outer").withColumns({"hits": F.coalesce("hits", F.lit(0)), "hit": F.coalesce("hit", F.lit(False)), "bonus": F.coalesce("bonus", F.lit(0.0))})
+    some = rows.groupBy("book_id").agg(F.max("hit").alias("__any"))
+    rows = rows.join(F.broadcast(some), "book_id").filter(F.col("hit") | ~F.col("__any")).filter(F.lit(bool(every)))
     rows = rows if max_chapter is None else rows.filter(F.col("chapter_number") <= max_chapter)
-    return rows.drop("__q", "__d", "__hit", "__any")
+    score = F.col("hits") / F.lit(max(1, len(every))) + F.when(F.col("hits") > 0, F.col("hits") / F.sqrt("n")).otherwise(0.0) + F.col("bonus")
+    return rows.withColumn("score", score).filter("score > 0").select(*keys, "score")
+
+
+def indexed_search(index: DataFrame, chunks: DataFrame, query: str, max_chapter: int | None = None, top: int = TOP_PARENTS) -> DataFrame:
+    return best_per_parent(indexed_hits(index, chunks, query, max_chapter), top)
 
 
 def best_per_parent(hits: DataFrame, top: int = TOP_PARENTS, by_book: bool = True) -> DataFrame:
@@ -97,25 +140,65 @@ def vector_search(rows: DataFrame, query: list[float], max_chapter: int | None =
     return best_per_parent(hits.withColumn("book_id", F.lit("")), top, by_book=False).drop("book_id")
 
 
-def rerank_window(child: Column, parent: Column, limit: int = RERANK_CHARS) -> Column:
-    """At most ``limit`` characters of the parent around the child."""
-    c, p = T.strip(F.coalesce(child, F.lit(""))), T.strip(F.coalesce(parent, F.lit("")))
-    at = F.when(c == "", -1).otherwise(F.instr(p, F.substring(c, 1, 120)) - 1)
-    end = F.least(F.length(p), at + F.length(c))
-    room = F.greatest(F.lit(0), limit - (end - at))
-    left0 = F.greatest(F.lit(0), at - F.floor(room / 2))
-    right = F.least(F.length(p), end + (room - (at - left0)))
-    left = F.when((right - left0 < limit) & (left0 > 0), F.greatest(F.lit(0), right - limit)).otherwise(left0)
-    apart = F.substring(F.concat(c, F.lit("\n"), F.substring(p, F.lit(1), F.greatest(F.lit(0), limit - F.length(c) - 1))), 1, limit)
-    found = F.substring(p, (left + 1).cast("int"), (right - left).cast("int"))
-    return F.when(p == "", F.substring(c, 1, limit)).when(F.length(p) <= limit, p).when(at >= 0, found).when(c == "", F.substring(p, 1, limit)).otherwise(apart)
+def rerank_windows(rows: DataFrame, child: Column, parent: Column, into: str = "passage", limit: int = RERANK_CHARS) -> DataFrame:
+    """``rows`` with at most ``limit`` characters of the parent around the child: the child in the middle as far as the parent has text on both sides.
+
+    Each figure is a column of its own, so none is worked out twice.
+    """
+    out = rows.withColumns({"__c": T.strip(F.coalesce(child, F.lit(""))), "__p": T.strip(F.coalesce(parent, F.lit("")))})
+    out = out.withColumns({"__n": F.length("__p"), "__m": F.length("__c"), "__at": F.when(F.col("__c") == "", 0).otherwise(F.instr("__p", F.substring("__c", 1, 120)))})
+    # Within the parent: the child's first and last place (0-based, end exclusive), then what the limit leaves for both sides.
+    out = out.withColumn("__end", F.least(F.col("__n"), F.col("__at") - 1 + F.col("__m")))
+    out = out.withColumn("__room", F.greatest(F.lit(0), limit + F.col("__at") - 1 - F.col("__end")))
+    out = out.withColumn("__left", F.greatest(F.lit(0), F.col("__at") - 1 - F.expr("__room div 2")))
+    out = out.withColumn("__right", F.least(F.col("__n"), F.col("__end") + F.col("__room") + F.col("__left") - F.col("__at") + 1))
+    out = out.withColumn("__left", F.when(F.col("__right") - F.col("__left") < limit, F.least(F.col("__left"), F.greatest(F.lit(0), F.col("__right") - limit))).otherwise(F.col("__left")))
+    around = F.substring(F.col("__p"), (F.col("__left") + 1).cast("int"), (F.col("__right") - F.col("__left")).cast("int"))
+    joined = F.substring(F.concat("__c", F.lit("\n"), F.substring(F.col("__p"), F.lit(1), F.greatest(F.lit(0), limit - F.col("__m") - 1))), 1, limit)
+    passage = F.when(F.col("__n") == 0, F.substring("__c", 1, limit)).when(F.col("__n") <= limit, F.col("__p")).when(F.col("__at") > 0, around).when(F.col("__m") == 0, F.substring("__p", 1, limit)).otherwise(joined)
+    return out.withColumn(into, passage).drop("__c", "__p", "__n", "__m", "__at", "__end", "__room", "__left", "__right")
+
+
+def score_of(raw: Column) -> Column:
+    """A scorer's output as a number: of several the largest; what isn't a number is 0."""
+    x = F.array_max(F.transform(raw, lambda v: v.cast("double")))
+    return F.when(x.isNull() | F.isnan(x), 0.0).otherwise(x)
+
+
+def reranker(model):
+    """A Column function of (query, passage) from ``model()``, which gives, once a task, a function from pairs to a list of scores each."""
+
+    def of(query: Column, passage: Column) -> Column:
+        @F.pandas_udf("array<double>")
+        def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            m = model()
+            for q, p in batches:
+                yield pd.Series([list(map(float, x)) if isinstance(x, (list, tuple)) else [float(x)] for x in m(list(zip(q, p, strict=True)))])
+
+        return score_of(score(query, passage))
+
+    return of
+
+
+def widened(top: int, candidates: int) -> int:
+    """How many candidates a reranked search asks its base for."""
+    return max(top, 4, min(100, candidates))
 
 
 def rerank(hits: DataFrame, score: Column, top: int = TOP_PARENTS) -> DataFrame:
-    """Hits by a second score (of an injected scorer); a single hit stays as it is. Candidates aren't widened."""
+    """Hits by a second score (of an injected scorer), the base's ``widened`` candidates; a single hit stays as it is."""
     return hits.withColumn("rerank_score", score).orderBy(F.desc("rerank_score"), "chapter_number", "parent_id").limit(top)
 
 
+def choose(method: str, lexical, vector, has_vectors: bool):
+    """The retriever for ``lexical``, ``embedding`` or ``auto``, which is vectors where a book has them. Each is a function (query, max_chapter) -> DataFrame."""
+    if method not in ("lexical", "embedding", "auto"):
+        raise ValueError(f"unknown retriever: {method}")
+    if method == "embedding" and not has_vectors:
+        raise ValueError("the book has no vectors")
+    return vector if has_vectors and method != "lexical" else lexical
+
+
 def highlight(content: Column, excerpt: Column) -> Column:
     """1-based place of an excerpt's first 80 characters in a chapter, else of their first half if that has 24; 0 if absent."""
     head = F.substring(T.strip(excerpt), 1, 80)

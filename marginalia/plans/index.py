@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import ingest, lookup
+from ..operators import ingest, lookup, maintain
 from ..operators import mentions as M
 from .base import ALIASES, CHAPTERS_SQL, NAMES, Tables, query, values
 
@@ -270,6 +270,22 @@ def event_sentences(t: Tables):
     return _events(t).withColumn("names", F.array_join("names", "、"))
 
 
+_BARE = "lower(regexp_replace({x}, '[^0-9A-Za-z一-鿿]+', '', 'g'))"
+_BI = "CASE WHEN length({x}) = 0 THEN [] WHEN length({x}) < 2 THEN [{x}] ELSE list_distinct(list_transform(range(1, length({x})), lambda i: substr({x}, i, 2))) END"
+
+
+@query(
+    "near_duplicate_pairs",
+    f"""{_EVENTS}, b AS (SELECT book_id, chapter_number, event_type, window_no, {_BARE.format(x='excerpt')} AS x FROM events_found), g AS (SELECT *, {_BI.format(x='x')} AS g FROM b),
+p AS (SELECT l.book_id, l.chapter_number, l.event_type, l.window_no AS a, r.window_no AS b, l.x, r.x AS y, l.g, r.g AS h, len(list_intersect(l.g, r.g)) AS o
+  FROM g l JOIN g r ON l.book_id = r.book_id AND l.chapter_number = r.chapter_number AND l.event_type = r.event_type AND l.window_no < r.window_no)
+SELECT book_id, chapter_number, event_type, a, b FROM p WHERE x <> '' AND y <> '' AND ((least(length(x), length(y)) >= 16 AND (contains(x, y) OR contains(y, x))) OR o >= 0.78 * (len(g) + len(h) - o) OR o >= 0.78 * least(len(g), len(h)))""",
+)
+def near_duplicate_pairs(t: Tables):
+    """Events of one chapter and type whose excerpts are near duplicates, which is where the rule is used."""
+    return maintain.near_duplicate_events(_events(t), "window_no")
+
+
 @query(
     "event_search_tokens",
     f"""{_EVENTS}, h AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY chapter_number, window_no) AS rank FROM events_found WHERE chapter_number <= 40 AND (event_type ILIKE '%con%' OR summary ILIKE '%con%' OR excerpt ILIKE '%con%') AND (event_type ILIKE '%THE%' OR summary ILIKE '%THE%' OR excerpt ILIKE '%THE%'))

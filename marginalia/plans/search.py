@@ -47,6 +47,12 @@ def lexical_no_candidate_fallback(t: Tables):
     return _lexical(t, BARE, None)
 
 
+@query("lexical_postings_topk", lexical_sql(QUERY, None))
+def lexical_postings_topk(t: Tables):
+    """The same search from postings; a session that searches again reads them as ``write_search_index`` wrote them."""
+    return R.indexed_search(R.search_index(t.chunks), t.chunks, QUERY).select("book_id", "rank", "chapter_number", "chunk_id", F.round("score", 6).alias("score"))
+
+
 @query("tokenize_stats", f"SELECT lang, count(*) AS docs, CAST(sum(len({TOKENS})) AS BIGINT) AS tokens FROM documents GROUP BY lang")
 def tokenize_stats(t: Tables):
     return t.documents.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.size(T.tokens(F.col("text")))).alias("tokens"))
@@ -116,21 +122,4 @@ SELECT doc_id, CASE WHEN p = '' THEN substr(c, 1, 384) WHEN n <= 384 THEN p WHEN
 )
 def rerank_window(t: Tables):
     child = F.substring("text", (F.floor(F.length("text") / 2) + 1).cast("int"), F.lit(100))
-    return t.documents.select("doc_id", R.rerank_window(child, F.col("text")).alias("passage"))
-
-
-_BI = "CASE WHEN length({x}) < 2 THEN [{x}] ELSE list_distinct(list_transform(range(1, length({x})), lambda i: substr({x}, i, 2))) END"
-
-
-@query(
-    "near_duplicate_pairs",
-    f"""
-WITH d AS (SELECT doc_id, substr(text, 1, 40) AS k, lower(regexp_replace(substr(text, 1, 600), '[^0-9A-Za-z一-鿿]+', '', 'g')) AS n FROM documents WHERE length(text) >= 40),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS x, b.n AS y FROM d a JOIN d b ON a.k = b.k AND a.doc_id < b.doc_id),
-g AS (SELECT a, b, x, y, {_BI.format(x='x')} AS gx, {_BI.format(x='y')} AS gy FROM p), c AS (SELECT *, len(list_intersect(gx, gy)) AS o FROM g)
-SELECT a, b, CASE WHEN x = '' OR y = '' THEN false ELSE (least(length(x), length(y)) >= 16 AND (contains(x, y) OR contains(y, x))) OR o >= 0.78 * (len(gx) + len(gy) - o) OR o >= 0.78 * least(len(gx), len(gy)) END AS near FROM c""",
-)
-def near_duplicate_pairs(t: Tables):
-    d = t.documents.filter(F.length("text") >= 40).select("doc_id", F.substring("text", 1, 40).alias("k"), F.substring("text", 1, 600).alias("x"))
-    pairs = d.alias("l").join(d.alias("r"), (F.col("l.k") == F.col("r.k")) & (F.col("l.doc_id") < F.col("r.doc_id")))
-    return pairs.select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b"), T.near_duplicate(F.col("l.x"), F.col("r.x")).alias("near"))
+    return R.rerank_windows(t.documents.select("doc_id", "text"), child, F.col("text")).select("doc_id", "passage")
