@@ -81,3 +81,46 @@ def recent_entity(turns: DataFrame, back: int = 4) -> DataFrame:
 def trace_summary(calls: DataFrame) -> DataFrame:
     """Of (session_id, tool_name, elapsed_ms, blocked): calls, blocked ones, time in all, slowest tool."""
     return calls.groupBy("session_id").agg(F.count("*").alias("calls"), F.count_if("blocked").alias("blocked"), F.sum("elapsed_ms").alias("elapsed_ms"), F.max_by("tool_name", F.struct("elapsed_ms", "tool_name")).alias("slowest"))
+
+
+def appended(turns: DataFrame, new: DataFrame) -> DataFrame:
+    """``turns`` and new ones (session_id, at, question, answer; ``at`` orders a session's new ones), numbered on from each session's last."""
+    last = turns.groupBy("session_id").agg(F.max("turn_index").alias("__last"))
+    no = F.row_number().over(Window.partitionBy("session_id").orderBy("at"))
+    rows = new.withColumn("__n", no).join(last, "session_id", "left")
+    return turns.unionByName(rows.select("session_id", (F.coalesce("__last", F.lit(0)) + F.col("__n")).cast("int").alias("turn_index"), "question", "answer"))
+
+
+def updated(turns: DataFrame, changes: DataFrame) -> DataFrame:
+    """``turns`` with the questions and answers of ``changes`` (session_id, turn_index, question, answer) where these aren't null."""
+    c = changes.select("session_id", "turn_index", F.col("question").alias("__q"), F.col("answer").alias("__a"))
+    rows = turns.join(c, ["session_id", "turn_index"], "left")
+    return rows.withColumns({"question": F.coalesce("__q", "question"), "answer": F.coalesce("__a", "answer")}).select(*turns.columns)
+
+
+def deleted(turns: DataFrame, session, turn_index: int | None = None, onwards: bool = False) -> DataFrame:
+    """``turns`` without one turn, without it and all after it, or (without ``turn_index``) without the session. What is left keeps its numbers."""
+    own = F.col("session_id") == session
+    if turn_index is not None:
+        own = own & (F.col("turn_index") >= turn_index if onwards else F.col("turn_index") == turn_index)
+    return turns.filter(~own)
+
+
+def branched(turns: DataFrame, session, turn_index: int, into) -> DataFrame:
+    """The turns before ``turn_index`` as a new session, numbered from 1; running a turn again starts from these."""
+    no = F.row_number().over(Window.partitionBy("session_id").orderBy("turn_index"))
+    own = before_turn(turns, session, turn_index).withColumn("turn_index", no)
+    return own.withColumn("session_id", F.lit(into)).select(*turns.columns)
+
+
+def insights(pairs: DataFrame) -> DataFrame:
+    """(left_id, right_id, kind, title) from compared sessions (left_id, right_id, common, left_only, right_only (turns), left_entities, right_entities, left_tools, right_tools (arrays of what only one has)).
+
+    One row a rule that applies: where they part, how far each goes on, and whose entities and tools differ.
+    """
+    apart = F.when(F.col("common") == 0, "从第一轮开始分歧").otherwise(F.concat(F.lit("共同前缀 "), "common", F.lit(" 轮")))
+    length = F.when(F.col("left_only") != F.col("right_only"), "分支推进长度不同").when(F.col("left_only") > 0, "两侧都有独有推进")
+    differ = lambda a, title: F.when((F.size(f"left_{a}") > 0) | (F.size(f"right_{a}") > 0), title)
+    rules = [("divergence", apart), ("coverage", length), ("entity", differ("entities", "实体焦点不同")), ("tool", differ("tools", "工具调用路径不同"))]
+    told = F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("title")) for k, t in rules])
+    return pairs.select("left_id", "right_id", F.inline(told)).filter("title is not null")

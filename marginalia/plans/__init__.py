@@ -1,2 +1,2 @@
-from . import index, logs, search  # noqa: F401  registers their queries
+from . import index, logs, search, tools  # noqa: F401  registers their queries
 from .base import QUERIES, SQL  # noqa: F401

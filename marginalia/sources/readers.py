@@ -51,8 +51,8 @@ def cases(spark: SparkSession, path: str, book_id: str | None = None) -> DataFra
     Chapters are distinct. A bad line, a chapter below 1 or beyond the bound, a missing field or a repeated id raises an error when the rows are read.
     """
     if path.endswith(".json"):
-        whole = F.btrim(spark.read.text(path, wholetext=True)["value"])
         raw = spark.read.text(path, wholetext=True)
+        whole = F.btrim("value")
         array = F.when(F.startswith(whole, F.lit("[")), F.from_json(whole, f"array<struct<{_struct()}>>", {"mode": "FAILFAST"})).otherwise(F.from_json(whole, f"struct<cases:array<struct<{_struct()}>>>", {"mode": "FAILFAST"})["cases"])
         rows = raw.select(F.inline(array))
     else:
