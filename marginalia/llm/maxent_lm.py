@@ -1,34 +1,40 @@
 """Operator 10: language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-The commonest words are dealt to classes by frequency; all others share one class of their own, inside which a word has its smoothed count. The class of a token, and
-the word inside its class, are each a softmax over weights of hashed features: the word before, the word before that (a skip), and both together. Weights
-are trained on all training texts by gradient steps in every task, averaged by tokens after each round. Scoring works on sparse numpy batches.
+Every word has a class and a place in it: the commonest have a place each, dealt to classes by frequency, and all others are dealt by hash to the places of more classes; there
+a word has its smoothed share of the place's counts. The class of a token, and the place inside its class, are each a softmax over weights of hashed features: the word
+before, the word before that (a skip), and both together, whatever words these are. Weights are trained on all training texts by gradient steps in shards, averaged by tokens
+after each round. Scoring works on sparse numpy batches. The counts grow with the corpus, and the hashed feature space with the root of its vocabulary.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import documents, written
+from .base import by_key, documents, written
+from .shards import SENT, dealt, sent, summed
 from .toxicity import fold
 from .words import Table, hashed, mix, row_of
 
-#: Classes of so many words each; the words beyond them are the rare class.
-CLASSES, WIDTH = 32, 32
-COMMON = CLASSES * WIDTH
-RARE, START = COMMON, COMMON + 1
-#: Hash spaces of the features.
-PAIR_ROWS, WORD_ROWS = 2048, 4096
-CLASS_ROWS = 1 + 2 * (START + 1) + PAIR_ROWS
+#: Classes of common words and of others, and places a class.
+COMMON_CLASSES, RARE_CLASSES, WIDTH = 32, 16, 32
+CLASSES = COMMON_CLASSES + RARE_CLASSES
+COMMON, RARE = COMMON_CLASSES * WIDTH, RARE_CLASSES * WIDTH
+#: The context before a text's first word; contexts of other than common words follow it.
+START = COMMON
+#: Rows of the hashed features at least.
+LEAST_ROWS = 4096
+#: Texts of a shard, about.
+SHARD_ROWS = 8192
 #: Words whose counts every task holds; the counts of all others are joined.
 TABLE_WORDS = 1 << 18
 ROUNDS, STEP, RATE = 2, 8192, 0.25
 #: The token that ends each text.
 END = np.uint64(0x9AE16A3B2F90404F)
-PARTS = 32
 
 
 def tokens(column):
@@ -56,41 +62,59 @@ def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Vocabulary:
-    """The commonest words' counts, in order, with what the rest add up to."""
+    """The commonest words' counts, in order, and what each place of the other words adds up to."""
 
     def __init__(self, counts: DataFrame):
-        self.total, self.distinct = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
+        place = F.pmod(F.shiftrightunsigned("h", 20), F.lit(RARE))
+        sums = counts.groupBy(place.alias("p")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # a row a place
+        n, v = np.zeros(RARE, np.int64), np.zeros(RARE, np.int64)
+        for r in sums:
+            n[r.p], v[r.p] = r.n, r.v
+        self.total, self.distinct = int(n.sum()), int(v.sum())
         top = counts.orderBy(F.desc("c"), "h").limit(TABLE_WORDS).toArrow()
         self.keys, self.counts = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
-        common = self.counts[:COMMON]
-        self.rare_total, self.rare_distinct = self.total - int(common.sum()), self.distinct - len(common)
-        self.base_room = self.total + self.distinct + 1
-        self.rare_room = self.rare_total + self.rare_distinct + 1
+        own = rare_place(self.keys[:COMMON])
+        np.subtract.at(n, own, self.counts[:COMMON])
+        np.subtract.at(v, own, 1)
+        self.base_room, self.rooms = self.total + self.distinct + 1, n + v + 1
+        self.rows = max(LEAST_ROWS, 1 << (8 * math.isqrt(self.distinct)).bit_length())
 
     def table(self) -> Table:
         return Table(self.keys, np.arange(len(self.keys), dtype=np.int64), -1)
 
 
-def _features(ids: np.ndarray, first: np.ndarray) -> tuple:
-    """Class features (three a token) and what word features are made of: the words one and two before."""
-    a, b = np.full(len(ids), START), np.full(len(ids), START)
-    a[1:], b[2:] = ids[:-1], ids[:-2]
+def rare_place(h: np.ndarray) -> np.ndarray:
+    return ((h >> np.uint64(20)) % np.uint64(RARE)).astype(np.int64)
+
+
+def places(h: np.ndarray, rank: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, context) of each token from its hash and its rank among the commonest (-1: not among them)."""
+    common = (rank >= 0) & (rank < COMMON)
+    other = START + 1 + ((h >> np.uint64(33)) % np.uint64(rows - START - 1)).astype(np.int64)
+    return np.where(common, rank, COMMON + rare_place(h)), np.where(common, rank, other)
+
+
+def _features(context: np.ndarray, first: np.ndarray, rows: int) -> tuple:
+    """The contexts one and two before each token, and its class features: both, and the two together."""
+    a, b = np.full(len(context), START), np.full(len(context), START)
+    a[1:], b[2:] = context[:-1], context[:-2]
     starts = first[:-1]
     a[starts], b[starts] = START, START
     second = starts + 1
     second = second[second < first[1:]]
     b[second] = START
-    both = (mix((a * (START + 1) + b).astype(np.uint64)) % np.uint64(PAIR_ROWS)).astype(np.int64)
-    return a, b, np.stack([1 + a, 2 + START + b, 3 + 2 * START + both], 1)
+    both = (mix((a * rows + b).astype(np.uint64)) % np.uint64(rows)).astype(np.int64)
+    return a, b, np.stack([1 + a, 1 + rows + b, 1 + 2 * rows + both], 1)
 
 
-def _word_rows(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    place = lambda x, salt: (mix((group * (START + 1) + x + salt).astype(np.uint64)) % np.uint64(WORD_ROWS)).astype(np.int64)
-    return np.stack([place(a, 1 << 20), WORD_ROWS + place(b, 1 << 24), 2 * WORD_ROWS + group], 1)
+def _word_rows(group: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> np.ndarray:
+    """Features of the place inside a class: each context with the class, and the class alone."""
+    row = lambda x, salt: (mix(((2 * group + salt) * rows + x).astype(np.uint64)) % np.uint64(rows)).astype(np.int64)
+    return np.stack([row(a, 0), rows + row(b, 1), 2 * rows + group], 1)
 
 
-def new_weights() -> tuple[np.ndarray, np.ndarray]:
-    return np.zeros((CLASS_ROWS, CLASSES + 1), np.float32), np.zeros((2 * WORD_ROWS + CLASSES, WIDTH), np.float32)
+def new_weights(rows: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.zeros((1 + 3 * rows, CLASSES), np.float32), np.zeros((2 * rows + CLASSES, WIDTH), np.float32)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -125,93 +149,84 @@ def _apply(w: np.ndarray, seen: np.ndarray, rows: np.ndarray, d: np.ndarray) ->
     w[rows] -= RATE * d / np.sqrt(s)
 
 
-def _train(sent, state):
+def _train(known, state):
+    """Each shard's weights after its steps, times its tokens, and the number of these behind them."""
+
     def run(batches):
-        ids_of = sent.value.table()
-        (wc, ww), n = (x.copy() for x in state.value), 0
-        sc, sw = np.full_like(wc, 1.0), np.full_like(ww, 1.0)
-        for batch in batches:
-            for _, _, h, first in tokens(batch.column(0)):
-                ids = ids_of(h)
-                ids = np.where((ids < 0) | (ids >= COMMON), RARE, ids)
-                a, b, f = _features(ids, first)
-                for k in range(0, len(ids), STEP):
-                    y, fc = ids[k : k + STEP], f[k : k + STEP]
-                    _step(wc, sc, fc, _class_logits(wc, fc), y // WIDTH, True)
-                    some = np.flatnonzero(y < COMMON)
-                    if len(some):
-                        group = y[some] // WIDTH
-                        fw = _word_rows(group, a[k : k + STEP][some], b[k : k + STEP][some])
-                        _step(ww, sw, fw, _word_logits(ww, fw), y[some] % WIDTH, False)
-                n += len(ids)
-        if n:
-            flat = np.concatenate([wc.ravel(), ww.ravel()]).astype(np.float32)
-            parts = np.array_split(flat, PARTS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS)), pa.array([float(n)] * PARTS), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "n", "w"])
+        voc = known.value
+        rank_of = voc.table()
+        for shard, own in by_key(batches, "shard"):
+            (wc, ww), n = (x.copy() for x in state.value), 0
+            sc, sw = np.full_like(wc, 1.0), np.full_like(ww, 1.0)
+            for batch in own:
+                for _, _, h, first in tokens(batch.column("text")):
+                    y, context = places(h, rank_of(h), voc.rows)
+                    a, b, f = _features(context, first, voc.rows)
+                    for k in range(0, len(y), STEP):
+                        part = slice(k, k + STEP)
+                        group = y[part] // WIDTH
+                        fw = _word_rows(group, a[part], b[part], voc.rows)
+                        _step(wc, sc, f[part], _class_logits(wc, f[part]), group, True)
+                        _step(ww, sw, fw, _word_logits(ww, fw), y[part] % WIDTH, False)
+                    n += len(y)
+            yield sent(shard, np.append(np.concatenate([wc.ravel(), ww.ravel()]) * np.float32(n), np.float32(n)))
 
     return run
 
 
-def _average(batches):
-    """Means of the parts that a task holds, by tokens, added up as they come."""
-    total: dict[int, np.ndarray] = {}
-    n: dict[int, float] = {}
-    for batch in batches:
-        for part, weight, w in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            x = np.frombuffer(w, np.float32).astype(np.float64) * weight
-            total[part] = total[part] + x if part in total else x
-            n[part] = n.get(part, 0.0) + weight
-    keys = sorted(total)
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([(total[k] / n[k]).astype(np.float32).tobytes() for k in keys], pa.binary())], ["part", "w"])
-
-
 def train(docs: DataFrame, vocabulary: Vocabulary, turn, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Weights after one pass over all rows in ``ROUNDS`` rounds; ``turn`` (a column) says in which round a row's text is seen. Their size is fixed."""
+    """Weights after one pass over all rows in ``ROUNDS`` rounds; ``turn`` (a column) says in which round a row's text is seen.
+
+    A round's texts are dealt by their hash to shards of about ``SHARD_ROWS``, so the model doesn't depend on the cluster. Nulls are empty texts; repeated rows count as often as they occur.
+    """
     spark = docs.sparkSession
-    sent, weights = spark.sparkContext.broadcast(vocabulary), new_weights()
+    known, weights = spark.sparkContext.broadcast(vocabulary), new_weights(vocabulary.rows)
+    sizes = {r[0]: r[1] for r in docs.groupBy(turn.alias("t")).count().collect()}  # a row a round
+    rows = docs.select(turn.alias("t"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     for r in range(ROUNDS):
+        if not sizes.get(r):
+            continue
+        shards = -(-sizes[r] // SHARD_ROWS)
         state = spark.sparkContext.broadcast(weights)
-        made = docs.filter(turn == r).select(text).mapInArrow(_train(sent, state), "part bigint, n double, w binary")
-        found = made.repartition(PARTS, "part").mapInArrow(_average, "part bigint, w binary").collect()
-        if found:
-            flat = np.concatenate([np.frombuffer(x.w, np.float32) for x in sorted(found, key=lambda x: x.part)])
-            cut = CLASS_ROWS * (CLASSES + 1)
-            weights = flat[:cut].reshape(CLASS_ROWS, CLASSES + 1), flat[cut:].reshape(-1, WIDTH)
+        mine = dealt(rows.filter(F.col("t") == r), shards, F.pmod("h", F.lit(shards)), ["h", "text"]).select("shard", "text")
+        total = summed(mine.mapInArrow(_train(known, state), SENT), shards)
+        state.destroy()
+        flat, cut = (total[:-1] / total[-1]).astype(np.float32), weights[0].size
+        weights = flat[:cut].reshape(weights[0].shape), flat[cut:].reshape(weights[1].shape)
     return weights
 
 
 def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, weights, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, n_tokens, n_known, base_score and score (sums of log10 probabilities). Nulls are empty texts: one end token. Repeated rows stay apart.
+    """Per row: id, n_tokens, n_known, base_score and score (sums of log10 probabilities). Nulls are empty texts: one end token. Repeated rows stay apart and score alike; an empty table gives an empty result; other columns aren't kept.
 
     Each task knows the commonest words' counts; its other words leave as (row, word, times) and meet the count table, dealt by word, so the vocabulary may grow without bound.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((vocabulary, weights))
+    model_of = spark.sparkContext.broadcast((vocabulary, weights))
     kind = dict(docs.dtypes)[id]
 
     def run(batches):
-        voc, (wc, ww) = sent.value
+        voc, (wc, ww) = model_of.value
         rank_of = voc.table()
         logs = np.log10(voc.counts + 1.0)
-        base_room, rare_room = np.log10(voc.base_room), np.log10(voc.rare_room)
+        base_room, rooms = np.log10(voc.base_room), np.log10(voc.rooms)
         for batch in batches:
             ids_all, keys = batch.column(1), batch.column(0).to_numpy()
             for i, j, h, first in tokens(batch.column(2)):
                 rank = rank_of(h)
-                ids = np.where((rank < 0) | (rank >= COMMON), RARE, rank)
-                a, b, f = _features(ids, first)
-                model = np.zeros(len(ids))
-                for k in range(0, len(ids), STEP):
-                    y, fc = ids[k : k + STEP], f[k : k + STEP]
-                    lp = _log_softmax(_class_logits(wc, fc))[np.arange(len(y)), y // WIDTH].astype(np.float64)
-                    some = np.flatnonzero(y < COMMON)
-                    if len(some):
-                        fw = _word_rows(y[some] // WIDTH, a[k : k + STEP][some], b[k : k + STEP][some])
-                        lp[some] += _log_softmax(_word_logits(ww, fw))[np.arange(len(some)), y[some] % WIDTH]
-                    model[k : k + STEP] = lp / np.log(10)
+                y, context = places(h, rank, voc.rows)
+                a, b, f = _features(context, first, voc.rows)
+                model = np.zeros(len(y))
+                for k in range(0, len(y), STEP):
+                    part = slice(k, k + STEP)
+                    group, at = y[part] // WIDTH, np.arange(len(y[part]))
+                    fw = _word_rows(group, a[part], b[part], voc.rows)
+                    lp = _log_softmax(_class_logits(wc, f[part]))[at, group].astype(np.float64)
+                    model[part] = (lp + _log_softmax(_word_logits(ww, fw))[at, y[part] % WIDTH]) / np.log(10)
                 known = rank >= 0
                 value = np.where(known, logs[np.maximum(rank, 0)] if len(logs) else 0.0, 0.0)
-                model += np.where(ids == RARE, np.where(known, value, 0.0) - rare_room, 0.0)
+                rare = y >= COMMON
+                model[rare] += value[rare] - rooms[y[rare] - COMMON]
                 base = value - base_room
                 sums = [np.add.reduceat(x, first[:-1]) for x in (base, model)]
                 n = np.diff(first)

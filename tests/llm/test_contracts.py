@@ -9,6 +9,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marginalia.llm import bpe, hilbert_shards, jaccard_join, maxent_lm, mixing, pu_quality, quality_rules, simhash, toxicity, warc
@@ -220,6 +221,55 @@ def test_maxent_base_is_exact_and_model_beats_it(spark, small):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_maxent_scores_are_the_models_probabilities(spark):
+    texts = ["a b c a b d", "a b c", None, "c c e f"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    counts = maxent_lm.count_tokens(docs)
+    voc = maxent_lm.Vocabulary(counts)
+    rng = np.random.default_rng(3)
+    weights = tuple(rng.normal(0, 1, w.shape).astype(np.float32) for w in maxent_lm.new_weights(voc.rows))
+    assert any(w.any() for w in maxent_lm.train(docs, voc, F.lit(0)))
+    rank = {int(h): k for k, h in enumerate(voc.keys)}
+    for r in maxent_lm.score(docs, counts, voc, weights).collect():
+        want, before = 0.0, [maxent_lm.START, maxent_lm.START]
+        import pyarrow as pa
+
+        (_, _, hs, _), = maxent_lm.tokens(pa.array([texts[r.doc_id]], pa.string()))
+        for h in hs:
+            y, c = (int(x[0]) for x in maxent_lm.places(np.array([h]), np.array([rank[int(h)]]), voc.rows))
+            f = maxent_lm._features(np.array([before[1], before[0], 0]), np.array([0, 3]), voc.rows)[2][2]
+            p = np.exp(weights[0][f].sum(0) + weights[0][0])
+            g = maxent_lm._word_rows(np.array([y // maxent_lm.WIDTH]), np.array([before[0]]), np.array([before[1]]), voc.rows)[0]
+            q = np.exp(weights[1][g].sum(0))
+            want += math.log10(p[y // maxent_lm.WIDTH] / p.sum() * q[y % maxent_lm.WIDTH] / q.sum())
+            before = [c, before[0]]
+        assert r.score == pytest.approx(want, rel=1e-4)
+
+
+def test_words_beyond_the_common_share_their_places(spark):
+    rows = [(0, " ".join(f"w{k}" for k in range(3000)))]
+    counts = maxent_lm.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"))
+    voc = maxent_lm.Vocabulary(counts)
+    assert (voc.total, voc.distinct) == (3001, 3001)
+    assert int((voc.rooms - 1).sum()) == 2 * (3001 - maxent_lm.COMMON)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_models_do_not_depend_on_partitions(spark, small, parts):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    some = docs.limit(80).repartition(parts)
+    counts = maxent_lm.count_tokens(some)
+    wc, _ = maxent_lm.train(some, maxent_lm.Vocabulary(counts), F.lit(0))
+    pu = pu_quality.fit(docs.filter("doc_id < 40").repartition(parts), docs.repartition(parts), 0.4)
+    tox = toxicity.fit(docs.repartition(parts).withColumn("y", (F.col("doc_id") % 5 == 0).cast("double")))
+    got = [float(np.abs(wc).sum()), float(np.abs(pu).sum()), float(np.abs(tox["w"]).sum())]
+    known = _models.setdefault("sums", got)
+    assert got == pytest.approx(known, rel=1e-6)
+
+
+_models: dict = {}
+
+
 def test_warc_round_trip(spark, small):
     rows = warc.op5_warc(spark, small).collect()
     pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
