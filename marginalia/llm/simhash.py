@@ -6,20 +6,23 @@ often as it occurs. Votes are added four counters to a long, so that one term co
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import documents, let, words_of
+from .base import documents, let, words_of, written
 
 BITS = 64
 #: Terms a piece: four counters of 15 bits fit a signed long, at weights up to 4.
 PIECE = 8191
 #: Every 16th bit: the four counters of a long.
 LANES = 0x0001000100010001
-#: Rows that a window's range of ids should hold, and the most ranges.
-RANGE_ROWS, MOST_RANGES = 1000, 1 << 14
+#: Rows that a window's range of ids should hold, and the ranges up to which that is so; beyond, ranges grow in number and in rows alike.
+RANGE_ROWS, MANY_RANGES = 1000, 1 << 14
+#: Bits in which near fingerprints may differ.
+RADIUS = 3
 
 
 def term_codes(text: Column) -> Column:
@@ -99,8 +102,9 @@ def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text", ranges: i
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    k = ranges or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // RANGE_ROWS))
-    k = min(k, MOST_RANGES)
+    n = docs.count()
+    wanted = -(-n // RANGE_ROWS)
+    k = ranges or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(wanted, MANY_RANGES + math.isqrt(wanted)))
     at = F.expr(f"percentile_approx(__id, array({', '.join(f'{(i + 1) / k!r}D' for i in range(k))}), {10 * k})")
     bounds = rows.agg(F.array_sort(F.array_distinct(F.array_compact(F.concat(F.coalesce(at, F.array().cast("array<bigint>")), F.array(F.max("__id")))))).alias("b")).scalar()
     rows = rows.withColumn("__b", bounds)
@@ -119,7 +123,7 @@ def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text", ranges: i
 
 
 def edited_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
-    """Per row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Nulls count as empty texts; repeated rows stay apart; a lone row follows itself."""
+    """Per row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Nulls count as empty texts; repeated rows stay apart, ties on the id are put in order by text; a lone row follows itself; an empty table gives an empty result; other columns aren't kept."""
     pairs = with_next(docs, id, text, ranges)
     n = F.length(text)
     cut = F.floor(n / 3).cast("int")
@@ -139,5 +143,20 @@ def edited_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text",
     )
 
 
+def near_counts(prints: DataFrame, queries: Column, radius: int = RADIUS, id: str = "doc_id", fp: str = "fp") -> DataFrame:
+    """``prints`` (id, fp, ...) with ``n_near``: for rows that ``queries`` picks, how many other rows have a fingerprint within ``radius`` bits, by the block tables; null for others.
+
+    Distinct fingerprints are searched, so copies cost nothing; their rows are counted. Repeated ids each count as a row. A null fingerprint has none near.
+    """
+    fps = written(prints.groupBy(F.col(fp).alias("fp")).agg(F.count("*").alias("rows")), "prints")
+    asked = prints.filter(queries).select(F.col(fp).alias("fp")).distinct()
+    found = within_radius(fps, asked, radius).join(fps, "fp").groupBy("query_fp").agg((F.sum("rows") - 1).alias("__near"))
+    out = prints.withColumn("__fp", F.when(queries, F.col(fp))).join(written(found, "near"), F.col("__fp") == F.col("query_fp"), "left")
+    return out.withColumn("n_near", F.when(queries, F.coalesce("__near", F.lit(0)))).drop("__fp", "__near", "query_fp")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(documents(spark, sf_dir).select("doc_id", "text"))
+    """Every document with its fingerprints; ``n_near``, for each document whose id is divisible by 20, counts the documents near it among all."""
+    rows = written(edited_fingerprints(documents(spark, sf_dir).select("doc_id", "text")), "fingerprints")
+    fp = F.conv(F.col("fingerprint"), 16, -10).cast("long")
+    return near_counts(rows.withColumn("fp", fp), F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))).drop("fp")
