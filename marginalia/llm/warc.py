@@ -25,7 +25,7 @@ FILE_BYTES = 16 << 20
 MEMBER = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
-#: Texts of pages that are worked on at once by a task.
+#: The date of every record, so that archives are the same whenever they are written.
 _FIXED_DATE = "2024-01-01T00:00:00Z"
 
 
@@ -267,12 +267,23 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
+#: Tasks that read archives, at most.
+READERS = 20_000
+
+
 def archive_contents(spark: SparkSession, listed: DataFrame) -> DataFrame:
-    """The listed files' contents; the list has one entry a file of about ``FILE_BYTES``, and only it goes through the driver."""
-    files = [r.file for r in listed.select("file").collect()]
-    if not files:
-        return spark.createDataFrame([], "path string, content binary")
-    return spark.read.format("binaryFile").load(files)
+    """The listed files' contents (path, content). The list is dealt to tasks, which open the files; an archive has about ``FILE_BYTES``, and each is a batch of its own."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, at = fs.FileSystem.from_uri(path)
+                with system.open_input_file(at) as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())], ["path", "content"])
+
+    return listed.select("file").repartition(max(1, min(listed.count(), READERS))).mapInArrow(run, "path string, content binary")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
