@@ -376,3 +376,13 @@ def _named(signed: DataFrame, roots: DataFrame, id: str) -> DataFrame:
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir).select("doc_id", "text"), 4, 85)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, s, len(s) AS n FROM s), g AS (SELECT doc_id, n, unnest(s) AS g FROM n),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT r.doc_id, p.b FROM r JOIN p ON p.a = r.root)
+SELECT n.doc_id, any_value(n.n) AS n_shingles, min(root) AS component_id FROM n JOIN r USING (doc_id) GROUP BY n.doc_id
+"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": warc.ORACLE}
+    return {"op3_jaccard_join": jaccard_join.ORACLE, "op5_warc": warc.ORACLE}

@@ -141,6 +141,154 @@ def test_block_tables_find_all_within_the_radius(spark):
     assert got == sorted((q, p, bits(q, p)) for q in set(base) for p in set(near) if bits(q, p) <= 3)
 
 
+def test_fingerprints_are_signed_votes(spark, small):
+    import xxhash
+
+    def h64(*parts, seed=42):
+        for p in parts:
+            if p is None:
+                continue
+            raw = p.encode() if isinstance(p, str) else int(p).to_bytes(8, "little", signed=True)
+            seed = xxhash.xxh64(raw, seed=seed & (2**64 - 1)).intdigest()
+        return seed - 2**64 if seed >= 2**63 else seed
+
+    wrap = lambda x: (x + 2**63) % 2**64 - 2**63
+    docs = spark.read.parquet(f"{small}/documents.parquet").filter("doc_id < 12").select("doc_id", "text")
+    for r in simhash.fingerprints(docs, ["doc_id"], "text").join(docs, "doc_id").collect():
+        words, votes = WORD.findall(r.text), [0] * 64
+        for i, w in enumerate(words):
+            weight = min(3, len(w) // 3)
+            code = wrap(h64(w, words[i - 1] if i else None) << 2) | weight
+            bits = h64(code)
+            for k in range(64):
+                votes[k] += (weight + 1) * (1 if bits >> k & 1 else -1)
+        assert r.fp == wrap(sum(1 << k for k in range(64) if votes[k] > 0))
+
+
+def test_near_documents_are_counted(spark, small):
+    rows = simhash.op7_simhash(spark, small).collect()
+    prints = [int(r.fingerprint, 16) for r in rows]
+    for r in rows:
+        want = sum((int(r.fingerprint, 16) ^ p).bit_count() <= simhash.RADIUS for p in prints) - 1
+        assert r.n_near == (want if r.doc_id % 20 == 0 else None)
+
+
+def test_shards_follow_the_curve_and_prune(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('https://same.prefix/', id % 16) as source", "id div 250 as day")
+    rows = hilbert_shards.hilbert_shards(docs, ["source", "day"], [F.col("doc_id")]).collect()
+    order = sorted(rows, key=lambda r: (r.shard, r.slot))
+    assert [r.curve for r in order] == sorted(r.curve for r in rows)
+    assert len({r.curve for r in rows}) == 256
+    seen = {s: {(r.source, r.day) for r in rows if r.shard == s} for s in range(8)}
+    assert all(len({x for x, _ in v}) <= 8 and len({d for _, d in v}) <= 8 for v in seen.values())
+
+
+def test_quality_ratios_and_verdicts(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    trusted = spark.createDataFrame([(k,) for k in range(0, 60, 2)], "doc_id long")
+    ratios = quality_rules.fit_ratios(docs, trusted)
+    table = ratios.first().ratios
+    assert len(table) == quality_rules.BUCKETS
+    grams = {r.doc_id: r.g for r in docs.select("doc_id", quality_rules.ngram_buckets(F.col("text")).alias("g")).collect()}
+    every = Counter(b for g in grams.values() for b in g)
+    good = Counter(b for i, g in grams.items() if i < 60 and i % 2 == 0 for b in g)
+    n, m, k = sum(every.values()), sum(good.values()), quality_rules.SMOOTHING
+    want = [math.log((good[b] + k) / (m + k * len(table)) / ((every[b] + k) / (n + k * len(table)))) for b in range(len(table))]
+    assert table == pytest.approx(want)
+    for r in quality_rules.quality_rules(docs, ratios).collect():
+        words = len(WORD.findall(r.text or ""))
+        assert len(grams[r.doc_id]) == max(0, 2 * words - 1)
+        llr = float(np.mean([want[b] for b in grams[r.doc_id]])) if words else 0.0
+        assert r.llr == pytest.approx(llr) and r.kept == (not r.base_failed and r.llr >= quality_rules.THRESHOLD)
+
+
+def test_ftrl_step_and_risk_gradient():
+    z, n, f = np.array([3.0, -4.0, 0.5]), np.array([4.0, 1.0, 0.0]), np.array([0, 1, 2])
+    w = [-(3.0 - 2.0) / (1 + 2.0), -(-4.0 + 2.0) / (1 + 1.0), 0.0]
+    g = 1 / (1 + math.exp(-sum(w))) - 1.0
+    want = [(zi + g - (math.sqrt(ni + g * g) - math.sqrt(ni)) * wi, ni + g * g) for zi, ni, wi in zip(z, n, w, strict=True)]
+    toxicity.step(z, n, f, 1.0)
+    assert np.stack([z, n], 1).ravel().tolist() == pytest.approx([x for pair in want for x in pair])
+
+    at, x, of = np.array([0, 1, 0, 2, 1, 2]), np.array([1.0, 2.0, 0.5, 1.0, 1.0, 3.0]), np.array([0, 0, 1, 1, 2, 2])
+    for prior, w in ((0.3, np.array([0.2, -0.1, 0.4])), (0.95, np.array([2.0, 1.0, -3.0]))):
+        def risk(w, prior=prior):
+            m = np.bincount(of, x * w[at])
+            p = prior * np.logaddexp(0, -m[:1]).mean()
+            rest = np.logaddexp(0, m[1:]).mean() - prior * np.logaddexp(0, m[:1]).mean()
+            return p, rest
+
+        g, negative = pu_quality.gradient(at, x, of, w, 1, prior)
+        assert negative == pytest.approx(risk(w)[1])
+        d = np.bincount(at, x * g[of])
+        for k in range(3):
+            e = np.eye(3)[k] * 1e-6
+            p, rest = (a - b for a, b in zip(risk(w + e), risk(w - e), strict=True))
+            assert d[k] * 2e-6 == pytest.approx(p + rest if negative >= 0 else -rest, rel=1e-3, abs=1e-12)
+
+
+def test_words_with_equal_polynomials_stay_apart():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from marginalia.llm import words
+
+    x = "a"
+    for _ in range(10):
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    (_, _, h, _), = words.hashed(pa.array([x, y]))
+    assert h[0] != h[1]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    lib.no_truncation()
+    assert [np.frombuffer(r[1], "<u4").tolist() for r in bpe.WordCoder(path).encode(pa.array([x, y]))] == [lib.encode(t, add_special_tokens=False).ids for t in (x, y)]
+
+
+def test_bpe_survives_hash_collisions(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    path, column = public_tokenizers.path("word_bpe_49k.json"), pa.array(["one two six", "six ten one", None])
+    want = list(bpe.WordCoder(path).encode(column))
+    monkeypatch.setattr(bpe, "hash_words", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    assert list(bpe.WordCoder(path).encode(column)) == want
+
+
+def test_jaccard_join_equals_its_sql_twin(spark, small):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    got = sorted(tuple(r) for r in jaccard_join.op3_jaccard_join(spark, small).select("doc_id", "n_shingles", "component_id").collect())
+    found = con.execute(jaccard_join.ORACLE)
+    assert [d[0] for d in found.description] == ["doc_id", "n_shingles", "component_id"]
+    assert got == sorted(found.fetchall())
+
+
+@pytest.mark.parametrize("percent", [60, 85])
+def test_open_tiles_settle_exactly(percent):
+    rng = np.random.default_rng(7)
+    base = np.sort(rng.choice(2**60, 120, replace=False).astype(np.uint64))
+    sets_ = [np.unique(np.concatenate([rng.choice(base, 90, replace=False), rng.choice(2**60, 12).astype(np.uint64)])) for _ in range(40)]
+    sets_.sort(key=len)
+    n = np.array([len(s) for s in sets_])
+    names = np.arange(40)
+    links = list(jaccard_join.joining_links(names, n, names, np.zeros(40, np.int64), sets_, percent))
+    assert len(links) < 40
+
+    def groups(pairs):
+        lab = list(range(40))
+        for a, b in pairs:
+            lab = [lab[a] if x == lab[b] else x for x in lab]
+        return {tuple(i for i in range(40) if lab[i] == x) for x in lab}
+
+    both = lambda a, b: len(np.intersect1d(sets_[a], sets_[b]))
+    linked = [(a, b) for a in range(40) for b in range(a) if 100 * both(a, b) >= percent * (n[a] + n[b] - both(a, b))]
+    assert groups(links) == groups(linked)
+
+
 def test_mixing_stays_within_a_block(spark, small):
     rows = mixing.op8_mixing(spark, small).collect()
     assert Counter(r.doc_id for r in rows) == Counter(texts_of(spark, small).keys())
