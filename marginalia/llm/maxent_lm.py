@@ -135,7 +135,7 @@ def _step(w: np.ndarray, seen: np.ndarray, f: np.ndarray, logits: np.ndarray, y:
     g = np.exp(_log_softmax(logits))
     g[np.arange(len(y)), y] -= 1
     for k in range(f.shape[1]):
-        order = np.argsort(f[:, k], kind="stable")
+        order = _order(f[:, k])
         names = f[order, k]
         edges = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
         _apply(w, seen, names[edges], np.add.reduceat(g[order], edges, axis=0))
@@ -143,6 +143,12 @@ def _step(w: np.ndarray, seen: np.ndarray, f: np.ndarray, logits: np.ndarray, y:
         _apply(w, seen, np.zeros(1, np.int64), g.sum(0, keepdims=True))
 
 
+def _order(names: np.ndarray) -> np.ndarray:
+    """The places of the names in rising order; names of a narrow range are sorted by their digits."""
+    near = names - names.min()
+    return np.argsort(near.astype(np.uint16) if near.max() < 1 << 16 else near, kind="stable")
+
+
 def _apply(w: np.ndarray, seen: np.ndarray, rows: np.ndarray, d: np.ndarray) -> None:
     s = seen[rows] + d * d
     seen[rows] = s
