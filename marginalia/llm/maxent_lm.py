@@ -117,9 +117,19 @@ def new_weights(rows: int) -> tuple[np.ndarray, np.ndarray]:
     return np.zeros((1 + 3 * rows, CLASSES), np.float32), np.zeros((2 * rows + CLASSES, WIDTH), np.float32)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Probabilities, in the place of the logits."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
+def _log_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The log probability of each row's own column, in the place of the logits."""
+    x -= x.max(1, keepdims=True)
+    own = x[np.arange(len(y)), y].astype(np.float64)
+    return own - np.log(np.exp(x, out=x).sum(1))
 
 
 def _class_logits(w: np.ndarray, f: np.ndarray) -> np.ndarray:
@@ -132,7 +142,7 @@ def _word_logits(w: np.ndarray, f: np.ndarray) -> np.ndarray:
 
 def _step(w: np.ndarray, seen: np.ndarray, f: np.ndarray, logits: np.ndarray, y: np.ndarray, bias: bool) -> None:
     """One gradient step for the rows that the features name; each weight has its own rate."""
-    g = np.exp(_log_softmax(logits))
+    g = _softmax(logits)
     g[np.arange(len(y)), y] -= 1
     for k in range(f.shape[1]):
         order = _order(f[:, k])
@@ -150,9 +160,13 @@ def _order(names: np.ndarray) -> np.ndarray:
 
 
 def _apply(w: np.ndarray, seen: np.ndarray, rows: np.ndarray, d: np.ndarray) -> None:
-    s = seen[rows] + d * d
+    s = d * d
+    s += seen[rows]
     seen[rows] = s
-    w[rows] -= RATE * d / np.sqrt(s)
+    np.sqrt(s, out=s)
+    np.divide(d, s, out=s)
+    s *= RATE
+    w[rows] -= s
 
 
 def _train(known, state):
@@ -225,10 +239,9 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, weights, i
                 model = np.zeros(len(y))
                 for k in range(0, len(y), STEP):
                     part = slice(k, k + STEP)
-                    group, at = y[part] // WIDTH, np.arange(len(y[part]))
+                    group = y[part] // WIDTH
                     fw = _word_rows(group, a[part], b[part], voc.rows)
-                    lp = _log_softmax(_class_logits(wc, f[part]))[at, group].astype(np.float64)
-                    model[part] = (lp + _log_softmax(_word_logits(ww, fw))[at, y[part] % WIDTH]) / np.log(10)
+                    model[part] = (_log_of(_class_logits(wc, f[part]), group) + _log_of(_word_logits(ww, fw), y[part] % WIDTH)) / np.log(10)
                 known = rank >= 0
                 value = np.where(known, logs[np.maximum(rank, 0)] if len(logs) else 0.0, 0.0)
                 rare = y >= COMMON
