@@ -134,10 +134,10 @@ def sentences(t: Column, pattern: str = EVENT_SPLIT, least: int = 8, most: int =
     return F.filter(F.transform(F.split(t, pattern), collapse), lambda s: F.length(s).between(least, most))
 
 
-def relation_windows(t: Column, most: int = 120) -> Column:
+def relation_windows(t: Column, most: int = 120, pattern: str = RELATION_SPLIT) -> Column:
     """Sentences; longer ones cut into windows of ``most`` characters; of at least 8."""
     cut = lambda s: F.when(F.length(s) <= most, F.array(s)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1)), F.lit(most)), lambda i: strip(F.substring(s, i, F.lit(most)))))
-    return F.filter(F.flatten(F.transform(F.transform(F.split(t, RELATION_SPLIT), collapse), cut)), lambda s: F.length(s) >= 8)
+    return F.filter(F.flatten(F.transform(F.transform(F.split(t, pattern), collapse), cut)), lambda s: F.length(s) >= 8)
 
 
 def bigrams(t: Column) -> Column:

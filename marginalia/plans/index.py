@@ -207,9 +207,7 @@ pairs AS (SELECT book_id, source, target, relation_type, chapter_number, window_
 
 def _windows(t: Tables):
     """Relation windows with the driver's sentence ends."""
-    cut = lambda s: F.when(F.length(s) <= 120, F.array(s)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1)), F.lit(120)), lambda i: T.strip(F.substring(s, i, F.lit(120)))))
-    column = F.filter(F.flatten(F.transform(F.transform(F.split("content", LATIN), T.collapse), cut)), lambda s: F.length(s) >= 8)
-    return M.windows(t.chapters, t.names, column)
+    return M.windows(t.chapters, t.names, T.relation_windows(F.col("content"), pattern=LATIN))
 
 
 @query("relation_pairs", f"{_PAIRS} SELECT book_id, source, target, relation_type, min(chapter_number) AS first_chapter_number, count(*) AS mention_count FROM pairs GROUP BY ALL")
@@ -306,12 +304,12 @@ def event_search_entity_semi(t: Tables):
 
 @query(
     "ngram_frequency",
-    """WITH r AS (SELECT unnest(regexp_extract_all(text, '[a-z]{8,}')) AS s FROM documents),
+    """WITH r AS (SELECT unnest(regexp_extract_all(text, '[a-z]{4,}')) AS s FROM documents),
 g AS (SELECT unnest(flatten(list_transform([2, 3, 4], lambda n: list_transform(range(1, length(s) - n + 2), lambda i: substr(s, i, n))))) AS gram FROM r)
 SELECT gram, count(*) AS n FROM g GROUP BY gram HAVING count(*) >= 8""",
 )
 def ngram_frequency(t: Tables):
-    return M.ngram_counts(t.documents.select(F.col("text").alias("content")), run="[a-z]{8,}")
+    return M.ngram_counts(t.documents.select(F.col("text").alias("content")), run="[a-z]{4,}")
 
 
 @query(
