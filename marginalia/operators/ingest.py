@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_right
 
@@ -16,41 +17,77 @@ PARENT, CHILD = (1800, 200), (260, 40)
 LOOK_AHEAD, LEAST_SHARE = 80, 0.6
 
 
+#: So many successive numbers of a key make a block; only totals of blocks meet the whole key.
+BLOCK = 1024
+
+
+def running(rows: DataFrame, key: str, at: str, sums: tuple[str, ...], lasts: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``before_<column>`` for the sum, or the last value that isn't null, over the rows of the same key before each row, in the order of ``at`` (a whole number).
+
+    Rows are windowed in blocks of ``at``, and one row a block is windowed by key, so that a key with most of the rows still takes many tasks.
+    """
+    rows = rows.withColumn("__block", F.floor(F.col(at) / BLOCK))
+    inside = Window.partitionBy(key, "__block").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    last_of = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(at))).alias(c) for c in lasts]
+    totals = rows.groupBy(key, "__block").agg(*[F.sum(c).alias(c) for c in sums], *last_of)
+    totals = totals.select(
+        F.col(key).alias("__key"), F.col("__block").alias("__of"), *[F.coalesce(F.sum(c).over(blocks), F.lit(0)).alias(f"__{c}") for c in sums], *[F.last(c, ignorenulls=True).over(blocks).alias(f"__{c}") for c in lasts]
+    )
+    own = {f"before_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums} | {f"before_{c}": F.last(c, ignorenulls=True).over(inside) for c in lasts}
+    both = rows.withColumns(own).join(totals, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__block") == F.col("__of")))
+    added = {f"before_{c}": F.col(f"before_{c}") + F.col(f"__{c}") for c in sums} | {f"before_{c}": F.coalesce(f"before_{c}", f"__{c}") for c in lasts}
+    return both.withColumns(added).drop("__block", "__of", "__key", *[f"__{c}" for c in (*sums, *lasts)])
+
+
 def parse_chapters(books: DataFrame) -> DataFrame:
-    """(book_id, chapter_number, title, content, start_offset, end_offset) from (book_id, text).
+    """(book_id, chapter_number, title, content, start_offset, end_offset) from (book_id, text) or, for books too long for a row, (book_id, part, text) with parts numbered in order.
 
-    Lines are sessionised: a chapter heading opens a chapter with its title, scoped by the last volume heading; a volume heading only closes one. Numbers are dense. A book without chapter
-    headings is one chapter. A book's lines stay together in one window; books are many, so tasks are even.
+    Parts are read as if joined by a blank line. Lines are sessionised: a chapter heading opens a chapter with its title, scoped by the last volume heading; a volume heading only closes one.
+    Numbers are dense. A book without chapter headings is one chapter. Lines are windowed inside their part, and what a part hands on to the next is a row of totals (``running``), so the
+    longest row is a part or a chapter, not a book.
     """
-    clean = books.select("book_id", T.normalize_newlines(F.coalesce("text", F.lit(""))).alias("text"))
-    lines = clean.select("book_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    part = F.col("part") if "part" in books.columns else F.lit(0)
+    clean = books.select("book_id", part.alias("part"), T.normalize_newlines(F.coalesce("text", F.lit(""))).alias("text"))
+    lines = clean.select("book_id", "part", F.posexplode(F.split(F.concat("text", F.lit("\n")), "\n", -1)).alias("pos", "line"))
     lines = lines.withColumn("vol", T.is_volume(F.col("line"))).withColumn("head", ~F.col("vol") & T.is_chapter(F.col("line")))
-    w = Window.partitionBy("book_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("book_id", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumns(
         {
-            "seg": F.sum((F.col("vol") | F.col("head")).cast("int")).over(w),
+            "piece": F.sum((F.col("vol") | F.col("head")).cast("int")).over(w),
             "volume": F.last(F.when(F.col("vol"), T.clean_volume(F.col("line"))), ignorenulls=True).over(w),
         }
     )
-    scoped = F.when(F.col("volume").isNull(), T.clean_title(F.col("line"))).otherwise(F.concat_ws(" / ", "volume", T.clean_title(F.col("line"))))
-    segs = lines.groupBy("book_id", "seg").agg(
-        F.max(F.when(F.col("head"), scoped)).alias("title"),
-        F.max("head").alias("is_chapter"),
+    pieces = lines.groupBy("book_id", "part", "piece").agg(
+        F.max(F.when(F.col("head"), T.clean_title(F.col("line")))).alias("heading"),
+        F.max("volume").alias("volume"),  # a piece has one
         F.array_sort(F.collect_list(F.when(~F.col("vol") & ~F.col("head"), F.struct("pos", "line")))).alias("ls"),
     )
-    segs = segs.withColumn("content", T.strip(F.array_join("ls.line", "\n"))).withColumn("title", F.coalesce("title", F.lit("")))
-    segs = segs.withColumn("any", F.max("is_chapter").over(Window.partitionBy("book_id"))).filter("any and (title <> '' or content <> '')")
-    by_book = Window.partitionBy("book_id").orderBy("seg")
+    of_part = pieces.groupBy("book_id", "part").agg(F.max("piece").alias("cuts"), F.max_by("volume", "piece").alias("volume"))
+    carried = running(of_part, "book_id", "part", ("cuts",), ("volume",)).select(F.col("book_id").alias("__book"), F.col("part").alias("__part"), "before_cuts", "before_volume")
+    pieces = pieces.join(carried, F.col("book_id").eqNullSafe(F.col("__book")) & (F.col("part") == F.col("__part")))
+    scope = F.coalesce("volume", "before_volume")
+    pieces = pieces.select(
+        "book_id", (F.col("piece") + F.col("before_cuts")).alias("seg"), "part", "heading", F.when(scope.isNull(), F.col("heading")).otherwise(F.concat_ws(" / ", scope, "heading")).alias("scoped"),
+        F.when(F.size("ls") > 0, F.array_join("ls.line", "\n")).alias("text"),
+    )
+    segs = pieces.groupBy("book_id", "seg").agg(
+        F.max(F.when(F.col("heading").isNotNull(), F.col("scoped"))).alias("title"),
+        F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("part", "text")))).alias("texts"),
+    )
+    segs = segs.withColumn("content", T.strip(F.array_join("texts.text", "\n"))).withColumn("title", F.coalesce("title", F.lit(""))).drop("texts")
+    with_heading = lines.filter("head").select(F.col("book_id").alias("__book")).distinct()
+    segs = segs.join(with_heading, F.col("book_id").eqNullSafe(F.col("__book")), "left_semi").filter("title <> '' or content <> ''")
     size = F.length(T.strip(F.concat("title", F.lit("\n"), "content")))
-    found = segs.select("book_id", F.row_number().over(by_book).alias("chapter_number"), "title", "content", size.alias("size"), "seg")
-    start = F.coalesce(F.sum(F.col("size") + 2).over(by_book.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    found = found.withColumn("start_offset", start).select(
+    small = segs.select("book_id", "seg", F.lit(1).alias("one"), (size + 2).alias("length"))
+    places = running(small, "book_id", "seg", ("one", "length")).select(F.col("book_id").alias("__book"), F.col("seg").alias("__seg"), (F.col("before_one") + 1).cast("int").alias("chapter_number"), F.col("before_length").alias("start_offset"))
+    found = segs.join(places, F.col("book_id").eqNullSafe(F.col("__book")) & (F.col("seg") == F.col("__seg"))).select(
         "book_id", "chapter_number", F.when(F.col("title") == "", F.concat(F.lit("第"), "chapter_number", F.lit("章"))).otherwise(F.col("title")).alias("title"),
-        F.when(F.col("content") == "", F.col("title")).otherwise(F.col("content")).alias("content"), "start_offset", (F.col("start_offset") + F.col("size")).cast("int").alias("end_offset"),
+        F.when(F.col("content") == "", F.col("title")).otherwise(F.col("content")).alias("content"), "start_offset", (F.col("start_offset") + size).alias("end_offset"),
     )
-    plain = clean.join(lines.filter("head").select("book_id").distinct(), "book_id", "left_anti").withColumn("content", T.strip(F.col("text")))
-    whole = plain.select("book_id", F.lit(1).alias("chapter_number"), F.lit("全文").alias("title"), "content", F.lit(0).alias("start_offset"), F.length("content").alias("end_offset"))
-    return found.unionByName(whole)
+    plain = source_text(clean.join(with_heading, F.col("book_id").eqNullSafe(F.col("__book")), "left_anti").select("book_id", F.col("part").alias("chapter_number"), F.col("text").alias("content")))
+    whole = plain.select("book_id", F.lit(1).alias("chapter_number"), F.lit("全文").alias("title"), T.strip(F.col("text")).alias("content"), F.lit(0).cast("long").alias("start_offset"))
+    return found.unionByName(whole.withColumn("end_offset", F.length("content").cast("long")))
 
 
 def windows_of(size: int, stops: list[int], target: int, overlap: int):
@@ -100,18 +137,37 @@ def search_rows(parents: DataFrame, children: DataFrame, max_chapter: int | None
 
 
 def source_text(chapters: DataFrame) -> DataFrame:
-    """Each book's text, rebuilt from its chapters."""
+    """Each book's text, rebuilt from its chapters, as one row a book: for books that fit into a row. ``source_parts`` is for all others."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("chapter_number", "content"))), lambda x: x["content"])
     return chapters.groupBy("book_id").agg(F.array_join(ordered, "\n\n").alias("text"))
 
 
+def source_parts(chapters: DataFrame) -> DataFrame:
+    """(book_id, part, text): each book's text as a row a chapter, in order, which ``parse_chapters`` reads as the text of ``source_text``."""
+    return chapters.select("book_id", F.col("chapter_number").alias("part"), F.col("content").alias("text"))
+
+
 def fingerprint(chapters: DataFrame, version: str, settings: dict) -> DataFrame:
-    """24 hex digits of a SHA-256 over version, settings and chapters, a book."""
+    """24 hex digits of a SHA-256 over version, settings and chapters, a book. The hash takes one chapter after another, so a book is one task's work but never one row or group in memory."""
     # The settings that count, in this order.
     keys = ("enabled", "max_chapters", "batch_chapters", "model_path", "endpoint")
-    head = version + "".join(str(settings.get(k, "")) + "\0" for k in keys)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("chapter_number", "title", "content"))), lambda x: F.concat(x["chapter_number"].cast("string"), x["title"], x["content"], F.lit("\0")))
-    return chapters.groupBy("book_id").agg(F.substring(F.sha2(F.concat(F.lit(head), F.array_join(parts, "")), 256), 1, 24).alias("fingerprint"))
+    head = (version + "".join(str(settings.get(k, "")) + "\0" for k in keys)).encode()
+    piece = F.concat(F.col("chapter_number").cast("string"), "title", "content", F.lit("\0"))
+
+    def run(batches):
+        book = state = None
+        for batch in batches:
+            for own, text in zip(batch["book_id"], batch["piece"], strict=True):
+                if state is None or own != book:
+                    if state is not None:
+                        yield pd.DataFrame({"book_id": [book], "fingerprint": [state.hexdigest()[:24]]})
+                    book, state = own, hashlib.sha256(head)
+                state.update((text or "").encode())
+        if state is not None:
+            yield pd.DataFrame({"book_id": [book], "fingerprint": [state.hexdigest()[:24]]})
+
+    rows = chapters.select("book_id", "chapter_number", "title", "content", piece.alias("piece")).repartition("book_id").sortWithinPartitions("book_id", "chapter_number", "title", "content")
+    return rows.select("book_id", "piece").mapInPandas(run, f"book_id {chapters.schema['book_id'].dataType.simpleString()}, fingerprint string")
 
 
 def warnings(stats: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ SELECT book_id, chapter_number, title, length(CASE WHEN content = '' THEN title
 )
 def segment_lines(t: Tables):
     headed = t.chapters.withColumn("content", F.concat(F.lit("Chapter "), "chapter_number", F.lit(" d"), "doc_id", F.lit("\r\n"), "content"))
-    found = ingest.parse_chapters(ingest.source_text(headed))
+    found = ingest.parse_chapters(ingest.source_parts(headed))
     return found.select("book_id", "chapter_number", "title", F.length("content").alias("chars"), F.sha2("content", 256).alias("digest"), "start_offset")
 
 

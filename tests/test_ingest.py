@@ -3,6 +3,7 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from marginalia.operators import ingest
 from marginalia.sources import readers
@@ -68,3 +69,24 @@ def test_cases_are_checked(spark, tmp_path):
     for name in ("twice", "zero", "beyond", "broken"):
         with pytest.raises(Exception, match="."):
             readers.cases(spark, f"file://{tmp_path}/{name}.jsonl").collect()
+
+
+def test_parts_read_as_one_text(spark):
+    texts = ["序\n第一卷 北\n第一节 甲", "a\n第二节 乙\nb", "c", "", "第二卷 南\nx\n第一节 丙\nd", None, "e\n第三节 丁"]
+    rows = [("long", i * 700, t) for i, t in enumerate(texts)] + [("plain", 1, "u"), ("plain", 5000, "v"), (None, 0, "第1章 w\nz")]
+    parts = spark.createDataFrame(rows, "book_id string, part int, text string")
+    whole = ingest.source_text(parts.select("book_id", parts.part.alias("chapter_number"), F.coalesce("text", F.lit("")).alias("content")))
+    key = lambda r: (r.book_id or "", r.chapter_number)
+    got = sorted(ingest.parse_chapters(parts).collect(), key=key)
+    assert got == sorted(ingest.parse_chapters(whole).collect(), key=key)
+    assert [r.title for r in got if r.book_id == "long"] == ["第1章", "第一卷 北 / 甲", "第一卷 北 / 乙", "第4章", "第二卷 南 / 丙", "第二卷 南 / 丁"]
+    assert [(r.title, r.content) for r in got if r.book_id == "plain"] == [("全文", "u\n\nv")]
+
+
+def test_running_over_blocks(spark):
+    rows = [("a", i * 300, i, f"v{i}" if i % 4 == 1 else None) for i in range(40)] + [("b", 0, 5, None), (None, 3, 1, "n"), (None, 9000, 2, None)]
+    got = ingest.running(spark.createDataFrame(rows, "k string, at int, n int, v string"), "k", "at", ("n",), ("v",)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        before = [x for x in rows if x[0] == r.k and x[1] < r["at"]]
+        assert (r.before_n, r.before_v) == (sum(x[2] for x in before), ([None] + [x[3] for x in before if x[3]])[-1])
