@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -49,8 +49,8 @@ def set_delta(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     return both.select(column, F.when(F.col("l") & F.col("r"), "shared").when(F.col("l"), "left_only").otherwise("right_only").alias("side"))
 
 
-def merge_branches(turns: DataFrame, left, right, common: int, into) -> DataFrame:
-    """The common turns, then the rest of the left, then of the right, numbered anew."""
+def merge_branches(turns: DataFrame, left, right, common: int | Column, into) -> DataFrame:
+    """The common turns (a number, or ``common_prefix(...).scalar()``), then the rest of the left, then of the right, numbered anew."""
     a = turns.filter(F.col("session_id") == left).withColumn("__b", F.lit(0))
     b = turns.filter((F.col("session_id") == right) & (F.col("turn_index") > common)).withColumn("__b", F.lit(1))
     w = Window.partitionBy(F.lit(into)).orderBy("__b", "turn_index")

@@ -141,16 +141,15 @@ def timeline_fragments(t: Tables):
     return lookup.timeline(M.mentions(t.chapters, t.names), BOUND).select("book_id", "name", "rank", "chapter_number", "excerpt", "chapters", "n_mentions")
 
 
-SURFACES = ("THHA", "on wh", "onen", "nobody", "réai", "ReTh")
-
-
 @query(
     "alias_resolution",
-    f"""WITH s AS (SELECT surface, lower(regexp_replace(surface, '\\s+', '', 'g')) AS k FROM {values([(s,) for s in SURFACES], 'surface')})
-SELECT surface, coalesce(d.name, a.name) AS name FROM s LEFT JOIN {values([(n,) for n in NAMES], 'name').replace('AS v', 'AS d')} ON d.name = k LEFT JOIN {values(ALIASES, 'name', 'alias').replace('AS v', 'AS a')} ON a.alias = k WHERE coalesce(d.name, a.name) IS NOT NULL""",
+    rf"""WITH s AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \t\r\n]+')) AS surface FROM documents)
+SELECT surface, coalesce(d.name, a.name) AS name FROM s LEFT JOIN {values([(n,) for n in NAMES], 'name').replace('AS v', 'AS d')} ON d.name = lower(surface) LEFT JOIN {values(ALIASES, 'name', 'alias').replace('AS v', 'AS a')} ON a.alias = lower(surface) WHERE coalesce(d.name, a.name) IS NOT NULL""",
 )
 def alias_resolution(t: Tables):
-    return lookup.resolve(t.spark.createDataFrame([(s,) for s in SURFACES], "surface string"), t.names.select("name"), t.aliases)
+    """The names that words of the documents stand for."""
+    words = t.documents.select(F.explode(F.regexp_extract_all("text", F.lit(r"[^ \t\r\n]+"), 0)).alias("surface")).distinct()
+    return lookup.resolve(words, t.names.select("name"), t.aliases)
 
 
 @query(
@@ -244,13 +243,11 @@ def node_weights(t: Tables):
 
 @query(
     "relation_band_fallback",
-    f"""{ENTITY}, f AS (SELECT book_id, chapter_number, name, min(position) AS p FROM mentions GROUP BY ALL)
+    f"""{_PAIRS}, {NAMES_SQL}, {mentions_sql('names')}, f AS (SELECT book_id, chapter_number, name, min(position) AS p FROM mentions WHERE book_id NOT IN (SELECT book_id FROM pairs) GROUP BY ALL)
 SELECT a.book_id, a.chapter_number, a.name AS source, b.name AS target FROM f a JOIN f b ON a.book_id = b.book_id AND a.chapter_number = b.chapter_number AND a.name < b.name AND abs(a.p - b.p) <= 120""",
 )
 def relation_band_fallback(t: Tables):
-    found = M.mentions(t.chapters, t.names)
-    none = t.spark.createDataFrame([], "book_id string")
-    return M.band_relations(found, none).drop("relation_type")
+    return M.band_relations(M.mentions(t.chapters, t.names), M.relations(_windows(t), RELATIONS)).drop("relation_type")
 
 
 _EVENTS = f"""WITH {CHAPTERS_SQL}, {_sentence_sql(8, None)}, {_NAMED}, typed AS (SELECT *, {_case_sql(EVENTS, M.NO_EVENT)} AS event_type, row_number() OVER (PARTITION BY book_id, chapter_number, sentence ORDER BY window_no) AS o FROM named WHERE len(names) > 0),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -118,11 +119,11 @@ def session_rollup(t: Tables):
     return S.rollup(S.turns_of(t.conversations))
 
 
-@query(
-    "session_prefix_diff",
-    f"""WITH {_TURNS}, x AS (SELECT coalesce(a.turn_index, b.turn_index) AS i, coalesce(a.question = b.question AND a.answer = b.answer, false) AS same FROM (SELECT * FROM turns WHERE session_id = 1) a FULL JOIN (SELECT * FROM turns WHERE session_id = 2) b ON a.turn_index = b.turn_index)
-SELECT coalesce(min(i) FILTER (NOT same) - 1, max(i), 0) AS common FROM x""",
-)
+_PREFIX = """x AS (SELECT coalesce(a.turn_index, b.turn_index) AS i, coalesce(a.question = b.question AND a.answer = b.answer, false) AS same FROM (SELECT * FROM turns WHERE session_id = 1) a FULL JOIN (SELECT * FROM turns WHERE session_id = 2) b ON a.turn_index = b.turn_index),
+prefix AS (SELECT coalesce(min(i) FILTER (NOT same) - 1, max(i), 0) AS common FROM x)"""
+
+
+@query("session_prefix_diff", f"WITH {_TURNS}, {_PREFIX} SELECT common FROM prefix")
 def session_prefix_diff(t: Tables):
     return S.common_prefix(S.turns_of(t.conversations), 1, 2)
 
@@ -138,11 +139,12 @@ def session_set_delta(t: Tables):
 
 @query(
     "session_merge_renumber",
-    f"""WITH {_TURNS}, u AS (SELECT 0 AS b, * FROM turns WHERE session_id = 1 UNION ALL SELECT 1, * FROM turns WHERE session_id = 2 AND turn_index > 1)
+    f"""WITH {_TURNS}, {_PREFIX}, u AS (SELECT 0 AS b, * FROM turns WHERE session_id = 1 UNION ALL SELECT 1, * FROM turns WHERE session_id = 2 AND turn_index > (SELECT common FROM prefix))
 SELECT CAST(9 AS BIGINT) AS session_id, row_number() OVER (ORDER BY b, turn_index) AS turn_index, question, coalesce(answer, '') AS answer FROM u""",
 )
 def session_merge_renumber(t: Tables):
-    return S.merge_branches(S.turns_of(t.conversations), 1, 2, 1, 9)
+    turns = S.turns_of(t.conversations)
+    return S.merge_branches(turns, 1, 2, S.common_prefix(turns, 1, 2).scalar(), 9)
 
 
 def _calls(t: Tables):
@@ -163,8 +165,6 @@ def trace_summary(t: Tables):
 SELECT user_id AS session_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS intents, min(nullif(day(ts) % 7, 0)) AS least, max(nullif(day(ts) % 7, 0)) AS most, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY i) FILTER (i > c - 5) AS questions FROM n GROUP BY user_id""",
 )
 def session_digest(t: Tables):
-    from pyspark.sql import Window
-
     number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     turns = t.events.select(F.col("user_id").alias("session_id"), number.alias("turn_index"), F.col("event_id").cast("string").alias("question"), F.col("event_type").alias("intent"), (F.dayofmonth("ts") % 7).alias("progress"), F.array("event_type").alias("entities"), F.array("event_type").alias("tools"))
     d = S.digest(turns)
@@ -177,28 +177,29 @@ def session_digest(t: Tables):
 SELECT session_id, turn_index, last_value(nullif(entity, '') IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY turn_index ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS recent_entity FROM e""",
 )
 def recent_entity(t: Tables):
-    from pyspark.sql import Window
-
     number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     turns = t.events.select(F.col("user_id").alias("session_id"), number.alias("turn_index"), F.when(F.col("event_type").isin("error", "purchase"), F.col("event_type")).otherwise("").alias("entity"))
     return S.recent_entity(turns).drop("entity")
 
 
-_HITS = """c AS (SELECT item_id AS case_id, text AS q FROM benchmark), rel AS (SELECT c.case_id, list(d.doc_id) AS relevant FROM c JOIN documents d ON contains(d.text, c.q) GROUP BY c.case_id),
-hits AS (SELECT m.method, r.case_id, k.rank, (r.case_id * m.f + k.rank * m.g) % 1000 AS chapter_number FROM rel r, (VALUES ('a', 7, 13), ('b', 3, 101)) AS m(method, f, g), (SELECT unnest(range(1, 5)) AS rank) k),
-hits2 AS (SELECT method, h.case_id, rank, CASE WHEN (h.case_id + rank) % 3 = 0 THEN relevant[1] ELSE chapter_number END AS chapter_number FROM hits h JOIN (SELECT case_id, list_sort(relevant) AS relevant FROM rel) USING (case_id)),
-res AS (SELECT h.method, h.case_id, min(rank) FILTER (list_contains(relevant, chapter_number)) AS first_rank, count(DISTINCT chapter_number) FILTER (list_contains(relevant, chapter_number)) / any_value(len(relevant)) AS recall,
-  coalesce(bool_or(rank = 1 AND list_contains(relevant, chapter_number)), false) AS top1 FROM hits2 h JOIN rel USING (case_id) GROUP BY h.method, h.case_id)"""
+_HITS = """c AS (SELECT item_id AS case_id, text AS q, left(text, 10) AS head, right(text, 10) AS tail FROM benchmark),
+m AS (SELECT 'head' AS method, case_id, doc_id, contains(text, q) AS whole FROM documents JOIN c ON contains(text, head) UNION ALL SELECT 'tail', case_id, doc_id, contains(text, q) FROM documents JOIN c ON contains(text, tail)),
+rel AS (SELECT case_id, list(DISTINCT doc_id) AS relevant FROM m WHERE whole GROUP BY case_id),
+hits AS (SELECT * FROM (SELECT method, case_id, doc_id, row_number() OVER (PARTITION BY method, case_id ORDER BY doc_id) AS rank FROM m) WHERE rank <= 4),
+res AS (SELECT method, case_id, min(rank) FILTER (list_contains(relevant, doc_id)) AS first_rank, count(DISTINCT doc_id) FILTER (list_contains(relevant, doc_id)) / any_value(len(relevant)) AS recall,
+  coalesce(bool_or(rank = 1 AND list_contains(relevant, doc_id)), false) AS top1 FROM hits JOIN rel USING (case_id) GROUP BY method, case_id)"""
 
 
 def _cases(t: Tables):
-    """Cases from the benchmark passages that occur in documents, with hits that are made up by a rule. Passages are few, so they meet texts by containment."""
-    found = t.documents.join(F.broadcast(t.benchmark.select(F.col("item_id").alias("case_id"), F.col("text").alias("q"))), F.contains(F.col("text"), F.col("q")))
-    cases = found.groupBy("case_id").agg(F.array_sort(F.collect_list("doc_id")).alias("relevant"))
-    methods = t.spark.createDataFrame([("a", 7, 13), ("b", 3, 101)], "method string, f int, g int")
-    hits = cases.join(F.broadcast(methods)).select("method", "case_id", "relevant", "f", "g", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("rank"))
-    chapter = F.when((F.col("case_id") + F.col("rank")) % 3 == 0, F.get("relevant", 0)).otherwise((F.col("case_id") * F.col("f") + F.col("rank") * F.col("g")) % 1000)
-    return cases, hits.select("method", "case_id", "rank", chapter.alias("chapter_number"))
+    """Cases: the benchmark passages, which are few, that occur whole in documents. Hits: the documents, by id, that hold a passage's first or last ten characters."""
+    passages = t.benchmark.select(F.col("item_id").alias("case_id"), F.col("text").alias("q"), F.substring("text", 1, 10).alias("head"), F.right("text", F.lit(10)).alias("tail"))
+    has = lambda c: F.contains(F.col("text"), F.col(c))
+    met = t.documents.select(F.col("doc_id").alias("chapter_number"), "text").join(F.broadcast(passages), has("head") | has("tail"))
+    methods = F.array_compact(F.array(F.when(has("head"), "head"), F.when(has("tail"), "tail")))
+    found = met.select("case_id", "chapter_number", has("q").alias("whole"), F.explode(methods).alias("method"))
+    cases = found.filter("whole").groupBy("case_id").agg(F.collect_set("chapter_number").alias("relevant"))
+    rank = F.row_number().over(Window.partitionBy("method", "case_id").orderBy("chapter_number"))
+    return cases, found.withColumn("rank", rank).filter("rank <= 4").select("method", "case_id", "rank", "chapter_number")
 
 
 @query("eval_rank_metrics", f"WITH {_HITS} SELECT method, count(*) AS total_cases, round(avg(CAST(top1 AS INT)), 6) AS top1_accuracy, round(avg(recall), 6) AS recall_at_k, round(avg(coalesce(1.0 / first_rank, 0)), 6) AS mrr FROM res GROUP BY method")

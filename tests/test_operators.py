@@ -248,6 +248,25 @@ def test_session_insights(spark):
     assert sessions.next_turn(turns, "s") == 2 and sessions.next_turn(turns, "none") == 1
 
 
+def test_branches_share_their_first_turns(spark):
+    rows = [(1, 1, "p", "q"), (1, 2, "r", "s"), (2, 1, "p", "q"), (2, 2, "x", "y")]
+    turns = spark.createDataFrame(rows, "session_id long, turn_index int, question string, answer string")
+    got = sessions.merge_branches(turns, 1, 2, sessions.common_prefix(turns, 1, 2).scalar(), 9).orderBy("turn_index").collect()
+    assert [(r.turn_index, r.question) for r in got] == [(1, "p"), (2, "r"), (3, "x")]
+
+
+def test_band_pairs_only_without_typed_relations(spark):
+    found = spark.createDataFrame([("a", 1, "x", 0), ("a", 1, "y", 50), ("b", 1, "x", 0), ("b", 1, "y", 50), ("b", 1, "z", 500)], "book_id string, chapter_number int, name string, position int")
+    typed = spark.createDataFrame([("a",)], "book_id string")
+    assert [(r.book_id, r.source, r.target) for r in mentions.band_relations(found, typed).collect()] == [("b", "x", "y")]
+
+
+def test_names_and_aliases_resolve(spark):
+    names, aliases = spark.createDataFrame([("thha",), ("ones",)], "name string"), spark.createDataFrame([("thha", "onwh"), ("ones", "thha")], "name string, alias string")
+    words = spark.createDataFrame([("THHA",), ("on wh",), ("nobody",), (None,)], "surface string")
+    assert sorted(map(tuple, lookup.resolve(words, names, aliases).collect())) == [("THHA", "thha"), ("on wh", "thha")]
+
+
 def test_coverage_is_averaged(spark):
     rows = spark.createDataFrame([("m", True, 1.0, 1.0, 0.5), ("m", False, 0.0, 0.0, None)], "method string, top1 boolean, recall double, reciprocal_rank double, coverage double")
     r = evaluate.report(rows).first()
