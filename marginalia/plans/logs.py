@@ -182,7 +182,7 @@ def recent_entity(t: Tables):
     return S.recent_entity(turns).drop("entity")
 
 
-_HITS = """c AS (SELECT item_id AS case_id, text AS q, left(text, 10) AS head, right(text, 10) AS tail FROM benchmark),
+_HITS = """c AS (SELECT item_id AS case_id, text AS q, left(text, 5) AS head, right(text, 5) AS tail FROM benchmark),
 m AS (SELECT 'head' AS method, case_id, doc_id, contains(text, q) AS whole FROM documents JOIN c ON contains(text, head) UNION ALL SELECT 'tail', case_id, doc_id, contains(text, q) FROM documents JOIN c ON contains(text, tail)),
 rel AS (SELECT case_id, list(DISTINCT doc_id) AS relevant FROM m WHERE whole GROUP BY case_id),
 hits AS (SELECT * FROM (SELECT method, case_id, doc_id, row_number() OVER (PARTITION BY method, case_id ORDER BY doc_id) AS rank FROM m) WHERE rank <= 4),
@@ -191,8 +191,8 @@ res AS (SELECT method, case_id, min(rank) FILTER (list_contains(relevant, doc_id
 
 
 def _cases(t: Tables):
-    """Cases: the benchmark passages, which are few, that occur whole in documents. Hits: the documents, by id, that hold a passage's first or last ten characters."""
-    passages = t.benchmark.select(F.col("item_id").alias("case_id"), F.col("text").alias("q"), F.substring("text", 1, 10).alias("head"), F.right("text", F.lit(10)).alias("tail"))
+    """Cases: the benchmark passages, which are few, that occur whole in documents. Hits: the documents, by id, that hold a passage's first or last five characters."""
+    passages = t.benchmark.select(F.col("item_id").alias("case_id"), F.col("text").alias("q"), F.substring("text", 1, 5).alias("head"), F.right("text", F.lit(5)).alias("tail"))
     has = lambda c: F.contains(F.col("text"), F.col(c))
     met = t.documents.select(F.col("doc_id").alias("chapter_number"), "text").join(F.broadcast(passages), has("head") | has("tail"))
     methods = F.array_compact(F.array(F.when(has("head"), "head"), F.when(has("tail"), "tail")))
