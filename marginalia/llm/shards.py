@@ -24,14 +24,14 @@ def dealt(rows: DataFrame, shards: int, shard: Column, order: list[str]) -> Data
     return rows.withColumn("shard", shard.cast("bigint")).repartitionById(k, F.pmod("shard", F.lit(k)).cast("int")).sortWithinPartitions("shard", *order)
 
 
-def sent(shard: int, x: np.ndarray) -> pa.RecordBatch:
-    """A shard's array in ``PARTS`` pieces of single precision."""
-    parts = [p.astype(np.float32).tobytes() for p in np.array_split(x, PARTS)]
+def sent(shard: int, x: np.ndarray, kind=np.float32) -> pa.RecordBatch:
+    """A shard's array in ``PARTS`` pieces, of single precision if nothing else is asked for."""
+    parts = [p.astype(kind).tobytes() for p in np.array_split(x, PARTS)]
     return pa.RecordBatch.from_arrays([pa.array([shard] * PARTS, pa.int64()), pa.array(range(PARTS), pa.int64()), pa.array(parts, pa.binary())], ["shard", "part", "x"])
 
 
-def summed(made: DataFrame, shards: int) -> np.ndarray | None:
-    """The sum of the shards' arrays (rows of ``sent``), or None without any. Pieces are added first in groups of about the root of the number of shards, then the groups, always in order."""
+def summed(made: DataFrame, shards: int, kind=np.float32) -> np.ndarray | None:
+    """The sum of the shards' arrays (rows of ``sent``, of the same ``kind``), or None without any. Pieces are added first in groups of about the root of the number of shards, then the groups, always in order."""
     groups = max(1, math.isqrt(shards))
 
     def add(kind):
@@ -47,7 +47,7 @@ def summed(made: DataFrame, shards: int) -> np.ndarray | None:
         return run
 
     first = made.withColumn("key", F.col("part") * groups + F.col("shard") % groups).repartition("key").sortWithinPartitions("key", "shard").select("key", "x")
-    mid = first.mapInArrow(add(np.float32), "key bigint, x binary")
+    mid = first.mapInArrow(add(kind), "key bigint, x binary")
     last = mid.select(F.expr(f"key div {groups}").alias("key"), F.col("key").alias("g"), "x").repartition("key").sortWithinPartitions("key", "g").select("key", "x")
     found = sorted(last.mapInArrow(add(np.float64), "key bigint, x binary").collect(), key=lambda r: r.key)  # one array of a fixed size
     return np.concatenate([np.frombuffer(r.x, np.float64) for r in found]) if found else None
