@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, hilbert_shards, jaccard_join, maxent_lm, mixing, pu_quality, quality_rules, simhash, token_counts, toxicity, warc, whitening
+from . import bpe, hilbert_shards, jaccard_join, maxent_lm, mixing, prefix_trie, pu_quality, quality_rules, simhash, token_counts, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_bpe": bpe.op9_bpe,
         "op10_maxent_lm": maxent_lm.op10_maxent_lm,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
         "op12_whitening": whitening.op12_whitening,
         "op13_token_counts": token_counts.op13_token_counts,
     }
