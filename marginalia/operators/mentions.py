@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import matching
+from .ingest import running
 
 # Cue words of event and relation types, in the order in which they are tried.
 EVENT_TYPES = (
@@ -26,15 +28,25 @@ EXCERPT, SUMMARY, PAD = 120, 72, 60
 
 
 def mentions(chapters: DataFrame, names: DataFrame, pad: int = PAD) -> DataFrame:
-    """(book_id, name, chapter_number, position, mention_no, excerpt): every non-overlapping occurrence of a surface in a chapter.
+    """(book_id, name, chapter_number, surface, position, excerpt, mention_no): every occurrence of a surface in a chapter; those of one surface don't overlap, but nested names both count.
 
-    ``names``: (name, surface), a dictionary. Chapters meet it by containment, so it is the small side; texts aren't moved. Nested names both count.
+    ``names``: (name, surface), a dictionary; all its surfaces are found in one go through a text (``matching``), and texts aren't moved.
     """
-    hits = chapters.join(F.broadcast(names), F.contains(F.col("content"), F.col("surface")))
-    at = hits.select("book_id", "name", "chapter_number", "surface", "content", F.explode(T.positions(F.col("content"), F.col("surface"))).alias("position"))
+    at = matching.occurrences(chapters.select("book_id", "chapter_number", "content"), "content", names)
     cut = T.excerpt(F.col("content"), F.col("position"), F.length("surface"), pad)
-    no = F.row_number().over(Window.partitionBy("book_id", "name").orderBy("chapter_number", "position", "surface"))
-    return at.select("book_id", "name", "chapter_number", "surface", "position", cut.alias("excerpt")).withColumn("mention_no", no)
+    at = at.select("book_id", "chapter_number", "surface", "position", cut.alias("excerpt"))
+    return numbered(at.join(names.select("name", "surface").distinct(), "surface"), ["book_id", "name"])
+
+
+def numbered(rows: DataFrame, keys: list[str], into: str = "mention_no", order=("position", "surface")) -> DataFrame:
+    """Adds ``into``: the place (from 1) of a row of its keys, by chapter and ``order``. Rows are numbered inside their chapter, and counts of chapters are added up (``running``), so a name with most of the rows takes many tasks."""
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    counts = running(rows.groupBy(*keys, "chapter_number").agg(F.count("*").alias("n")).withColumn("__keys", key), "__keys", "chapter_number", ("n",))
+    counts = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("chapter_number").alias("__chapter"), "before_n")
+    inside = F.row_number().over(Window.partitionBy(*keys, "chapter_number").orderBy(*order))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    both = rows.withColumn("__no", inside).join(counts, [*same, F.col("chapter_number") == F.col("__chapter")])
+    return both.withColumn(into, (F.col("__no") + F.col("before_n")).cast("int")).drop("__no", "__chapter", "before_n", *[f"__k{i}" for i in range(len(keys))])
 
 
 def rollup(found: DataFrame) -> DataFrame:
@@ -43,10 +55,9 @@ def rollup(found: DataFrame) -> DataFrame:
 
 
 def windows(chapters: DataFrame, names: DataFrame, column) -> DataFrame:
-    """(book_id, chapter_number, window_no, sentence, names): sentences with the sorted dictionary names that they contain. No join of sentences: the dictionary is a literal of the plan."""
-    terms = F.array(*[F.lit(r[0]) for r in names.select("surface").distinct().orderBy("surface").collect()])
+    """(book_id, chapter_number, window_no, sentence, names): sentences with the sorted dictionary names that they contain, all found in one go through a sentence."""
     cut = chapters.select("book_id", "chapter_number", F.posexplode(column).alias("window_no", "sentence"))
-    return cut.withColumn("names", F.filter(terms, lambda x: F.contains(F.col("sentence"), x))).filter(F.size("names") > 0)
+    return matching.contained(cut, "sentence", names).filter(F.size("names") > 0)
 
 
 def relations(found: DataFrame, types=RELATION_TYPES) -> DataFrame:
