@@ -54,36 +54,6 @@ def _texts(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)).cast("array<string>")
 
 
-def search_index(chunks: DataFrame) -> DataFrame:
-    """(token, book_id, parent_id, chunk_id, chapter_number, n_tokens): postings that a search can score from."""
-    d = chunks.select("book_id", "parent_id", "chunk_id", "chapter_number", F.inline(F.array(F.struct(T.tokens(F.col("text")).alias("__d")))))
-    return d.select(F.explode("__d").alias("token"), "book_id", "parent_id", "chunk_id", "chapter_number", F.size("__d").alias("n_tokens"))
-
-
-def write_search_index(chunks: DataFrame, path: str, files: int = 64) -> None:
-    """The postings by ranges of tokens, so that a search reads the few row groups that its tokens are in. Writing anew replaces what earlier searches read."""
-    search_index(chunks).repartitionByRange(files, "token").sortWithinPartitions("token").write.mode("overwrite").parquet(path)
-
-
-def indexed_hits(index: DataFrame, chunks: DataFrame, query: str, max_chapter: int | None = None) -> DataFrame:
-    """What ``lexical_hits`` finds (without texts), from the postings; texts are only asked whether they have the whole query."""
-    every, precise = query_tokens(index.sparkSession, query)
-    keys = ["book_id", "parent_id", "chunk_id", "chapter_number"]
-    found = index.filter(F.col("token").isin(every)).groupBy(*keys).agg(F.count("*").alias("hits"), F.max("n_tokens").alias("n"), F.max(F.col("token").isin(precise)).alias("hit"))
-    bare = query.replace(" ", "")
-    whole = chunks.filter(F.contains(F.replace("text", F.lit(" "), F.lit("")), F.lit(bare))).select(*keys, F.lit(0.25).alias("bonus"))
-    rows = found.join(whole, keys, "full_outer").withColumns({"hits": F.coalesce("hits", F.lit(0)), "hit": F.coalesce("hit", F.lit(False)), "bonus": F.coalesce("bonus", F.lit(0.0))})
-    some = rows.groupBy("book_id").agg(F.max("hit").alias("__any"))
-    rows = rows.join(F.broadcast(some), "book_id").filter(F.col("hit") | ~F.col("__any")).filter(F.lit(bool(every)))
-    rows = rows if max_chapter is None else rows.filter(F.col("chapter_number") <= max_chapter)
-    score = F.col("hits") / F.lit(max(1, len(every))) + F.when(F.col("hits") > 0, F.col("hits") / F.sqrt("n")).otherwise(0.0) + F.col("bonus")
-    return rows.withColumn("score", score).filter("score > 0").select(*keys, "score")
-
-
-def indexed_search(index: DataFrame, chunks: DataFrame, query: str, max_chapter: int | None = None, top: int = TOP_PARENTS) -> DataFrame:
-    return best_per_parent(indexed_hits(index, chunks, query, max_chapter), top)
-
-
 def best_per_parent(hits: DataFrame, top: int = TOP_PARENTS, by_book: bool = True) -> DataFrame:
     """The best chunk of each parent, then the ``top`` best of a book (or of all): by score, chapter, parent, chunk."""
     keys = ["book_id"] if by_book else []

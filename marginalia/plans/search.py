@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as R
+from ..operators import search_index
 from .base import CHAPTERS_SQL, Tables, query
 
 QUERY = "the worthless trash of ones onth"
@@ -49,8 +50,8 @@ def lexical_no_candidate_fallback(t: Tables):
 
 @query("lexical_postings_topk", lexical_sql(QUERY, None))
 def lexical_postings_topk(t: Tables):
-    """The same search from postings; a session that searches again reads them as ``write_search_index`` wrote them."""
-    return R.indexed_search(R.search_index(t.chunks), t.chunks, QUERY).select("book_id", "rank", "chapter_number", "chunk_id", F.round("score", 6).alias("score"))
+    """The same search from an index; a session that searches again reads what ``search_index.refresh`` wrote."""
+    return search_index.search(search_index.built(t.chunks), QUERY).select("book_id", "rank", "chapter_number", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("tokenize_stats", f"SELECT lang, count(*) AS docs, CAST(sum(len({TOKENS})) AS BIGINT) AS tokens FROM documents GROUP BY lang")

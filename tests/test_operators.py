@@ -203,20 +203,6 @@ def test_files(spark, tmp_path):
     assert {r.name for r in readers.themes(themes, own, spark.createDataFrame([("命运弄人",)], "content string")).collect()} == {"命运", "记忆"}
 
 
-def test_postings_on_disk(spark, small, tmp_path):
-    from marginalia import plans
-    from marginalia.plans.base import Tables
-    from marginalia.plans.search import BARE, QUERY
-
-    chunks = Tables(spark, small).chunks
-    retrieval.write_search_index(chunks, f"file://{tmp_path}/index", 4)
-    index = spark.read.parquet(f"file://{tmp_path}/index")
-    for q, bound in ((QUERY, None), (QUERY, 5), (BARE, None), ("!!", None)):
-        key = lambda df: sorted((r.book_id, r.rank, r.chunk_id, round(r.score, 9)) for r in df.collect())
-        assert key(retrieval.indexed_search(index, chunks, q, bound)) == key(retrieval.lexical_search(chunks, q, bound))
-    assert "lexical_postings_topk" in plans.QUERIES
-
-
 def test_second_scores(spark):
     hits = spark.createDataFrame([(1, "p", "aa"), (2, "p", "b"), (3, "p", "x")], "chapter_number int, parent_id string, text string")
     score = retrieval.reranker(lambda: lambda pairs: [[0.0, len(p)] if p != "x" else float("nan") for _, p in pairs])
