@@ -40,16 +40,16 @@ def running(rows: DataFrame, key: str, at: str, sums: tuple[str, ...], lasts: tu
     return both.withColumns(added).drop("__block", "__of", "__key", *[f"__{c}" for c in (*sums, *lasts)])
 
 
-def parse_chapters(books: DataFrame) -> DataFrame:
+def parse_chapters(books: DataFrame, joined: str = "\n\n") -> DataFrame:
     """(book_id, chapter_number, title, content, start_offset, end_offset) from (book_id, text) or, for books too long for a row, (book_id, part, text) with parts numbered in order.
 
-    Parts are read as if joined by a blank line. Lines are sessionised: a chapter heading opens a chapter with its title, scoped by the last volume heading; a volume heading only closes one.
+    Parts are read as if joined by a blank line, or, with ``joined`` a line end, as lines of one text (``readers.book_parts``). Lines are sessionised: a chapter heading opens a chapter with its title, scoped by the last volume heading; a volume heading only closes one.
     Numbers are dense. A book without chapter headings is one chapter. Lines are windowed inside their part, and what a part hands on to the next is a row of totals (``running``), so the
     longest row is a part or a chapter, not a book.
     """
     part = F.col("part") if "part" in books.columns else F.lit(0)
     clean = books.select("book_id", part.alias("part"), T.normalize_newlines(F.coalesce("text", F.lit(""))).alias("text"))
-    lines = clean.select("book_id", "part", F.posexplode(F.split(F.concat("text", F.lit("\n")), "\n", -1)).alias("pos", "line"))
+    lines = clean.select("book_id", "part", F.posexplode(F.split(F.concat("text", F.lit(joined[1:])), "\n", -1)).alias("pos", "line"))
     lines = lines.withColumn("vol", T.is_volume(F.col("line"))).withColumn("head", ~F.col("vol") & T.is_chapter(F.col("line")))
     w = Window.partitionBy("book_id", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumns(
@@ -85,7 +85,7 @@ def parse_chapters(books: DataFrame) -> DataFrame:
         "book_id", "chapter_number", F.when(F.col("title") == "", F.concat(F.lit("第"), "chapter_number", F.lit("章"))).otherwise(F.col("title")).alias("title"),
         F.when(F.col("content") == "", F.col("title")).otherwise(F.col("content")).alias("content"), "start_offset", (F.col("start_offset") + size).alias("end_offset"),
     )
-    plain = source_text(clean.join(with_heading, F.col("book_id").eqNullSafe(F.col("__book")), "left_anti").select("book_id", F.col("part").alias("chapter_number"), F.col("text").alias("content")))
+    plain = source_text(clean.join(with_heading, F.col("book_id").eqNullSafe(F.col("__book")), "left_anti").select("book_id", F.col("part").alias("chapter_number"), F.col("text").alias("content")), joined)
     whole = plain.select("book_id", F.lit(1).alias("chapter_number"), F.lit("全文").alias("title"), T.strip(F.col("text")).alias("content"), F.lit(0).cast("long").alias("start_offset"))
     return found.unionByName(whole.withColumn("end_offset", F.length("content").cast("long")))
 
@@ -136,10 +136,10 @@ def search_rows(parents: DataFrame, children: DataFrame, max_chapter: int | None
     return rows.join(p, "parent_id")
 
 
-def source_text(chapters: DataFrame) -> DataFrame:
+def source_text(chapters: DataFrame, joined: str = "\n\n") -> DataFrame:
     """Each book's text, rebuilt from its chapters, as one row a book: for books that fit into a row. ``source_parts`` is for all others."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("chapter_number", "content"))), lambda x: x["content"])
-    return chapters.groupBy("book_id").agg(F.array_join(ordered, "\n\n").alias("text"))
+    return chapters.groupBy("book_id").agg(F.array_join(ordered, joined).alias("text"))
 
 
 def source_parts(chapters: DataFrame) -> DataFrame:

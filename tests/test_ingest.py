@@ -1,5 +1,7 @@
 """Chapters, chunks and lexicons on small written texts."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -90,3 +92,33 @@ def test_running_over_blocks(spark):
     for r in got:
         before = [x for x in rows if x[0] == r.k and x[1] < r["at"]]
         assert (r.before_n, r.before_v) == (sum(x[2] for x in before), ([None] + [x[3] for x in before if x[3]])[-1])
+
+
+def long_book(lines, seed=1):
+    rng = random.Random(seed)
+    out = ["序言"]
+    for k in range(lines):
+        out.append(f"第{k // 40 + 1}卷 山" if k % 400 == 399 else f"第{k}章 夜行{k}" if k % 40 == 5 else rng.choice(["", "　少年走进山门。", "Ünïcödé 😀 text " * 3, "他说：“走。”", "x"]) + str(k % 7))
+    return out
+
+
+@pytest.mark.parametrize(("end", "last"), [("\n", ""), ("\n", "\n"), ("\r\n", "\r\n"), ("\r", "")])
+def test_long_book_in_parts_is_the_whole_book(spark, tmp_path, end, last):
+    text = end.join(long_book(3000)) + last
+    (tmp_path / "one.book.txt").write_bytes(text.encode())
+    (tmp_path / "plain.txt").write_bytes((end.join(["没有标题 😀", "", "第二行"] * 500) + last).encode())
+    (tmp_path / "empty.txt").write_bytes(b"")
+    whole = ingest.parse_chapters(readers.books(spark, f"file://{tmp_path}")).filter("book_id <> 'empty'").collect()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7001")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        parts = readers.book_parts(spark, f"file://{tmp_path}", 2000)
+        if end != "\r":
+            assert parts.filter("book_id = 'one.book'").select(F.spark_partition_id()).distinct().count() > 8
+        assert parts.agg(F.max(F.length("text"))).first()[0] < (2100 if end != "\r" else 10**6)
+        got = ingest.parse_chapters(parts, joined="\n").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(whole) > 70 and sorted(map(tuple, got)) == sorted(map(tuple, whole))
