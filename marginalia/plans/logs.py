@@ -270,6 +270,21 @@ def event_sessions(t: Tables):
     return E.sessions(t.events)
 
 
+@query("event_windows_sliding", "SELECT time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE * k AS start, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events, range(4) AS r(k) GROUP BY ALL")
+def event_windows_sliding(t: Tables):
+    return E.sliding(t.events).withColumn("v", F.round("v", 4))
+
+
+@query(
+    "event_follow_ups",
+    """SELECT a.user_id, a.event_id AS first_id, a.ts AS first_ts, b.event_id AS then_id, b.ts AS then_ts FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 3 HOUR
+WHERE a.event_type = 'view' AND b.event_type = 'purchase'""",
+)
+def event_follow_ups(t: Tables):
+    """Purchases up to three hours after a view of the same user."""
+    return E.followed(t.events.filter("event_type = 'view'"), t.events.filter("event_type = 'purchase'"), "3 hours")
+
+
 @query("part_pairs", "SELECT a.l_partkey AS source, b.l_partkey AS target, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY ALL HAVING count(*) > 1")
 def part_pairs(t: Tables):
     """Parts of one order as names of one sentence; an order has few parts."""
