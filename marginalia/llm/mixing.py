@@ -21,36 +21,12 @@ from pyspark.sql import functions as F
 from .base import documents, ranked, shared_dir
 from .warc import open_output
 
-PERIOD = 128
 #: Rows of a block at least, and blocks of all sources at most, about: the schedule is made block by block, so blocks grow with the rows beyond that.
 BLOCK_ROWS, MOST_BLOCKS = 16, 1 << 20
 #: Slots that are written at once.
 PIECE = 1 << 16
 
 
-def shares(weights: dict, period: int = PERIOD) -> dict:
-    """Whole slots a period for each source: at least one, by largest remainder, in all ``period`` (or four a source, if that is more). The mix doesn't use it: it rounds."""
-    period = max(period, 4 * len(weights))
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    by_rest = sorted(exact, key=lambda s: (out[s] - exact[s], s))
-    while (gap := period - sum(out.values())) > 0:
-        for s in by_rest[:gap]:
-            out[s] += 1
-    while sum(out.values()) > period:
-        out[max(out, key=lambda s: (out[s] - exact[s] if out[s] > 1 else -1e9, s))] -= 1
-    return out
-
-
-def one_period(slots: dict) -> dict:
-    """Each source's slots within one period of whole slots."""
-    out = {s: [] for s in slots}
-    for s, _, slot, _, _ in schedule(slots, slots):
-        out[s].append(slot)
-    return out
-
-
 def parts(weights: dict) -> dict:
     """Whole numbers in exactly the proportion of the weights (floats are the fractions that they stand for). Where all weights are 0, equal ones."""
     exact = {s: Fraction(w) for s, w in weights.items()}
@@ -104,6 +80,10 @@ def written_schedule(spark: SparkSession, blocks: dict, weights: dict) -> DataFr
     return spark.read.schema("__s string, block long, slot long, release long, deadline long").parquet(folder)
 
 
+#: Columns that ``mix`` adds, in place of columns of these names.
+RESULT = ("block", "place", "slot", "release", "deadline")
+
+
 def source_rows(docs: DataFrame, source: str = "source") -> dict:
     """Rows of each source, as text (null: an own source named by a zero byte). Sources are data sets, so this is a short list; their rows aren't collected."""
     return {r[0]: r[1] for r in docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("\0null")).alias("s")).count().collect()}
@@ -123,7 +103,7 @@ def mix(docs: DataFrame, weights: dict | None = None, source: str = "source", id
     weights = {s: (weights or {}).get(s, (n / total) ** 0.5) for s, n in counts.items()}
     table = written_schedule(docs.sparkSession, {s: -(-n // block_rows) for s, n in counts.items()}, weights)
     table = table.select("__s", F.col("block").alias("__block"), "slot", "release", "deadline")
-    rows = ranked(docs.drop("block", "place", "slot", "release", "deadline"), [source], [F.col(id)], "__rank")
+    rows = ranked(docs.drop(*RESULT), [source], [F.col(id)], "__rank")
     rows = rows.withColumns({"block": F.expr(f"__rank div {block_rows}"), "place": F.expr(f"__rank % {block_rows}").cast("int"), "__key": F.coalesce(F.col(source).cast("string"), F.lit("\0null"))})
     # The schedule grows with the rows, so it is not sent whole to every executor.
     rows = rows.join(table.hint("merge"), (F.col("__key") == F.col("__s")) & (F.col("block") == F.col("__block")))

@@ -131,18 +131,19 @@ def _shards(start, prior: float):
 
 
 def fit(positives: DataFrame, unlabelled: DataFrame, prior: float) -> np.ndarray:
-    """Weights from texts (column text) of both kinds: a bounded number of positives, and any number of unlabelled ones, all of which are used.
+    """Weights from texts (columns text and, if there is one, doc_id) of both kinds: a bounded number of positives, and any number of unlabelled ones, all of which are used.
 
-    Unlabelled rows are dealt by a hash of their text to shards of about ``SHARD_ROWS``, and each shard gets about ``SHARD_POSITIVES`` of the positives; the shards of a
+    Unlabelled rows are dealt by a hash of their text and id to shards of about ``SHARD_ROWS``, and each shard gets about ``SHARD_POSITIVES`` of the positives; the shards of a
     round train side by side and are averaged by rows. So the model doesn't depend on the cluster. Nulls are empty texts; without either kind all weights are 0, and so all scores 0.5.
     """
     spark = positives.sparkSession
     shards = ROUNDS * max(1, -(-unlabelled.count() // (ROUNDS * SHARD_ROWS)))
     groups = min(shards, max(1, positives.count() // SHARD_POSITIVES))
-    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    # Copies of a text have ids of their own, so they don't meet in one shard.
+    of = lambda d: F.xxhash64(F.coalesce("text", F.lit("")), *(["doc_id"] if "doc_id" in d.columns else []))
     text = F.coalesce("text", F.lit("")).alias("text")
-    good = positives.select(text, F.lit(True).alias("positive"), h.alias("h"), F.explode(F.sequence(F.pmod(h, F.lit(groups)), F.lit(shards - 1).cast("long"), F.lit(groups).cast("long"))).alias("to"))
-    rest = unlabelled.select(text, F.lit(False).alias("positive"), h.alias("h"), F.pmod(F.shiftright(h, 20), F.lit(shards)).alias("to"))
+    good = positives.select(text, F.lit(True).alias("positive"), of(positives).alias("h"), F.explode(F.sequence(F.pmod(of(positives), F.lit(groups)), F.lit(shards - 1).cast("long"), F.lit(groups).cast("long"))).alias("to"))
+    rest = unlabelled.select(text, F.lit(False).alias("positive"), of(unlabelled).alias("h"), F.pmod(F.shiftright(of(unlabelled), 20), F.lit(shards)).alias("to"))
     rows, w = good.unionByName(rest), np.zeros(SIZE)
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(w)  # SIZE numbers
@@ -180,7 +181,7 @@ def train_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> np.ndarr
     prior = labels.agg(F.avg(F.col("quality").cast("double"))).first()[0]
     good = F.broadcast(labels.filter("quality = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVE_ROWS))
     learn = docs.filter(fold("doc_id", 3) != 1).select("doc_id", "text")
-    return fit(learn.join(good, "doc_id").select("text"), learn.select("text"), 0.5 if prior is None else float(np.clip(prior, 0.01, 0.99)))
+    return fit(learn.join(good, "doc_id"), learn, 0.5 if prior is None else float(np.clip(prior, 0.01, 0.99)))
 
 
 def op2_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

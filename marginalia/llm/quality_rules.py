@@ -80,7 +80,7 @@ def _dup_lines(text: Column) -> Column:
 def fit_ratios(docs: DataFrame, trusted_ids: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row (``ratios`` array<double>, by bucket): the log of smoothed target over corpus frequency of each hashed n-gram.
 
-    ``trusted_ids``: ids of the trusted target, of a bounded number. The corpus counts cover all rows; each task sends one row a bucket at most.
+    ``trusted_ids``: ids of the trusted target, of a bounded number; if it has no words, there is nothing to compare with, and all ratios are 0. The corpus counts cover all rows; each task sends one row a bucket at most.
     """
     spark = docs.sparkSession
     flags = trusted_ids.select(F.col(id).alias("__trusted")).distinct()
@@ -90,7 +90,8 @@ def fit_ratios(docs: DataFrame, trusted_ids: DataFrame, id: str = "doc_id", text
     full = spark.range(0, BUCKETS, 1, 1).join(counts, F.col("id") == F.col("b"), "left").select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "m")])
     table = full.agg(F.sort_array(F.collect_list(F.struct("id", "n", "m"))).alias("a"), F.sum("n").alias("n_all"), F.sum("m").alias("m_all"))
     part = lambda x, c: F.log((x[c] + SMOOTHING) / (F.col(f"{c}_all") + SMOOTHING * BUCKETS))
-    return table.select(F.transform("a", lambda x: part(x, "m") - part(x, "n")).alias("ratios"))
+    ratios = F.transform("a", lambda x: F.when(F.col("m_all") == 0, F.lit(0.0)).otherwise(part(x, "m") - part(x, "n")))
+    return table.select(ratios.alias("ratios"))
 
 
 def quality_rules(docs: DataFrame, ratios: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -23,6 +23,8 @@ TRAIN_ROWS = 16_000
 #: Shards that train side by side in each round, and rounds; the sums of the shards are averaged after each.
 SHARDS, ROUNDS = 4, 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.0, 0.0
+#: Rate of label 1 that counts as one labelled text more: what is known without labels.
+RATE = 0.05
 #: A text is predicted toxic from this score on.
 THRESHOLD = 0.3
 _BIAS = np.uint64(0)
@@ -47,7 +49,7 @@ def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def _shard(start):
+def _shard(start, offset: float):
     """One pass of FTRL over each shard's rows from the given sums; gives which coordinates it touched, and their new sums."""
 
     def run(batches):
@@ -62,34 +64,38 @@ def _shard(start):
                     touched[b] = True
                     edges = np.searchsorted(row, np.arange(j - i + 1))
                     for k in range(j - i):
-                        step(z, n, b[edges[k] : edges[k + 1]], y[i + k])
+                        step(z, n, b[edges[k] : edges[k + 1]], y[i + k], offset)
             yield sent(shard, np.stack([touched, z * touched, n * touched], 1).ravel())
 
     return run
 
 
-def step(z: np.ndarray, n: np.ndarray, f: np.ndarray, y: float) -> None:
-    """One text, with features ``f`` of value 1 and label ``y``, adds its gradient to the sums."""
+def step(z: np.ndarray, n: np.ndarray, f: np.ndarray, y: float, offset: float = 0.0) -> None:
+    """One text, with features ``f`` of value 1 and label ``y``, adds its gradient to the sums; ``offset`` is part of every margin."""
     w = weights(z[f], n[f])
-    g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+    g = 1 / (1 + np.exp(-np.clip(offset + w.sum(), -35, 35))) - y
     rate = (np.sqrt(n[f] + g * g) - np.sqrt(n[f])) / ALPHA
     z[f] += g - rate * w
     n[f] += g * g
 
 
 def fit(rows: DataFrame, text: str = "text", label: str = "y") -> dict:
-    """The trained weights that aren't zero, as arrays ``at`` and ``w``. ``rows``: a bounded number of texts with labels 0 or 1; null labels don't count, null texts are empty.
+    """The trained weights that aren't zero, as arrays ``at`` and ``w``, and ``offset``. ``rows``: a bounded number of texts with labels 0 or 1; null labels don't count, null texts are empty.
 
-    Rows are dealt to shards, and put in order there, by a hash of text and label, so ties and repeated rows train alike on any cluster. Without rows, or with
-    one label only, the weights are few or none, and scores are near the label's rate.
+    The offset is the log odds of the labels' rate, so L1 doesn't hold it at even odds; the rate has one text of ``RATE`` more than there are. Rows are dealt to shards, and put in order
+    there, by a hash of text and label, so ties and repeated rows train alike on any cluster. With few labels, or one label only, weights are few or none, and scores are near
+    the label's rate; without rows every text scores ``RATE``, so none is predicted toxic.
     """
     spark = rows.sparkSession
     rows = rows.filter(F.col(label).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("double").alias("y"))
     rows = dealt(rows.withColumn("h", F.xxhash64("text", "y")), SHARDS, F.pmod("h", F.lit(SHARDS)), ["h", "text"]).select("shard", "text", "y").persist()
+    known = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("ones")).first()
+    rate = (known.ones + RATE) / (known.n + 1)
+    offset = float(np.log(rate / (1 - rate)))
     z, n = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
     for _ in range(ROUNDS):
         start = spark.sparkContext.broadcast((z, n))  # BUCKETS numbers each
-        total = summed(rows.mapInArrow(_shard(start), SENT), SHARDS)
+        total = summed(rows.mapInArrow(_shard(start, offset), SENT), SHARDS)
         start.destroy()
         if total is not None:
             seen, *new = total.reshape(-1, 3).T
@@ -98,13 +104,13 @@ def fit(rows: DataFrame, text: str = "text", label: str = "y") -> dict:
     rows.unpersist()
     w = weights(z.astype(np.float64), n.astype(np.float64))
     at = np.flatnonzero(w)
-    return {"at": at, "w": w[at]}
+    return {"at": at, "w": w[at], "offset": offset}
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with ``into``: the probability of label 1 (double), which replaces a column of that name. Other columns pass through.
 
-    Nulls score as empty texts, by the bias alone; all words of long texts count; repeated rows score alike and stay; an empty table gives an empty result.
+    Nulls score as empty texts, by offset and bias alone; all words of long texts count; repeated rows, and so ties, score alike and stay; an empty table gives an empty result.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)  # nonzero weights, BUCKETS at most
     kept = [f for f in docs.schema if f.name != into]
@@ -119,7 +125,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", into: str = "score")
                 some = np.flatnonzero(w[b])
                 pairs = np.unique(row[some] * BUCKETS + b[some])
                 total = np.bincount(pairs // BUCKETS, w[pairs % BUCKETS], j - i)
-                out[i:j] = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+                out[i:j] = 1 / (1 + np.exp(-np.clip(known.value["offset"] + total, -35, 35)))
             keep = [i for i, name in enumerate(batch.schema.names) if name != into]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(out)], [*(batch.schema.names[i] for i in keep), into])
 

@@ -301,15 +301,6 @@ def test_mixing_stays_within_a_block(spark, small):
     assert all(len(s) == 1 for s in slots.values())
 
 
-def test_one_period_deviates_by_less_than_a_block():
-    weights = mixing.shares({"a": 5.0, "b": 3.0, "c": 1.0, "d": 0.01})
-    period, places = sum(weights.values()), mixing.one_period(weights)
-    assert sorted(p for x in places.values() for p in x) == list(range(period))
-    for s, own in places.items():
-        for t in range(period + 1):
-            assert abs(sum(p < t for p in own) - t * weights[s] / period) < 1
-
-
 def within_a_block(order, weights):
     """Whether, at every slot until a source runs out, each source's blocks are less than one from its target."""
     last = {s: max(k for k, x in enumerate(order) if x == s) for s in weights}
