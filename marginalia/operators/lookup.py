@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import matching
 
 STAGES = ("start", "middle", "recent")
 
@@ -29,13 +30,18 @@ def resolve(surfaces: DataFrame, names: DataFrame, aliases: DataFrame) -> DataFr
     return surfaces.withColumn("k", key).join(direct, "k", "left").join(other, "k", "left").select("surface", F.coalesce("d", "a").alias("name")).filter("name is not null")
 
 
-def names_in(question: str, names: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Dictionary names that a question contains, by name or alias: longest first, names before aliases."""
-    q = F.lit(question)
+def names_in(questions: DataFrame, names: DataFrame, aliases: DataFrame, text: str = "question") -> DataFrame:
+    """``questions`` with name, surface, kind (0: a name, 1: an alias) and rank: the dictionary names that each ``text`` has, by their best surface: names before aliases, then the longest.
+
+    All surfaces are found in one go through a text (``matching``); questions need distinct rows, as an id gives them. ``rank`` orders a question's names by kind, length and name.
+    """
     rows = names.select("name", F.col("name").alias("surface"), F.lit(0).alias("kind")).union(aliases.select("name", F.col("alias").alias("surface"), F.lit(1).alias("kind")))
-    hits = rows.filter(F.contains(q, F.col("surface")))
-    first = F.row_number().over(Window.partitionBy("name").orderBy("kind", F.length("surface").desc(), "surface"))
-    return hits.withColumn("r", first).filter("r = 1").orderBy("kind", F.length("surface").desc(), "name").drop("r")
+    keys = [f"`{c}`" for c in questions.columns]
+    met = matching.contained(questions, text, rows, "__found").select(*keys, F.explode("__found").alias("surface"))
+    hits = met.join(rows.groupBy("name", "surface").agg(F.min("kind").alias("kind")), "surface")
+    best = hits.groupBy(*keys, "name").agg(F.min(F.struct("kind", (-F.length("surface")).alias("size"), "surface")).alias("b"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("b.kind", "b.size", "name"))
+    return best.select(*keys, "name", "b.surface", "b.kind", rank.alias("rank"))
 
 
 def with_aliases(names: DataFrame, aliases: DataFrame) -> DataFrame:

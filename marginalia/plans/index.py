@@ -47,8 +47,8 @@ WINDOW w AS (PARTITION BY book_id ORDER BY chapter_number ROWS BETWEEN UNBOUNDED
 )
 def chapter_offsets(t: Tables):
     rows = t.chapters.select("book_id", "chapter_number", (F.length("title") + 1 + F.length("content")).cast("long").alias("size"))
-    start = F.coalesce(F.sum(F.col("size") + 2).over(Window.partitionBy("book_id").orderBy("chapter_number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    return rows.withColumn("start_offset", start).select("book_id", "chapter_number", "start_offset", (F.col("start_offset") + F.col("size")).alias("end_offset"))
+    placed = ingest.running(rows.withColumn("length", F.col("size") + 2), "book_id", "chapter_number", ("length",))
+    return placed.select("book_id", "chapter_number", F.col("before_length").alias("start_offset"), (F.col("before_length") + F.col("size")).alias("end_offset"))
 
 
 @query(
@@ -64,14 +64,16 @@ def segment_lines(t: Tables):
     return found.select("book_id", "chapter_number", "title", F.length("content").alias("chars"), F.sha2("content", 256).alias("digest"), "start_offset")
 
 
-BOOK = "序言文字\n第一卷 北境\n第一节：出发\n甲走了。\n\n第二节 夜\n乙。\n第二卷 南海\n　　第一节 归来\n丙回来了。\n第9章\n丁。"
-BOOK_ROWS = [("b1", 1, "第1章", "序言文字", 0, 5), ("b1", 2, "第一卷 北境 / 出发", "甲走了。", 7, 23), ("b1", 3, "第一卷 北境 / 夜", "乙。", 25, 37), ("b1", 4, "第二卷 南海 / 归来", "丙回来了。", 39, 56), ("b1", 5, "第二卷 南海 / 第9章", "丁。", 58, 73), ("b2", 1, "全文", "没有标题。\n第一卷 只有卷", 0, 13)]
-
-
-@query("volume_carry_forward", f"SELECT book_id, CAST(chapter_number AS BIGINT) AS chapter_number, title, content FROM {values([r[:4] for r in BOOK_ROWS], 'book_id', 'chapter_number', 'title', 'content')}")
+@query(
+    "volume_carry_forward",
+    f"""WITH {CHAPTERS_SQL}, v AS (SELECT book_id, chapter_number, doc_id, last_value(CASE WHEN doc_id % 5 = 0 THEN '第' || doc_id || '卷 v' || doc_id END IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY chapter_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS volume FROM chapters)
+SELECT book_id, chapter_number, coalesce(volume || ' / ', '') || 'd' || doc_id AS title FROM v""",
+)
 def volume_carry_forward(t: Tables):
-    books = t.spark.createDataFrame([("b1", BOOK), ("b2", "没有标题。\n第一卷 只有卷\n")], "book_id string, text string")
-    return ingest.parse_chapters(books).select("book_id", "chapter_number", "title", "content")
+    """Every fifth document opens a volume, under which the chapters behind it stand."""
+    volume = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("第"), "doc_id", F.lit("卷 v"), "doc_id", F.lit("\n"))).otherwise("")
+    headed = t.chapters.withColumn("content", F.concat(volume, F.lit("第"), "chapter_number", F.lit("章 d"), "doc_id", F.lit("\n"), "content"))
+    return ingest.parse_chapters(ingest.source_parts(headed)).select("book_id", "chapter_number", "title")
 
 
 @query(
@@ -154,16 +156,23 @@ def alias_resolution(t: Tables):
 
 @query(
     "dictionary_match",
-    f"""WITH {SURFACES_SQL}, h AS (SELECT name, surface, CASE WHEN name = surface THEN 0 ELSE 1 END AS kind FROM surfaces WHERE contains('what onwh and ones did to anwh and eron', surface)),
-r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY kind, length(surface) DESC, surface) AS r FROM h) SELECT name, surface, CAST(kind AS BIGINT) AS kind FROM r WHERE r = 1""",
+    f"""WITH {SURFACES_SQL}, h AS (SELECT conv_id, turn, name, surface, CASE WHEN name = surface THEN 0 ELSE 1 END AS kind FROM conversations JOIN surfaces ON contains(text, surface) WHERE role = 'user'),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, name ORDER BY kind, length(surface) DESC, surface) AS r FROM h)
+SELECT conv_id, turn, name, surface, CAST(kind AS BIGINT) AS kind, row_number() OVER (PARTITION BY conv_id, turn ORDER BY kind, length(surface) DESC, name) AS rank FROM r WHERE r = 1""",
 )
 def dictionary_match(t: Tables):
-    return lookup.names_in("what onwh and ones did to anwh and eron", t.names.select("name"), t.aliases)
+    """The names that users' messages have."""
+    asked = t.conversations.filter("role = 'user'").select("conv_id", "turn", "text")
+    return lookup.names_in(asked, t.names.select("name"), t.aliases, "text").select("conv_id", "turn", "name", "surface", "kind", "rank")
 
 
-@query("name_aliases", f"SELECT n.name, coalesce(string_agg(alias, '、' ORDER BY alias), '') AS aliases FROM {values([(n,) for n in NAMES], 'name').replace('AS v', 'AS n')} LEFT JOIN {values(ALIASES, 'name', 'alias').replace('AS v', 'AS a')} ON a.name = n.name GROUP BY n.name")
+@query(
+    "name_aliases",
+    f"""{ENTITY}, f AS (SELECT DISTINCT book_id, name FROM mentions) SELECT book_id, f.name, coalesce(string_agg(alias, '、' ORDER BY alias), '') AS aliases FROM f LEFT JOIN {values(ALIASES, 'name', 'alias').replace('AS v', 'AS a')} ON a.name = f.name GROUP BY book_id, f.name""",
+)
 def name_aliases(t: Tables):
-    return lookup.with_aliases(t.names.select("name"), t.aliases)
+    """The names of each book with their aliases."""
+    return lookup.with_aliases(M.rollup(M.mentions(t.chapters, t.names)).select("book_id", "name"), t.aliases).select("book_id", "name", "aliases")
 
 
 @query("theme_mentions", f"{THEME} SELECT book_id, name, surface, chapter_number, position, mention_no FROM mentions")

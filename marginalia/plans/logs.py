@@ -224,36 +224,53 @@ def json_tolerant_parse(t: Tables):
     return t.events.select("event_id", payloads.tolerant(odd, "struct<k:bigint>")["k"].alias("k"))
 
 
-GATE = [
-    ("冲突", "他拔剑刺向对方", "r", "", True), ("冲突", "他们坐下喝茶", "r", "", False), ("师徒/传承", "师父传授剑法", "r", "", True), ("不明", "师父", "r", "", False),
-    ("冲突/危机", "他袭击了守卫", "e", "守卫死亡", False), ("冲突/危机", "他袭击守卫，守卫身亡", "e", "守卫死亡", True), ("获得/失去", "他拿到铜镜", "e", "他获得铜镜", True), ("获得/失去", "他交出铜镜", "e", "他获得铜镜", False),
-    ("选择/决定", "她决定离开", "e", "她离开", True), ("转折/后果", "从此反目", "e", "他背叛了她", True),
-]
+_CUES = "translate(text, 'abcdefghijklmno', '攻击袭刺杀师父帮助救交换发现一')"
 
 
-@query("quality_gate", f"SELECT kind, evidence, mode, summary, ok FROM {values([(*g[:4], int(g[4])) for g in GATE], 'kind', 'evidence', 'mode', 'summary', 'o')}, LATERAL (SELECT o = 1 AS ok)")
-def quality_gate(t: Tables):
-    rows = t.spark.createDataFrame([g[:4] for g in GATE], "kind string, evidence string, mode string, summary string")
-    ok = F.when(F.col("mode") == "r", payloads.relation_supported(F.col("kind"), F.col("evidence"))).otherwise(payloads.event_supported(F.col("kind"), F.col("summary"), F.col("evidence")))
-    return rows.withColumn("ok", ok)
+def _supported_sql(cues: dict) -> str:
+    return "CASE kind " + " ".join(f"WHEN '{k}' THEN {' OR '.join(f"contains(evidence, '{x}')" for x in terms)}" for k, terms in cues.items()) + " ELSE false END"
 
 
-CJK = [("他说：我们走。Go 3 times", 12), ("", 0), ("铜镜 铜镜", 4), ("a_b C", 2)]
+_KINDS = [*payloads.RELATION_CUES, "不明"]
 
 
-@query("cjk_tokens", f"SELECT t, CAST(n AS BIGINT) AS n FROM {values([(c[0], None) for c in CJK], 't', 'x').replace('NULL', '0')}, LATERAL (SELECT CASE t WHEN '{CJK[0][0]}' THEN 12 WHEN '{CJK[2][0]}' THEN 4 WHEN '{CJK[3][0]}' THEN 2 ELSE 0 END AS n)")
-def cjk_tokens(t: Tables):
-    return t.spark.createDataFrame([(c[0],) for c in CJK], "t string").withColumn("n", F.size(T.tokens(F.col("t"))))
+@query(
+    "quality_gate",
+    f"""WITH e AS (SELECT doc_id, [{', '.join(f"'{k}'" for k in _KINDS)}][CAST(doc_id % {len(_KINDS)} AS INT) + 1] AS kind, {_CUES} AS evidence FROM documents)
+SELECT doc_id, kind, {_supported_sql(payloads.RELATION_CUES)} AS relation, kind = '冲突' AND NOT contains(evidence, '死') AS unproven FROM e""",
+)
+def quality_gate(t: Tables):
+    """Whether documents, with letters as cue characters, bear out a type of relation that their ids pick; and a claim of a death that they don't have."""
+    kinds = F.array(*map(F.lit, _KINDS))
+    e = t.documents.select("doc_id", F.get(kinds, (F.col("doc_id") % len(_KINDS)).cast("int")).alias("kind"), F.translate("text", "abcdefghijklmno", "攻击袭刺杀师父帮助救交换发现一").alias("evidence"))
+    death = (F.col("kind") == "冲突") & ~payloads.event_supported(F.lit("冲突/危机"), F.lit("死亡"), F.col("evidence"))
+    return e.select("doc_id", "kind", payloads.relation_supported(F.col("kind"), F.col("evidence")).alias("relation"), death.alias("unproven"))
 
 
-RERANK = '说明 ```json\n{"ranked_hits":[{"index":2,"relevance":1.7,"reason":" a "},{"index":9,"relevance":0.5,"reason":"x"},{"index":2,"relevance":0.1,"reason":"again"},{"index":1,"relevance":0.4,"reason":"b"}]}\n```'
+@query(
+    "cjk_tokens",
+    """WITH l AS (SELECT doc_id, lower(translate(text, 'abcdefghijkl', '一二三四五六七八九十百千')) AS t FROM documents), c AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9_]+') AS w, regexp_extract_all(t, '[一-鿿]') AS c FROM l)
+SELECT doc_id, len(list_distinct(list_concat(w, c, list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1])))) AS n FROM c""",
+)
+def cjk_tokens(t: Tables):
+    """Tokens of documents whose first twelve letters are CJK characters."""
+    return t.documents.select("doc_id", F.size(T.tokens(F.translate("text", "abcdefghijkl", "一二三四五六七八九十百千"))).alias("n"))
 
 
-@query("llm_rerank_payload", f"SELECT CAST(index AS BIGINT) AS index, CAST(rank AS BIGINT) AS rank, CAST(relevance AS DOUBLE) AS relevance, reason FROM {values([(2, 1, 1.0, 'a'), (1, 2, 0.4, 'b'), (3, 3, None, None)], 'index', 'rank', 'relevance', 'reason')}")
+@query(
+    "llm_rerank_payload",
+    """WITH i AS (SELECT doc_id, doc_id % 3 + 1 AS index, least(1.0, (doc_id % 7) / 4) AS relevance, 'r' || doc_id AS reason FROM documents UNION ALL SELECT doc_id, (doc_id + 1) % 3 + 1, 0.25, '' FROM documents),
+h AS (SELECT doc_id AS query_id, index FROM documents, range(1, 4) AS r(index))
+SELECT query_id, h.index, CAST(relevance AS DOUBLE) AS relevance, reason, row_number() OVER (PARTITION BY query_id ORDER BY relevance IS NULL, relevance DESC, h.index) AS rank FROM h LEFT JOIN i ON i.doc_id = query_id AND i.index = h.index""",
+)
 def llm_rerank_payload(t: Tables):
-    answers = t.spark.createDataFrame([(1, RERANK)], "query_id int, answer string")
-    hits = t.spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "query_id int, index int")
-    return payloads.apply_ranking(hits, payloads.rerank_items(answers, 3)).select("index", "rank", "relevance", "reason")
+    """Rankings of three hits a document, told in JSON with a fence, a repeated index and one that isn't there."""
+    item = lambda i, x, reason: F.concat(F.lit('{"index":'), i.cast("string"), F.lit(',"relevance":'), x.cast("string"), F.lit(',"reason":"'), reason, F.lit('"}'))
+    first, second = F.col("doc_id") % 3 + 1, (F.col("doc_id") + 1) % 3 + 1
+    items = [item(first, (F.col("doc_id") % 7) / 4, F.concat(F.lit(" r"), "doc_id", F.lit(" "))), item(F.lit(9), F.lit(0.5), F.lit("x")), item(first, F.lit(0.1), F.lit("again")), item(second, F.lit(0.25), F.lit(""))]
+    answers = t.documents.select(F.col("doc_id").alias("query_id"), F.concat(F.lit('说明 ```json\n{"ranked_hits":['), F.concat_ws(",", *items), F.lit("]}\n```")).alias("answer"))
+    hits = t.documents.select(F.col("doc_id").alias("query_id"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("index"))
+    return payloads.apply_ranking(hits, payloads.rerank_items(answers, 3)).select("query_id", "index", "rank", "relevance", "reason")
 
 
 @query("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY ALL")

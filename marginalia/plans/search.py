@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as R
-from ..operators import search_index
+from ..operators import search_index, vectors
 from .base import CHAPTERS_SQL, Tables, query
 
 QUERY = "the worthless trash of ones onth"
@@ -124,3 +124,15 @@ SELECT doc_id, CASE WHEN p = '' THEN substr(c, 1, 384) WHEN n <= 384 THEN p WHEN
 def rerank_window(t: Tables):
     child = F.substring("text", (F.floor(F.length("text") / 2) + 1).cast("int"), F.lit(100))
     return R.rerank_windows(t.documents.select("doc_id", "text"), child, F.col("text")).select("doc_id", "passage")
+
+
+@query(
+    "vector_many_topk",
+    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e),
+s AS (SELECT q.vec_id AS query_id, CAST(r.vec_id AS VARCHAR) AS chunk_id, floor(list_sum(list_transform(range(1, 65), lambda i: q.v[i] * r.v[i])) / (q.n * r.n) * 1e6 + 0.5) / 1e6 AS score FROM n q JOIN n r ON q.vec_id % 20 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, score, rank FROM k WHERE rank <= 10""",
+)
+def vector_many_topk(t: Tables):
+    """Every twentieth vector as a question to all vectors."""
+    rows = t.embeddings.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
+    return vectors.nearest(rows, t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))

@@ -122,3 +122,10 @@ def test_long_book_in_parts_is_the_whole_book(spark, tmp_path, end, last):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert len(whole) > 70 and sorted(map(tuple, got)) == sorted(map(tuple, whole))
+
+
+def test_volumes_scope_the_chapters_behind_them(spark):
+    book = "序言文字\n第一卷 北境\n第一节：出发\n甲走了。\n\n第二节 夜\n乙。\n第二卷 南海\n　　第一节 归来\n丙回来了。\n第9章\n丁。"
+    books = spark.createDataFrame([("b1", book), ("b2", "没有标题。\n第一卷 只有卷\n")], "book_id string, text string")
+    want = [("b1", 1, "第1章", "序言文字", 0, 5), ("b1", 2, "第一卷 北境 / 出发", "甲走了。", 7, 23), ("b1", 3, "第一卷 北境 / 夜", "乙。", 25, 37), ("b1", 4, "第二卷 南海 / 归来", "丙回来了。", 39, 56), ("b1", 5, "第二卷 南海 / 第9章", "丁。", 58, 73), ("b2", 1, "全文", "没有标题。\n第一卷 只有卷", 0, 13)]
+    assert sorted(tuple(r)[:4] for r in ingest.parse_chapters(books).collect()) == [w[:4] for w in want]

@@ -274,3 +274,91 @@ def test_streams_run(spark, small, tmp_path, kind):
     if kind != "once":
         rounded = lambda rs: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rs)
         assert rounded(got) == rounded(map(tuple, want.collect()))
+
+
+def test_relation_evidence_has_both_names_and_a_cue(spark):
+    text = "甲某与乙某在山门相见了。甲某忽然出手袭击了乙某。他攻击了守卫的士兵们。丙某传授了剑法给丁某。"
+    item = lambda a, b, kind, e, c=0.9: f'{{"source":"{a}","target":"{b}","type":"{kind}","evidence":"{e}","confidence":{c}}}'
+    said = [
+        item("乙某", "甲某", "冲突", "他攻击了守卫的士兵们"), item("甲某", "乙某", "师徒/传承", "甲某与乙某在山门相见了。"), item("丙某", "丁某", "师徒/传承", "丙某传授了剑法给丁某。"),
+        item("丙某", "丙某", "冲突", "x"), item("甲某", "乙某", "冲突", "y", 0.1), item("甲某", "戊某", "冲突", "甲某袭击了戊某"), item("丙某", "丁某", "无此类", "丙某传授了剑法给丁某。"),
+    ]
+    answers = spark.createDataFrame([(text, '{"relations":[' + ",".join(said) + "]}", ["甲某", "乙某", "丙某", "丁某"])], "content string, answer string, known array<string>")
+    got = sorted(tuple(r)[:4] for r in payloads.relations(answers, "content", known="known").collect())
+    assert got == sorted([("乙某", "甲某", "冲突", "甲某忽然出手袭击了乙某。"), ("丁某", "丙某", "师徒/传承", "丙某传授了剑法给丁某。")])
+    assert len(payloads.relations(answers.withColumn("known", F.array(F.lit("甲某"))), "content", known="known").collect()) == 0
+    assert payloads.relations(answers.withColumn("answer", F.lit(None).cast("string")), "content").collect() == []
+
+
+def test_batch_events_are_grounded_and_supported(spark):
+    text = "甲某在洞中拿到了一面铜镜。乙某决定离开这座山门。甲某与乙某在桥头坐下喝茶。\n甲某把铜镜交给乙某保管。"
+    said = [
+        '{"type":"获得/失去","summary":"甲某得铜镜","evidence":"甲某在洞中拿到了一面铜镜。","entities":["甲某"],"confidence":0.9}',
+        '{"type":"获得/失去","summary":"又一次","evidence":"甲某在洞中拿到了一面铜镜。","entities":["甲某"],"confidence":0.9}',  # the same evidence
+        '{"type":"选择/决定","summary":"乙某死亡","evidence":"乙某决定离开这座山门。","entities":["乙某"],"confidence":0.9}',  # a claim without proof
+        '{"type":"","summary":"","evidence":"没有这句","entities":["乙某"],"item":"铜镜","from":"甲某","to":"乙某","confidence":0.9}',  # inferred, found in the text
+        '{"type":"冲突/危机","summary":"喝茶","evidence":"甲某与乙某在桥头坐下喝茶。","entities":["甲某","乙某"],"confidence":0.9}',  # no cue
+        '{"type":"获得/失去","summary":"x","evidence":"甲某在洞中拿到了一面铜镜。","entities":["无名"],"confidence":0.9}',
+    ]
+    answers = spark.createDataFrame([("b", 1, text, '{"events":[' + ",".join(said) + "]}", ["甲某", "乙某", "铜镜"])], "book_id string, chapter_number int, content string, answer string, known array<string>")
+    got = sorted((r.type, r.summary, r.evidence, r.names) for r in payloads.events(answers, "content", ["book_id", "chapter_number"], known="known").collect())
+    assert got == sorted([("获得/失去", "甲某得铜镜", "甲某在洞中拿到了一面铜镜。", ["甲某"]), ("道具流转", "流转：铜镜：甲某 -> 乙某", "甲某把铜镜交给乙某保管。", ["乙某", "铜镜", "甲某"])])
+
+
+def test_relation_and_event_gates(spark):
+    gates = [
+        ("冲突", "他拔剑刺向对方", "r", "", True), ("冲突", "他们坐下喝茶", "r", "", False), ("师徒/传承", "师父传授剑法", "r", "", True), ("不明", "师父", "r", "", False),
+        ("冲突/危机", "他袭击了守卫", "e", "守卫死亡", False), ("冲突/危机", "他袭击守卫，守卫身亡", "e", "守卫死亡", True), ("获得/失去", "他拿到铜镜", "e", "他获得铜镜", True), ("获得/失去", "他交出铜镜", "e", "他获得铜镜", False),
+        ("选择/决定", "她决定离开", "e", "她离开", True), ("转折/后果", "从此反目", "e", "他背叛了她", True),
+    ]
+    rows = spark.createDataFrame([g[:4] for g in gates], "kind string, evidence string, mode string, summary string")
+    ok = F.when(F.col("mode") == "r", payloads.relation_supported(F.col("kind"), F.col("evidence"))).otherwise(payloads.event_supported(F.col("kind"), F.col("summary"), F.col("evidence")))
+    assert {(r.kind, r.evidence, r.summary, r.ok) for r in rows.withColumn("ok", ok).collect()} == {(g[0], g[1], g[3], g[4]) for g in gates}
+
+
+def test_tokens_of_cjk_texts(spark):
+    cases = {"他说：我们走。Go 3 times": 12, "": 0, "铜镜 铜镜": 4, "a_b C": 2}
+    rows = spark.createDataFrame([(c,) for c in cases], "t string").withColumn("n", F.size(T.tokens(F.col("t")))).collect()
+    assert {r.t: r.n for r in rows} == cases
+
+
+def test_rankings_from_a_fenced_payload(spark):
+    said = '说明 ```json\n{"ranked_hits":[{"index":2,"relevance":1.7,"reason":" a "},{"index":9,"relevance":0.5,"reason":"x"},{"index":2,"relevance":0.1,"reason":"again"},{"index":1,"relevance":0.4,"reason":"b"}]}\n```'
+    answers = spark.createDataFrame([(1, said)], "query_id int, answer string")
+    hits = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "query_id int, index int")
+    got = payloads.apply_ranking(hits, payloads.rerank_items(answers, 3)).select("index", "rank", "relevance", "reason").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == [(2, 1, 1.0, "a"), (1, 2, 0.4, "b"), (3, 3, None, None)]
+
+
+def test_names_in_questions(spark):
+    names = spark.createDataFrame([("thnt",), ("ones",), ("eron",), ("absent",)], "name string")
+    aliases = spark.createDataFrame([("thnt", "onwh"), ("ones", "anwh"), ("ones", "anwhat"), ("eron", "ones")], "name string, alias string")
+    asked = spark.createDataFrame([(1, "what onwh and anwhat did to eron"), (2, ""), (3, None), (4, "ones")], "id int, question string")
+    got = {(r.id, r["rank"], r.name, r.surface, r.kind) for r in lookup.names_in(asked, names, aliases).collect()}
+    assert got == {(1, 1, "eron", "eron", 0), (1, 2, "ones", "anwhat", 1), (1, 3, "thnt", "onwh", 1), (4, 1, "ones", "ones", 0), (4, 2, "eron", "ones", 1)}
+    assert {(r.name, r.aliases) for r in lookup.with_aliases(names, aliases).collect()} == {("thnt", "onwh"), ("ones", "anwh、anwhat"), ("eron", "ones"), ("absent", "")}
+
+
+def test_recaps_stand_behind_the_last_chapter_of_a_stage(spark):
+    from marginalia.operators import recaps
+
+    chapters = spark.createDataFrame([("b", k, f"t{k}") for k in range(1, 26)] + [("c", 7, "x")], "book_id string, chapter_number int, title string")
+    answer = lambda k: None if k == 10 else "broken {" if k == 3 else json.dumps({"summary": f" 事件{k} ", "key_events": []})
+    rows = spark.createDataFrame([("b", k, answer(k)) for k in range(1, 26)] + [("c", 7, "{}")], "book_id string, chapter_number int, answer string")
+    told = recaps.chapter_summaries(rows)
+    assert sorted(r.chapter_number for r in told.collect()) == [k for k in range(1, 26) if k not in (3, 10)]
+
+    def model():
+        def ask(prompt):
+            if "11-20" in prompt:
+                raise RuntimeError("no answer")
+            lines = prompt.split("\n")
+            return json.dumps({"stage_summary": f"{lines[0]} {len(lines) - 1} {lines[1]}" + "长" * 300})
+
+        return ask
+
+    prompt = lambda a, z, lines: F.concat_ws("\n", F.concat(a, F.lit("-"), z), lines)
+    got = {(r.book_id, r.chapter_number): r.summary for r in recaps.with_recaps(chapters, told, prompt, model).collect()}
+    assert len(got) == 24 and got["b", 9] == "摘要：事件9" and got["b", 20] == "摘要：事件20"  # the model failed for the second stage
+    assert got["b", 10].startswith(" | 阶段回顾（第 1-10 章）：1-10 8 第 1 章《t1》：摘要：事件1")  # without a summary of its own
+    assert got["b", 25].startswith("摘要：事件25 | 阶段回顾（第 21-25 章）：21-25 5") and len(got["b", 25].split("）：")[1]) == 240
