@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.names import in_publishing_context, is_candidate
 from . import matching
 from .ingest import running
 
@@ -115,6 +116,19 @@ def bracketed(texts: DataFrame, patterns=("【([^】]{1,20})】", "《([^》]{1,
     return found.filter(ok).distinct().orderBy(F.length("name").desc(), "name")
 
 
+def discovered(texts: DataFrame, top: int = 60, least: int = 8) -> DataFrame:
+    """(name): a book's likely names, longest first, from texts (column content): counted CJK runs of 2 to 4 that may be names (``names.is_candidate``), the first ``top`` that are inside no longer one; and
+    bracketed names that stand at least once where the text doesn't speak of books (``names.in_publishing_context``). Candidates are sifted before the longest are taken, so that a longer run that is no name hides none.
+    """
+    counted = longest_first(ngram_counts(texts, least=least).filter(is_candidate(F.col("gram"))), top).select(F.col("gram").alias("name"))
+    told = bracketed(texts).select("name")
+    patterns = ("【([^】]{1,20})】", "《([^》]{1,20})》", "「([^」]{1,20})」")
+    found = texts.select("content", F.explode(F.array_distinct(F.concat(*[F.regexp_extract_all("content", F.lit(p), F.lit(0)) for p in patterns]))).alias("raw"))
+    at = found.select("content", "raw", F.explode(T.positions(F.col("content"), F.col("raw"))).alias("at"))
+    story = at.filter(~in_publishing_context(F.col("content"), F.col("at"), F.length("raw"))).select(F.expr("substring(raw, 2, length(raw) - 2)").alias("name")).distinct()
+    return counted.union(told.join(story, "name", "left_semi")).distinct().orderBy(F.length("name").desc(), "name")
+
+
 def sample_chapters(chapters: DataFrame, first: int | None = None, stride: int = 1, batch: int = 1) -> DataFrame:
     """The first chapters of each book, or every ``stride``-th and always the last; with the number of the batch."""
     w = Window.partitionBy("book_id").orderBy("chapter_number")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..functions import text as T
-from ..operators import ingest, lookup, maintain
+from ..operators import answers, ingest, lookup, maintain
 from ..operators import mentions as M
 from .base import ALIASES, CHAPTERS_SQL, NAMES, Tables, query, values
 
@@ -325,3 +326,47 @@ SELECT book_id, chapter_number, CAST((row_number() OVER (PARTITION BY book_id OR
 )
 def sampled_chapters(t: Tables):
     return M.sample_chapters(t.chapters.select("book_id", "chapter_number"), stride=7, batch=4)
+
+
+_LETTERS, _CHARS = "abcdefghijklmnoprstuvwxyz", "铜镜山门甲乙丙丁的了中上下这那有没不我们他命运自由"
+_GRAM_RUN = "[一-鿿]{4,}"
+
+
+def _any(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+@query(
+    "discovered_names",
+    f"""WITH r AS (SELECT unnest(regexp_extract_all(translate(text, '{_LETTERS}', '{_CHARS}'), '{_GRAM_RUN}')) AS s FROM documents),
+g AS (SELECT unnest(flatten(list_transform([2, 3, 4], lambda n: list_transform(range(1, length(s) - n + 2), lambda i: substr(s, i, n))))) AS gram FROM r), c AS (SELECT gram, count(*) AS n FROM g GROUP BY gram HAVING count(*) >= 8),
+k AS (SELECT * FROM c WHERE NOT regexp_matches(gram, '^[{names.NUMERALS}]+$') AND NOT (length(gram) <= 3 AND regexp_matches(gram, '[{names.PARTICLES}]')) AND gram NOT IN {_any(names.COMMON_WORDS)} AND gram NOT IN {_any(names.THEME_WORDS)}
+  AND NOT (length(gram) <= 3 AND regexp_matches(gram, '^[{names.SHORT_BEGINS}]|[{names.SHORT_ENDS}]$'))),
+p AS (SELECT DISTINCT unnest(flatten(list_transform(range(1, length(gram)), lambda n: list_transform(range(1, length(gram) - n + 2), lambda i: substr(gram, i, n))))) AS gram FROM k), o AS (SELECT gram, n FROM k ANTI JOIN p USING (gram)), t AS (SELECT gram FROM o ORDER BY length(gram) DESC, n DESC, gram LIMIT 60)
+SELECT gram AS name FROM t""",
+)
+def discovered_names(t: Tables):
+    """Likely names of the documents with letters as CJK characters, particles and theme words among them."""
+    return M.discovered(t.documents.select(F.translate("text", _LETTERS, _CHARS).alias("content")))
+
+
+_ASKED = [("thnt", "eron"), ("ones", "thha"), ("ungen", "onth"), ("onth", "ernt")]
+
+
+@query(
+    "relation_answers",
+    f"""{_PAIRS}, {NAMES_SQL}, {mentions_sql('names')}, q AS (SELECT a, b, least(a, b) AS source, greatest(a, b) AS target FROM {values(_ASKED, 'a', 'b')}),
+asked_typed AS (SELECT p.* FROM pairs p JOIN q USING (source, target) WHERE chapter_number <= {BOUND}),
+kfr AS (SELECT book_id, source, target, relation_type, chapter_number, sentence AS excerpt, row_number() OVER (PARTITION BY book_id, source, target, relation_type ORDER BY chapter_number, window_no, sentence) AS r, count(*) OVER (PARTITION BY book_id, source, target, relation_type) AS n FROM asked_typed),
+near AS (SELECT book_id, source, target, l.chapter_number, l.position, CASE WHEN contains(any_value(l.excerpt), q.b) THEN any_value(l.excerpt) ELSE arg_min(m.excerpt, m.position) END AS excerpt FROM q JOIN mentions l ON l.name = q.a JOIN mentions m USING (book_id)
+  WHERE m.name = q.b AND m.chapter_number = l.chapter_number AND abs(m.position - l.position) <= 220 AND l.chapter_number <= {BOUND} AND (book_id, source, target) NOT IN (SELECT (book_id, source, target) FROM asked_typed) GROUP BY book_id, source, target, q.b, l.chapter_number, l.position),
+gf AS (SELECT *, row_number() OVER (PARTITION BY book_id, source, target ORDER BY chapter_number, position) AS r FROM near), g AS (SELECT *, count(*) OVER (PARTITION BY book_id, source, target) AS n FROM gf WHERE r <= 3),
+f AS (SELECT book_id, source, target, relation_type, chapter_number, excerpt, r, n FROM kfr UNION ALL SELECT book_id, source, target, '{answers.UNCONFIRMED}', chapter_number, excerpt, r, n FROM g)
+SELECT book_id, source, target, relation_type, min(chapter_number) AS first_chapter_number, any_value(n) AS mention_count, string_agg(chapter_number || ':' || excerpt, '|' ORDER BY r) FILTER (r <= 3) AS fragments, CAST(least(any_value(n), 3) AS BIGINT) AS stages FROM f GROUP BY book_id, source, target, relation_type""",
+)
+def relation_answers(t: Tables):
+    """Asked pairs: their relations with fragments and stages, or the excerpts that speak for one."""
+    asked = t.spark.createDataFrame(_ASKED, "source string, target string")
+    out = answers.relation_answers(M.relations(_windows(t), RELATIONS), M.mentions(t.chapters, t.names), asked, BOUND)
+    told = F.array_join(F.transform("fragments", lambda x: F.concat(x["chapter_number"].cast("string"), F.lit(":"), x["excerpt"])), "|")
+    return out.withColumns({"fragments": told, "stages": F.size("stages")})
