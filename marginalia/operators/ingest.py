@@ -174,3 +174,15 @@ def warnings(stats: DataFrame) -> DataFrame:
     """Adds ``warnings`` (array of codes) to (chapter_count, entity_count, event_count, summary_count, vector_status)."""
     rules = [(F.col("chapter_count") <= 1, "few_chapters"), (F.col("entity_count") == 0, "no_entities"), (F.col("event_count") == 0, "no_events"), (F.col("summary_count") == 0, "no_summaries"), (F.col("vector_status") != "built", "no_vectors")]
     return stats.withColumn("warnings", F.array_compact(F.array(*[F.when(c, F.lit(x)) for c, x in rules])))
+
+
+def quality_report(chapters: DataFrame, entities: DataFrame, events: DataFrame, summaries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(book_id, chapter_count, entity_count, event_count, summary_count, vector_status, warnings): what a build gave, a row a book of ``chapters``. Vectors are ``built`` where a book has any, else ``missing``.
+
+    Tables are counted by book before they meet, so no two of them are joined row by row.
+    """
+    count = lambda rows, into: rows.groupBy("book_id").agg(F.count("*").alias(into))
+    out = count(chapters, "chapter_count")
+    for rows, into in ((entities, "entity_count"), (events, "event_count"), (summaries, "summary_count"), (vectors, "__vectors")):
+        out = out.join(count(rows, into), "book_id", "left").withColumn(into, F.coalesce(into, F.lit(0)))
+    return warnings(out.withColumn("vector_status", F.when(F.col("__vectors") > 0, "built").otherwise("missing")).drop("__vectors"))

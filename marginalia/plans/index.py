@@ -370,3 +370,18 @@ def relation_answers(t: Tables):
     out = answers.relation_answers(M.relations(_windows(t), RELATIONS), M.mentions(t.chapters, t.names), asked, BOUND)
     told = F.array_join(F.transform("fragments", lambda x: F.concat(x["chapter_number"].cast("string"), F.lit(":"), x["excerpt"])), "|")
     return out.withColumns({"fragments": told, "stages": F.size("stages")})
+
+
+@query(
+    "build_quality_report",
+    f"""{_EVENTS}, {NAMES_SQL}, {mentions_sql('names')}, c AS (SELECT book_id, count(*) AS chapter_count, count(*) FILTER (chapter_number % 2 = 0) AS summary_count FROM chapters GROUP BY book_id),
+n AS (SELECT book_id, count(DISTINCT name) AS entity_count FROM mentions GROUP BY book_id), e AS (SELECT book_id, count(*) AS event_count FROM events_found GROUP BY book_id)
+SELECT book_id, chapter_count, coalesce(entity_count, 0) AS entity_count, coalesce(event_count, 0) AS event_count, summary_count, 'missing' AS vector_status,
+  array_to_string(list_filter([CASE WHEN chapter_count <= 1 THEN 'few_chapters' END, CASE WHEN entity_count IS NULL THEN 'no_entities' END, CASE WHEN event_count IS NULL THEN 'no_events' END, CASE WHEN summary_count = 0 THEN 'no_summaries' END, 'no_vectors'], lambda x: x IS NOT NULL), ',') AS warnings
+FROM c LEFT JOIN n USING (book_id) LEFT JOIN e USING (book_id)""",
+)
+def build_quality_report(t: Tables):
+    """What an index of each book has; every second chapter counts as summarised, and there are no vectors."""
+    chapters = t.chapters.select("book_id", "chapter_number")
+    report = ingest.quality_report(chapters, M.rollup(M.mentions(t.chapters, t.names)), _events(t), chapters.filter("chapter_number % 2 = 0"), chapters.limit(0))
+    return report.withColumn("warnings", F.array_join("warnings", ","))
