@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Numbers of the questions that a task holds at once, about; more questions are more passes. Rows that are multiplied at once.
-BLOCK_NUMBERS, ROWS = 1 << 22, 2048
+#: Numbers of the questions that a task holds at once, about; more questions are more passes. Rows, and questions, that are multiplied at once.
+BLOCK_NUMBERS, ROWS, ASKED = 1 << 22, 2048, 256
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -35,10 +35,11 @@ def nearest(rows: DataFrame, questions: DataFrame, top: int = 10, vector: str =
     found = None
     for k in range(blocks):
         own = asked.filter(F.size("v") == d) if blocks == 1 else asked.filter((F.size("v") == d) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k))
-        mine = own.collect()  # a block
-        if not mine:
+        mine = own.toArrow()  # a block
+        if not mine.num_rows:
             continue
-        known = spark.sparkContext.broadcast((np.array([r.query_id for r in mine], object), _unit(np.array([r.v for r in mine], np.float64))))
+        numbers = mine["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        known = spark.sparkContext.broadcast((np.array([*mine["query_id"].to_pylist(), None], object)[:-1], _unit(numbers)))
         part = some.mapInArrow(_best(known, d, top, kind), schema)
         found = part if found is None else found.unionByName(part)
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
@@ -48,31 +49,38 @@ def nearest(rows: DataFrame, questions: DataFrame, top: int = 10, vector: str =
 def _best(known, d: int, top: int, kind: str):
     def run(batches):
         ids, q = known.value
-        names, scores = np.zeros((len(ids), 0), object), np.zeros((len(ids), 0))
+        names, scores = np.full((len(ids), top), "", object), np.full((len(ids), top), -np.inf)
         for batch in batches:
-            chunk = np.array(batch.column("chunk_id").to_pylist(), object)
-            values = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(chunk), d)
-            for i in range(0, len(chunk), ROWS):
-                s = np.floor(q @ _unit(values[i : i + ROWS]).T * 1e6 + 0.5) / 1e6
-                names = np.concatenate([names, np.broadcast_to(chunk[i : i + ROWS], s.shape)], 1)
-                scores = np.concatenate([scores, s], 1)
-                if scores.shape[1] > top:
-                    names, scores = kept(names, scores, top)
-        if scores.size:
-            row, _ = np.nonzero(np.ones_like(scores))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row].tolist()), pa.array(names.ravel().tolist(), pa.string()), pa.array(scores.ravel())], ["query_id", "chunk_id", "score"])
+            values = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, d)
+            for i in range(0, batch.num_rows, ROWS):
+                own, unit = np.array(batch.column("chunk_id").slice(i, ROWS).to_pylist(), object), _unit(values[i : i + ROWS])
+                place = np.argsort(np.argsort(own, kind="stable"), kind="stable")
+                for k in range(0, len(ids), ASKED):
+                    kept(names[k : k + ASKED], scores[k : k + ASKED], own, place, np.floor(q[k : k + ASKED] @ unit.T * 1e6 + 0.5) / 1e6)
+        for k in range(0, len(ids), ASKED):
+            row, col = np.nonzero(scores[k : k + ASKED] > -np.inf)
+            if len(row):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[k + row].tolist()), pa.array(names[k + row, col].tolist(), pa.string()), pa.array(scores[k + row, col])], ["query_id", "chunk_id", "score"])
 
     return run
 
 
-def kept(names: np.ndarray, scores: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``top`` columns of each row by falling score; of equal scores at the edge, those with the least names."""
-    out_n, out_s = np.empty((len(names), top), object), np.empty((len(names), top))
-    edge = -np.partition(-scores, top - 1, 1)[:, top - 1]
-    for i, e in enumerate(edge):
-        above, equal = np.flatnonzero(scores[i] > e), np.flatnonzero(scores[i] == e)
-        if len(equal) > top - len(above):
-            equal = equal[np.argsort(names[i, equal], kind="stable")[: top - len(above)]]
-        pick = np.concatenate([above, equal])
-        out_n[i], out_s[i] = names[i, pick], scores[i, pick]
-    return out_n, out_s
+def kept(names: np.ndarray, scores: np.ndarray, own: np.ndarray, place: np.ndarray, s: np.ndarray) -> None:
+    """Puts the columns of ``s`` (named ``own``, whose order is ``place``) among the best of each row, in place: by falling score, of equal scores those with the least names."""
+    top = names.shape[1]
+    edge = scores[:, -1]
+    if s.shape[1] > top and np.isinf(edge).any():
+        edge = np.maximum(edge, np.partition(s, -top, 1)[:, -top])
+    row, col = np.nonzero(s >= edge[:, None])
+    order = np.lexsort((place[col], -s[row, col], row))
+    row, col = row[order], col[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < top
+    row, col = row[first], col[first]
+    some = np.unique(row)
+    of = np.concatenate([np.repeat(some, top), row])
+    all_names, all_scores = np.concatenate([names[some].ravel(), own[col]]), np.concatenate([scores[some].ravel(), s[row, col]])
+    order = np.argsort(all_names, kind="stable")
+    order = order[np.lexsort((-all_scores[order], of[order]))]
+    of = of[order]
+    order = order[np.arange(len(of)) - np.searchsorted(of, of) < top]
+    names[some], scores[some] = all_names[order].reshape(-1, top), all_scores[order].reshape(-1, top)

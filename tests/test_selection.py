@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marginalia.operators import evaluate, selection, vectors
@@ -77,3 +78,22 @@ def test_reports_count_errors_and_violations(spark):
     cases = spark.createDataFrame([(1, 5), (2, None)], "case_id int, max_chapter int")
     hits = spark.createDataFrame([("m", 1, 1, 5), ("m", 1, 2, 6), ("m", 2, 1, 99)], "method string, case_id int, rank int, chapter_number int")
     assert sorted(map(tuple, evaluate.violations(cases, hits).collect())) == [("m", 1, 1), ("m", 2, 0)]
+
+
+def test_a_task_holds_the_best_of_its_questions_only():
+    """2,000 questions to 6,000 rows would be 96 MB of scores; a task keeps 10 of each, and works on a bounded tile."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(2)
+    x, q = rng.normal(size=(6000, 8)), vectors._unit(rng.normal(size=(2000, 8)))
+    x[100:400] = x[7]  # copies, so that scores tie
+    batch = pa.RecordBatch.from_arrays([pa.array([f"c{i}" for i in range(6000)]), pa.array(x.tolist(), pa.list_(pa.float64()))], ["chunk_id", "v"])
+    run = vectors._best(SimpleNamespace(value=(np.arange(2000).astype(object), q)), 8, 10, "bigint")
+    tracemalloc.start()
+    got = [r for b in run([batch]) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 20000 and peak < 60e6
+    s = np.floor(q[5] @ vectors._unit(x).T * 1e6 + 0.5) / 1e6
+    assert [(r["chunk_id"], r["score"]) for r in got if r["query_id"] == 5] == [(c, -t) for t, c in sorted(zip(-s, (f"c{i}" for i in range(6000))))[:10]]
