@@ -5,12 +5,15 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .batches import portions
 
 #: Default sizes: characters of a chunk and of its overlap with the one before.
 PARENT, CHILD = (1800, 200), (260, 40)
@@ -113,9 +116,11 @@ def spans(text: str, target: int, overlap: int, ends: str = "。\n") -> list[str
 
 
 def _cut(target: int, overlap: int, ends: str):
-    @F.pandas_udf("array<string>")
-    def cut(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: spans(t or "", target, overlap, ends))
+    @F.arrow_udf("array<string>")
+    def cut(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            for i, j in portions(column):
+                yield pa.array([spans(t or "", target, overlap, ends) for t in column.slice(i, j - i).to_pylist()], pa.list_(pa.string()))
 
     return cut
 

@@ -129,3 +129,18 @@ def test_volumes_scope_the_chapters_behind_them(spark):
     books = spark.createDataFrame([("b1", book), ("b2", "没有标题。\n第一卷 只有卷\n")], "book_id string, text string")
     want = [("b1", 1, "第1章", "序言文字", 0, 5), ("b1", 2, "第一卷 北境 / 出发", "甲走了。", 7, 23), ("b1", 3, "第一卷 北境 / 夜", "乙。", 25, 37), ("b1", 4, "第二卷 南海 / 归来", "丙回来了。", 39, 56), ("b1", 5, "第二卷 南海 / 第9章", "丁。", 58, 73), ("b2", 1, "全文", "没有标题。\n第一卷 只有卷", 0, 13)]
     assert sorted(tuple(r)[:4] for r in ingest.parse_chapters(books).collect()) == [w[:4] for w in want]
+
+
+def test_long_texts_of_one_batch_are_cut_in_portions(spark):
+    """All texts of a batch are cut whole, and no more than a portion's windows are held at once."""
+    import pyarrow as pa
+
+    texts = [None, "", "x. " * 400_000, *("ab. " * k for k in range(300))]
+    cut = ingest._cut(100, 10, ".\n").func
+    sizes = []
+    for part in cut(iter([pa.array(texts)])):
+        sizes.append(len(part))
+    assert sum(sizes) == len(texts) and sizes == [2, 1, 300]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    got = {r.i: r.c for r in df.select("i", ingest._cut(100, 10, ".\n")("t").alias("c")).collect()}
+    assert got == {i: ingest.spans(t or "", 100, 10, ".\n") for i, t in enumerate(texts)}
