@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import portions
+
 #: Characters of the surfaces of a slice, about.
 SLICE_CHARS = 1 << 20
 
@@ -59,16 +61,20 @@ def _found(surfaces: list[str], spark) -> Column:
     kind = pa.list_(pa.struct([("surface", pa.string()), ("position", pa.int32())]))
 
     @F.arrow_udf("array<struct<surface:string,position:int>>")
-    def find(texts: pa.Array) -> pa.Array:
-        if not known.value:
-            return pa.array([[]] * len(texts), kind)
-        a, ends, names, at = compiled(key, known.value), [0], [], []
-        for text in texts.to_pylist():
-            for surface, start in places(a, text) if text else ():
-                names.append(surface)
-                at.append(start)
-            ends.append(len(at))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(at, pa.int32())], names=["surface", "position"])).cast(kind)
+    def find(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            if not known.value:
+                yield pa.array([[]] * len(column), kind)
+                continue
+            a = compiled(key, known.value)
+            for i, j in portions(column):
+                ends, names, at = [0], [], []
+                for text in column.slice(i, j - i).to_pylist():
+                    for surface, start in places(a, text) if text else ():
+                        names.append(surface)
+                        at.append(start)
+                    ends.append(len(at))
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(at, pa.int32())], names=["surface", "position"])).cast(kind)
 
     return find
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +62,17 @@ def test_many_names_are_one_pass_without_a_loop_join(spark):
     got = sorted((r.chapter_number, r.surface, r.position) for r in found.collect())
     want = sorted((k, s, p) for k in range(300) for s, p in brute(f"w{k} w{k + 7} x" * 3, {f"w{str(n)[:i]}" for n in (k, k + 7) for i in range(1, 4)}))
     assert got == want
+
+
+def test_texts_are_searched_in_portions(spark):
+    """A batch of many long texts is worked on, and leaves, some texts at a time."""
+    from marginalia.operators import batches
+
+    assert list(batches.portions(pa.array(["ab", None, "cde", "f" * 9, "", "g"]), 5)) == [(0, 3), (3, 4), (4, 6)]
+    assert list(batches.portions(pa.array([], pa.string()))) == []
+    assert list(batches.portions(pa.array(["xx", "ab", "cd", "e"]).slice(1), 2)) == [(0, 1), (1, 2), (2, 3)]
+    rows = [(i, ("ab" * 40_000 + "甲") if i % 3 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, text string").coalesce(1)
+    names = spark.createDataFrame([("甲",), ("bab甲",)], "surface string")
+    got = sorted((r.id, r.surface, r.position) for r in matching.occurrences(df, "text", names).select("id", "surface", "position").collect())
+    assert got == sorted((i, s, 80_000 - len(s) + 1) for i, t in rows if t for s in ("甲", "bab甲"))
