@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -197,7 +198,7 @@ def _cases(t: Tables):
     chunks = t.documents.select(F.lit("all").alias("book_id"), F.floor(F.col("doc_id") / 4).cast("string").alias("parent_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("int").alias("chapter_number"), "text")
     passages = t.benchmark.select(F.col("item_id").alias("case_id"), F.col("text").alias("surface"))
     met = matching.occurrences(t.documents.select("doc_id", "text"), "text", passages).join(passages, "surface")
-    cases = met.groupBy("case_id").agg(F.collect_set(F.col("doc_id").cast("int")).alias("relevant"))
+    cases = met.groupBy("case_id").agg(F.collect_set(F.col("doc_id").cast("int")).alias("relevant")).persist(StorageLevel.DISK_ONLY)  # a row a case
     asked = passages.join(cases, "case_id", "left_semi").select("case_id", F.explode(F.create_map(F.lit("whole"), F.col("surface"), F.lit("head"), F.substring("surface", 1, 25))).alias("method", "query"))
     asked = asked.select(F.concat_ws(":", "method", "case_id").alias("query_id"), "method", "case_id", "query")
     hits = search_index.search_many(search_index.built(chunks), asked.select("query_id", "query")).join(asked.select("query_id", "method", "case_id"), "query_id")
