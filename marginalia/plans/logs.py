@@ -12,6 +12,9 @@ from ..operators import sessions as S
 from ..streaming import events as E
 from .base import Tables, query, values
 
+#: Lines of orders that a task pairs, about.
+LINES = 1 << 19
+
 _DAY = "CAST(day(ts) AS BIGINT)"
 
 
@@ -307,10 +310,12 @@ def event_follow_ups(t: Tables):
 
 @query("part_pairs", "SELECT a.l_partkey AS source, b.l_partkey AS target, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY ALL HAVING count(*) > 1")
 def part_pairs(t: Tables):
-    """Parts of one order as names of one sentence; an order has few parts."""
-    a = t.lineitem.select("l_orderkey", F.col("l_partkey").alias("source"))
-    pairs = a.join(a.withColumnRenamed("source", "target"), "l_orderkey").filter("source < target")
-    return pairs.groupBy("source", "target").agg(F.count("*").alias("n")).filter("n > 1")
+    """Parts of one order as names of one sentence; an order has few parts. Tasks are as many as keep each at ``LINES`` lines, about, however large the table."""
+    lines = t.lineitem.select("l_orderkey", F.col("l_partkey").alias("source"))
+    tasks = max(16, -(-lines.count() // LINES))
+    a = lines.repartition(tasks, "l_orderkey")
+    pairs = a.join(a.withColumnRenamed("source", "target"), "l_orderkey").filter("source < target").select("source", "target")
+    return pairs.repartition(tasks, "source", "target").groupBy("source", "target").agg(F.count("*").alias("n")).filter("n > 1")
 
 
 @query(

@@ -97,3 +97,13 @@ def test_a_task_holds_the_best_of_its_questions_only():
     assert len(got) == 20000 and peak < 60e6
     s = np.floor(q[5] @ vectors._unit(x).T * 1e6 + 0.5) / 1e6
     assert [(r["chunk_id"], r["score"]) for r in got if r["query_id"] == 5] == [(c, -t) for t, c in sorted(zip(-s, (f"c{i}" for i in range(6000))))[:10]]
+
+
+def test_pairs_of_parts_take_as_many_tasks_as_there_are_lines(spark, small, monkeypatch):
+    from marginalia.plans import QUERIES, logs
+
+    few = QUERIES["part_pairs"](spark, small).collect()
+    monkeypatch.setattr(logs, "LINES", 100)
+    many = QUERIES["part_pairs"](spark, small)
+    assert many.rdd.getNumPartitions() >= 60
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few))
