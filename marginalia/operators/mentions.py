@@ -92,13 +92,13 @@ def events(found: DataFrame, types=EVENT_TYPES) -> DataFrame:
 
 
 def ngram_counts(texts: DataFrame, sizes=(2, 3, 4), run: str = "[一-鿿]{4,}", least: int = 8) -> DataFrame:
-    """(gram, n): character n-grams inside runs of a pattern that occur at least ``least`` times; counted with map-side sums."""
+    """(gram, n): character n-grams inside runs of a pattern that occur at least ``least`` times. Equal runs are counted first, so grams are cut once a distinct run."""
     def grams(s, n):
         return F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-    runs = texts.select(F.explode(F.regexp_extract_all("content", F.lit(run), F.lit(0))).alias("s"))
-    each = runs.select(F.explode(F.concat(*[grams(F.col("s"), n) for n in sizes])).alias("gram"))
-    return each.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    runs = texts.select(F.explode(F.regexp_extract_all("content", F.lit(run), F.lit(0))).alias("s")).groupBy("s").agg(F.count("*").alias("times"))
+    each = runs.select("times", F.explode(F.concat(*[grams(F.col("s"), n) for n in sizes])).alias("gram"))
+    return each.groupBy("gram").agg(F.sum("times").alias("n")).filter(F.col("n") >= least)
 
 
 def longest_first(counts: DataFrame, top: int = 60) -> DataFrame:
@@ -121,6 +121,7 @@ def discovered(texts: DataFrame, top: int = 60, least: int = 8) -> DataFrame:
     bracketed names that stand at least once where the text doesn't speak of books (``names.in_publishing_context``). Candidates are sifted before the longest are taken, so that a longer run that is no name hides none.
     """
     counted = longest_first(ngram_counts(texts, least=least).filter(is_candidate(F.col("gram"))), top).select(F.col("gram").alias("name"))
+    texts = texts.filter(F.col("content").rlike("[【《「]"))  # others have no bracketed names
     told = bracketed(texts).select("name")
     patterns = ("【([^】]{1,20})】", "《([^》]{1,20})》", "「([^」]{1,20})」")
     found = texts.select("content", F.explode(F.array_distinct(F.concat(*[F.regexp_extract_all("content", F.lit(p), F.lit(0)) for p in patterns]))).alias("raw"))

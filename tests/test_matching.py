@@ -76,3 +76,11 @@ def test_texts_are_searched_in_portions(spark):
     names = spark.createDataFrame([("甲",), ("bab甲",)], "surface string")
     got = sorted((r.id, r.surface, r.position) for r in matching.occurrences(df, "text", names).select("id", "surface", "position").collect())
     assert got == sorted((i, s, 80_000 - len(s) + 1) for i, t in rows if t for s in ("甲", "bab甲"))
+
+
+def test_grams_are_cut_once_a_distinct_run(spark):
+    texts = spark.createDataFrame([("甲乙丙丁 甲乙丙丁",)] * 500 + [("甲乙丙丁戊甲乙",)] * 3 + [(None,), ("甲乙",)], "content string")
+    counts = mentions.ngram_counts(texts, least=3)
+    assert {r.gram: r.n for r in counts.collect()} == {"甲乙": 1006, "乙丙": 1003, "丙丁": 1003, "丁戊": 3, "戊甲": 3, "甲乙丙": 1003, "乙丙丁": 1003, "丙丁戊": 3, "丁戊甲": 3, "戊甲乙": 3, "甲乙丙丁": 1003, "乙丙丁戊": 3, "丙丁戊甲": 3, "丁戊甲乙": 3}
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2 and plan.rindex("Aggregate [") > plan.index("Generate explode(concat")
