@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from itertools import product
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,24 +45,63 @@ def hilbert_index(point: tuple[int, ...], bits: int) -> int:
     return place
 
 
-#: Rows whose values give the cells' bounds: those with the smallest hashes of their order.
-SAMPLE_ROWS = 1 << 14
+#: Distinct values that the driver ranks at once, and values that split what is more than these.
+LEAF, SPLITS = 4096, 255
 
 
-def cuts_of(df: DataFrame, dimensions: list[str], order: list[Column], cells: int) -> list[list]:
-    """For each dimension the values at which its next cell begins: the quantiles of a bounded sample, in the values' own order. They only shape cells; every row is placed."""
-    rows = df.select(*[F.col(c).alias(f"d{i}") for i, c in enumerate(dimensions)], F.xxhash64(*order).alias("h")).orderBy("h").limit(SAMPLE_ROWS).toArrow()
+def cuts_of(df: DataFrame, dimensions: list[str], cells: int) -> list[list]:
+    """For each dimension the values at which its next cell begins: the exact quantiles of all rows, in the values' own order, without nulls and NaN. Rows are read once, and equal ones are counted before anything else."""
+    met = df.groupBy(*[F.col(c).alias(f"d{i}") for i, c in enumerate(dimensions)]).agg(F.count("*").alias("n")).persist(StorageLevel.DISK_ONLY)
     out = []
     for i in range(len(dimensions)):
-        values = sorted(v for v in rows.column(i).to_pylist() if v is not None and v == v)
-        out.append(sorted({values[k * len(values) // cells] for k in range(1, cells)}) if values else [])
+        v = F.col(f"d{i}")
+        some = v.isNotNull() & ~F.isnan(v) if met.schema[f"d{i}"].dataType.typeName() in ("float", "double") else v.isNotNull()
+        out.append(quantiles(met.filter(some).groupBy(v.alias("v")).agg(F.sum("n").alias("n")), cells))
+    met.unpersist()
     return out
 
 
-def curve(df: DataFrame, dimensions: list[str], order: list[Column], bits: int = BITS) -> Column:
+def quantiles(counts: DataFrame, cells: int) -> list:
+    """The distinct values at ranks k * rows // cells (from 0) of counted values (v, n), for k from 1 to cells - 1.
+
+    While there are more than ``LEAF`` values that may be one of these, some of them split the rest, rows are counted between the splits, and only what lies around a rank stays. The splits only
+    say where counting is done, so the result is exact whichever they are; passes grow with the logarithm of the number of distinct values.
+    """
+    counts = counts.persist(StorageLevel.DISK_ONLY)
+    whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("distinct"), F.min("v").alias("lo"), F.max("v").alias("hi")).toArrow().to_pylist()[0]
+    found, live = set(), []
+    if whole["n"]:
+        live = [(whole["lo"], whole["hi"], 0, whole["distinct"], sorted({k * whole["n"] // cells for k in range(1, cells)}))]
+    while live:
+        piece = F.lit(None).cast("int")
+        for k, (lo, hi, *_) in enumerate(live):
+            piece = F.when(F.col("v").between(F.lit(lo), F.lit(hi)), k).otherwise(piece)
+        rows = counts.withColumn("piece", piece).filter(F.col("piece").isNotNull())
+        if sum(x[3] for x in live) <= LEAF:
+            pieces = [{**r, "lo": r["v"], "hi": r["v"], "distinct": 1} for r in rows.toArrow().to_pylist()]
+        else:
+            splits = sorted(rows.orderBy(F.xxhash64("v"), "v").limit(SPLITS).select("v").toArrow()["v"].to_pylist())
+            at = F.array(*[F.lit(x) for x in splits])
+            cut = rows.withColumn("b", F.size(F.filter(at, lambda x: x <= F.col("v"))))
+            pieces = cut.groupBy("piece", "b").agg(F.sum("n").alias("n"), F.count("*").alias("distinct"), F.min("v").alias("lo"), F.max("v").alias("hi")).toArrow().to_pylist()
+        more = []
+        for k, (_, _, past, _, ranks) in enumerate(live):
+            for p in sorted((p for p in pieces if p["piece"] == k), key=lambda p: p["lo"]):
+                own = [r for r in ranks if past <= r < past + p["n"]]
+                if own and p["distinct"] == 1:
+                    found.add(p["lo"])
+                elif own:
+                    more.append((p["lo"], p["hi"], past, p["distinct"], own))
+                past += p["n"]
+        live = more
+    counts.unpersist()
+    return sorted(found)
+
+
+def curve(df: DataFrame, dimensions: list[str], bits: int = BITS) -> Column:
     """The curve index of a row's cell, of 2**bits a dimension at most. Values are compared whole, strings by their bytes; nulls are in the first cell."""
     cells, place = 1 << bits, F.lit(0)
-    for c, cuts in zip(dimensions, cuts_of(df, dimensions, order, cells), strict=True):
+    for c, cuts in zip(dimensions, cuts_of(df, dimensions, cells), strict=True):
         cell = F.lit(0)
         for cut in cuts:
             cell = cell + F.coalesce(F.col(c) >= F.lit(cut), F.lit(False)).cast("int")
@@ -76,7 +116,7 @@ def hilbert_shards(df: DataFrame, dimensions: list[str], order: list[Column], sh
     Inside a cell rows follow a hash of ``order``. Nulls in a dimension are in its first cell; ties and repeated rows get different slots; long values are compared whole;
     an empty table stays empty; columns named curve, shard or slot are replaced.
     """
-    placed = df.withColumn("curve", curve(df, dimensions, order, bits))
+    placed = df.withColumn("curve", curve(df, dimensions, bits))
     cells = placed.groupBy("curve").agg(F.count("*").alias("__n"))  # one row a cell: 2**(bits * dimensions) at most
     w = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("curve", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__start"), F.sum("__n").over(Window.partitionBy()).alias("__all"))

@@ -183,3 +183,18 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(1, 41), 1), **dict.fromkeys(range(100, 160), 100), 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("leaf", [4096, 8])
+def test_hilbert_cuts_are_exact_quantiles_of_all_rows(spark, monkeypatch, leaf):
+    """More rows than a sample of 16,384 would have; their cuts are the order statistics of all."""
+    monkeypatch.setattr(hilbert_shards, "LEAF", leaf)
+    monkeypatch.setattr(hilbert_shards, "SPLITS", 31)
+    n = 40_000 if leaf > 8 else 3_000
+    df = spark.range(n).selectExpr("pow(id % 9973, 2) as x", "if(id % 7 = 0, null, concat('w', sha2(string(id), 256))) as w", "if(id % 3 = 0, double('nan'), cast(id % 5 as double)) as f", "cast(null as int) as z")
+    rows = df.collect()
+    want = []
+    for c in ("x", "w", "f", "z"):
+        values = sorted(r[c] for r in rows if r[c] is not None and r[c] == r[c])
+        want.append(sorted({values[k * len(values) // 16] for k in range(1, 16)}) if values else [])
+    assert hilbert_shards.cuts_of(df, ["x", "w", "f", "z"], 16) == want
