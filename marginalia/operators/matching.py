@@ -76,7 +76,7 @@ def _found(surfaces: list[str], spark) -> Column:
                     ends.append(len(at))
                 yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(at, pa.int32())], names=["surface", "position"])).cast(kind)
 
-    return find
+    return find.asNondeterministic()  # or filters on what is found would search each text again
 
 
 def occurrences(rows: DataFrame, text: str, names: DataFrame) -> DataFrame:

@@ -84,3 +84,11 @@ def test_grams_are_cut_once_a_distinct_run(spark):
     assert {r.gram: r.n for r in counts.collect()} == {"甲乙": 1006, "乙丙": 1003, "丙丁": 1003, "丁戊": 3, "戊甲": 3, "甲乙丙": 1003, "乙丙丁": 1003, "丙丁戊": 3, "丁戊甲": 3, "戊甲乙": 3, "甲乙丙丁": 1003, "乙丙丁戊": 3, "丙丁戊甲": 3, "丁戊甲乙": 3}
     plan = counts._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 2 and plan.rindex("Aggregate [") > plan.index("Generate explode(concat")
+
+
+def test_a_filter_on_names_searches_no_text_again(spark, small):
+    from marginalia.plans import QUERIES
+
+    for name, times in (("relation_stages", 1), ("event_sentences", 1)):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == times, name
