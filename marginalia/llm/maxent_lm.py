@@ -33,6 +33,12 @@ SHARD_ROWS = 8192
 #: Words whose counts every task holds; the counts of all others are joined.
 TABLE_WORDS = 1 << 18
 ROUNDS, STEP, RATE = 2, 8192, 0.25
+#: Rows of weights that are changed at once, so that what is worked out for them stays near the processor.
+BLOCK = 1024
+#: Runs of up to so many gradients of one feature are added up side by side, longer ones each by itself.
+SHORT_RUN = 16
+#: Logits between plus and minus this need no shift before their powers are taken.
+LARGEST = 60.0
 #: The token that ends each text.
 END = np.uint64(0x9AE16A3B2F90404F)
 
@@ -117,27 +123,47 @@ def new_weights(rows: int) -> tuple[np.ndarray, np.ndarray]:
     return np.zeros((1 + 3 * rows, CLASSES), np.float32), np.zeros((2 * rows + CLASSES, WIDTH), np.float32)
 
 
+def _powers(x: np.ndarray) -> np.ndarray:
+    """The sums of the powers of e, which take the place of the (shifted) logits."""
+    np.exp(x, out=x)
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
+def _shift(x: np.ndarray) -> None:
+    """Makes the largest logit of each row zero, if any is too large for a power or a row's sum might vanish."""
+    if len(x) and not (x.max() < LARGEST and x.min() > -LARGEST):
+        x -= x.max(1, keepdims=True)
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     """Probabilities, in the place of the logits."""
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    _shift(x)
+    x /= _powers(x)[:, None]
     return x
 
 
 def _log_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The log probability of each row's own column, in the place of the logits."""
-    x -= x.max(1, keepdims=True)
+    _shift(x)
     own = x[np.arange(len(y)), y].astype(np.float64)
-    return own - np.log(np.exp(x, out=x).sum(1))
+    return own - np.log(_powers(x))
+
+
+def _logits(w: np.ndarray, f: np.ndarray) -> np.ndarray:
+    x = w.take(f[:, 0], axis=0)
+    for k in range(1, f.shape[1]):
+        x += w.take(f[:, k], axis=0)
+    return x
 
 
 def _class_logits(w: np.ndarray, f: np.ndarray) -> np.ndarray:
-    return w[f[:, 0]] + w[f[:, 1]] + w[f[:, 2]] + w[0]
+    x = _logits(w, f)
+    x += w[0]
+    return x
 
 
 def _word_logits(w: np.ndarray, f: np.ndarray) -> np.ndarray:
-    return w[f[:, 0]] + w[f[:, 1]] + w[f[:, 2]]
+    return _logits(w, f)
 
 
 def _step(w: np.ndarray, seen: np.ndarray, f: np.ndarray, logits: np.ndarray, y: np.ndarray, bias: bool) -> None:
@@ -145,14 +171,34 @@ def _step(w: np.ndarray, seen: np.ndarray, f: np.ndarray, logits: np.ndarray, y:
     g = _softmax(logits)
     g[np.arange(len(y)), y] -= 1
     for k in range(f.shape[1]):
-        order = _order(f[:, k])
-        names = f[order, k]
-        edges = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-        _apply(w, seen, names[edges], np.add.reduceat(g[order], edges, axis=0))
+        _apply(w, seen, *_sums(f[:, k], g))
     if bias:
         _apply(w, seen, np.zeros(1, np.int64), g.sum(0, keepdims=True))
 
 
+def _sums(names: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct names and the sum of the rows of each, from the commonest name down.
+
+    ``reduceat`` would go through each column of each run by itself, and most runs have a row or two: all first rows are taken together, then all second rows, and so on.
+    """
+    order = _order(names)
+    names = names[order]
+    edges = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+    size = np.diff(np.append(edges, len(names)))
+    down = _order(-size)
+    edges, size = edges[down], size[down]
+    more = np.searchsorted(-size, -np.arange(SHORT_RUN + 1))  # how many runs have more rows than 0, 1, 2, ...
+    long = more[SHORT_RUN]
+    out = g.take(order[edges], axis=0)
+    for k in range(1, SHORT_RUN):
+        if more[k] == long:
+            break
+        out[long : more[k]] += g.take(order[edges[long : more[k]] + k], axis=0)
+    for i in range(long):
+        g.take(order[edges[i] : edges[i] + size[i]], axis=0).sum(0, out=out[i])
+    return names[edges], out
+
+
 def _order(names: np.ndarray) -> np.ndarray:
     """The places of the names in rising order; names of a narrow range are sorted by their digits."""
     near = names - names.min()
@@ -160,13 +206,17 @@ def _order(names: np.ndarray) -> np.ndarray:
 
 
 def _apply(w: np.ndarray, seen: np.ndarray, rows: np.ndarray, d: np.ndarray) -> None:
-    s = d * d
-    s += seen[rows]
-    seen[rows] = s
-    np.sqrt(s, out=s)
-    np.divide(d, s, out=s)
-    s *= RATE
-    w[rows] -= s
+    for i in range(0, len(rows), BLOCK):
+        at, x = rows[i : i + BLOCK], d[i : i + BLOCK]
+        s = x * x
+        s += seen.take(at, axis=0)
+        seen[at] = s
+        np.sqrt(s, out=s)
+        np.divide(x, s, out=s)
+        s *= RATE
+        new = w.take(at, axis=0)
+        new -= s
+        w[at] = new
 
 
 def _train(known, state):
