@@ -29,6 +29,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def case_folded(t: Column) -> Column:
+    """A text that has another one, letters' case aside, just where their folded forms (Python's ``casefold``) do: ß is ss, and both Greek sigmas are one.
+
+    Capitals do it, as they are full mappings, but for seven letters: five that are capitals of their own, İ, which folds to two, and ı, which folds to itself.
+    """
+    plain = F.translate(F.replace(t, F.lit("\u0130"), F.lit("i\u0307")), "\u1e9e\u03f4\u2126\u212a\u212b", "\u00df\u03b8\u03c9k\u00e5")
+    return F.array_join(F.transform(F.split(plain, "\u0131"), F.upper), "\u0131")
+
+
 def normalize_newlines(t: Column) -> Column:
     return F.regexp_replace(t, "\r\n?", "\n")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import case_folded, let
 from .selection import nearest_ranks
 
 
@@ -42,14 +43,14 @@ def percentiles(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def coverage(cases: DataFrame, hits: DataFrame, top_k: int = 4) -> DataFrame:
-    """(method, case_id, coverage): the share of a case's evidence terms (``evidence_terms``) that one of its first hits' texts (``text``) has, by Unicode's rules for case: ß is ss, and both Greek sigmas are one. Cases without terms have null.
+    """(method, case_id, coverage): the share of a case's evidence terms (``evidence_terms``) that one of its first hits' texts (``text``) has, by Unicode's full folding of case: ß is ss, and both Greek sigmas are one. Cases without terms have null.
 
     Terms count once, blanks around them aside; empty ones don't count. A case without hits has 0.
     """
     asked = cases.select("case_id", F.array_distinct(F.filter(F.transform("evidence_terms", lambda x: F.btrim(x)), lambda x: x != "")).alias("terms"))
     rows = asked.join(F.broadcast(hits.select("method").distinct())).join(hits.filter(F.col("rank") <= top_k).select("method", "case_id", "text"), ["method", "case_id"], "left")
-    folded = F.collate(F.coalesce("text", F.lit("")), "UNICODE_CI")
-    held = rows.select("method", "case_id", "terms", F.filter("terms", lambda x: F.contains(folded, F.collate(x, "UNICODE_CI"))).alias("held"))
+    folded = case_folded(F.coalesce("text", F.lit("")))
+    held = rows.select("method", "case_id", "terms", let(folded, lambda t: F.filter("terms", lambda x: F.contains(t, case_folded(x)))).alias("held"))
     found = held.groupBy("method", "case_id").agg(F.max(F.size("terms")).alias("wanted"), F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("found"))
     return found.select("method", "case_id", F.when(F.col("wanted") > 0, F.col("found") / F.col("wanted")).alias("coverage"))
 

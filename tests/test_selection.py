@@ -2,10 +2,12 @@
 
 import math
 import random
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.operators import evaluate, selection, vectors
 
@@ -70,6 +72,25 @@ def test_coverage_of_terms_is_blind_to_case(spark):
     assert got[1] == pytest.approx(2 / 4)
 
 
+def test_folded_case_is_pythons(spark):
+    """For every letter: the same form just where ``casefold`` is the same, and forms of folded letters are one letter each, so that one text has another by these forms where it does by those."""
+    from collections import defaultdict
+
+    from marginalia.functions.text import case_folded
+
+    letters = [c for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000 and unicodedata.category(c := chr(i)) != "Cn"]
+    texts = [*letters, "x\u0131y\u0131", "\u0131", "", "DIE STRA\u1e9eE", "ΣΑΣ σας"]
+    table = pa.table({"c": texts, "f": [c.casefold() for c in texts]})
+    rows = spark.createDataFrame(table).select("c", "f", case_folded(F.col("c")).alias("x"), case_folded(F.col("f")).alias("y")).collect()
+    assert [r.c for r in rows if r.x != r.y] == []
+    same = defaultdict(set)
+    for r in rows:
+        same[r.x].add(r.f)
+        if r.f == r.c and len(r.c) == 1:
+            assert len(r.x) == 1
+    assert [v for v in same.values() if len(v) > 1] == []
+
+
 def test_reports_count_errors_and_violations(spark):
     results = spark.createDataFrame([("m", 1, 1.0, 1.0, True, None, 0.5, 0), ("m", 2, 0.0, 0.0, False, "broken", None, 2)], "method string, case_id int, reciprocal_rank double, recall double, top1 boolean, error string, coverage double, violations int")
     r = evaluate.report(results).first()
